@@ -1,0 +1,207 @@
+"""Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
+
+Entropy spans: a candidate is a maximal run of ``[A-Za-z0-9+/_=-]`` of MIN_RUN
+characters or more. A window of WINDOW characters slides over it; counts change
+by one character in and one out, and the window's Shannon entropy is compared
+with the threshold of the character class that the window falls in (hex,
+alphanumeric, full). Windows over the threshold merge to a span. Allow-listed
+candidates and spans that meet a pattern's span are dropped.
+
+Null text counts as empty: no spans, the hash of the empty string. Repeated rows
+each give a row; extra columns are not read.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from .common import byte_texts, sha, ship, steps
+
+WINDOW = 20
+MIN_RUN = 20
+#: Bits a character that a window must exceed, by class.
+THRESHOLD = {"hex": 2.9, "alnum": 3.6, "full": 3.7}
+KINDS = ("assign", "access", "hex", "entropy")
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+LONG_HEX = re.compile(r"[0-9a-f]{32,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
+WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+
+#: Not secrets, however high their entropy.
+ALLOW = tuple(
+    re.compile(p)
+    for p in (
+        r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
+        r"\d{4}-\d{2}-\d{2}[T_]?[\d-]*",  # dates and times
+        r"[\d+/=_-]+",  # figures alone
+        r"[A-Za-z+/=_-]+",  # letters alone: long words, paths
+        r"(?i).*(example|placeholder|changeme|lorem|xxxx|0123456789|abcdefgh).*",
+    )
+)
+
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_RUN_BYTE = np.zeros(256, bool)
+_RUN_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
+_CLOG = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the fixed patterns, by start then kind."""
+    found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    found += [(m.start(), m.end(), 2) for m in LONG_HEX.finditer(text)]
+    return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
+
+
+def _window_class(digits: int, lower: int, upper: int, other: int, hexes: int) -> str | None:
+    if hexes == WINDOW and digits:
+        return "hex"
+    if digits and (lower or upper):
+        return "full" if other else "alnum"
+    return None
+
+
+def entropy_spans(run: str) -> list[tuple[int, int]]:
+    """Merged windows of a candidate whose entropy exceeds the threshold of their class."""
+    counts: dict[str, int] = {}
+    tally = [0, 0, 0, 0, 0]  # digits, lower, upper, other, hex digits
+    weight = 0.0  # sum of c log2 c
+    out: list[tuple[int, int]] = []
+
+    def kinds(c: str) -> tuple[int, ...]:
+        if c.isdigit():
+            return (0, 4)
+        if c in "abcdef":
+            return (1, 4)
+        return (1,) if c.islower() else (2,) if c.isupper() else (3,)
+
+    for i, c in enumerate(run):
+        n = counts.get(c, 0)
+        weight += _CLOG[n + 1] - _CLOG[n]
+        counts[c] = n + 1
+        for k in kinds(c):
+            tally[k] += 1
+        if i >= WINDOW:
+            gone = run[i - WINDOW]
+            n = counts[gone]
+            weight += _CLOG[n - 1] - _CLOG[n]
+            counts[gone] = n - 1
+            for k in kinds(gone):
+                tally[k] -= 1
+        if i >= WINDOW - 1:
+            kind = _window_class(*tally)
+            if kind and math.log2(WINDOW) - weight / WINDOW > THRESHOLD[kind]:
+                start = i - WINDOW + 1
+                if out and start <= out[-1][1]:
+                    out[-1] = (out[-1][0], i + 1)
+                else:
+                    out.append((start, i + 1))
+    return out
+
+
+def allowed(run: str) -> bool:
+    return any(p.fullmatch(run) for p in ALLOW)
+
+
+def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """The patterns' spans, and all spans with those of the entropy test."""
+    base = base_spans(text)
+    more = []
+    for m in RUN.finditer(text):
+        if allowed(m.group()):
+            continue
+        for s, e in entropy_spans(m.group()):
+            s, e = s + m.start(), e + m.start()
+            if not any(s < be and bs < e for bs, be, _ in base):
+                more.append((s, e, "entropy"))
+    return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
+
+
+def suspects(texts: list[bytes]) -> np.ndarray:
+    """Which texts can hold a span: a key word, an access prefix, or a run of MIN_RUN characters."""
+    flags = np.zeros(len(texts), bool)
+    for a, b in steps(texts):
+        joined = b"\n".join(texts[a:b]) + b"\n"
+        ends = np.cumsum([len(t) + 1 for t in texts[a:b]])
+        stops = np.flatnonzero(~_RUN_BYTE[np.frombuffer(joined, np.uint8)])
+        long = stops[np.diff(stops, prepend=-1) > MIN_RUN]
+        flags[a + np.searchsorted(ends, long, side="right")] = True
+        low = joined.translate(_LOWER)
+        if any(w in low for w in WORDS) or b"akia" in low:
+            for i in range(a, b):
+                if not flags[i]:
+                    t = texts[i].translate(_LOWER)
+                    flags[i] = b"akia" in t or any(w in t for w in WORDS)
+    return flags
+
+
+def joined(spans: list[tuple[int, int, str]]) -> str:
+    return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+
+
+DIGEST = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+
+
+def _scan(texts: list[bytes]) -> Iterator[tuple[int, list, list]]:
+    """(row, base spans, all spans) of the texts that hold any."""
+    for i in np.flatnonzero(suspects(texts)):
+        base, spans = all_spans(texts[i].decode("utf-8", "replace"))
+        if spans:
+            yield int(i), base, spans
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its id, n_assign, n_access, n_hex, base_sha256 and spans."""
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = sha(b"")
+        for batch in batches:
+            n = batch.num_rows
+            counts = np.zeros((3, n), np.int64)
+            digest, spans = [none] * n, [""] * n
+            for i, base, found in _scan(byte_texts(batch.column(1))):
+                for _, _, k in base:
+                    counts[KINDS.index(k), i] += 1
+                digest[i], spans[i] = sha(joined(base).encode()), joined(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(digest), pa.array(spans)], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(rows, f"id {kind}, {DIGEST}").withColumnRenamed("id", id_col)
+
+
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """docs with every span's text replaced; overlapping spans become one mask. All rows and columns stay."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = byte_texts(batch.column(at))
+            new: dict[int, str] = {}
+            for i, _, spans in _scan(raw):
+                text, out, done = raw[i].decode("utf-8", "replace"), [], 0
+                for s, e, _ in spans:
+                    if s >= done:
+                        out += [text[done:s], mask]
+                    done = max(done, e)
+                new[i] = "".join([*out, text[done:]])
+            if not new:
+                yield batch
+                continue
+            old = batch.column(at)
+            texts = old.to_pylist()
+            for i, t in new.items():
+                texts[i] = t
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, old.type))
+
+    return docs.mapInArrow(rows, docs.schema)
