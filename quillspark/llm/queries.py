@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, langid, quality, secret_scan
+from . import ann, bpe, jaccard, langid, licenses, mixing, preference, quality, rules, secret_scan
 from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,32 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table holds no preferences: conversation 2k stands for the chosen and 2k + 1 for the rejected side."""
+    rows = table(spark, sf_dir, "conversations")
+    pair = F.floor(F.col("conv_id") / 2).cast("long")
+    return preference.format_pairs(preference.turns(rows, pair, F.pmod(F.col("conv_id"), F.lit(2)) == 0))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stored(rules.figures(table(spark, sf_dir, "documents")), "figures")
+    out = rules.apply(stats, rules.fit(stats, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host is a document's source, path its language within the source."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -49,8 +75,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op7_quality_classifier, op8_language_id, op9_secret_scan, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_preference_format, op4_quality_rules, op5_nearest_neighbours, op6_mixing, op7_quality_classifier, op8_language_id, op9_secret_scan, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_preference_format": preference.PAIRS_SQL}
