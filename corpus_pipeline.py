@@ -1,34 +1,73 @@
-"""The corpus pipeline: quality, near duplicates, secrets, mixing, tokens."""
+"""The corpus pipeline: quality, near duplicates, secrets, mixing, tokens.
+
+Each stage works on all rows that its predecessor kept and, but for the last, returns
+the columns of documents. Null, empty and repeated rows: see the operator of each
+stage. Extra columns ride along.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import quality
+from quillspark.llm import bpe, jaccard, mixing, quality, secret_scan
 from quillspark.llm.common import stored, table
+from quillspark.llm.queries import tokenizer
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps. Two passes over the texts: site sums, then the decision; no text is shuffled."""
+    """Documents that the classifier keeps; host is the source, path the language within it.
+
+    Two passes over the texts: the sites' sums, then the decision. No text is shuffled.
+    """
     columns = docs.columns
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     named = docs.withColumns({"_host": F.col("source"), "_path": F.concat_ws("/", "source", "lang")})
-    scored = quality.with_evidence(named, model, name="_evidence")
     sums = stored(quality.with_evidence(named.select("_host", "_path", "text"), model, name="_evidence").drop("text"), "pipeline-evidence")
     site_table = quality.sites(sums, "_host", "_path", "_evidence")
+    scored = quality.with_evidence(named, model, name="_evidence")
     return quality.posterior(scored, site_table, model.prior if model else 0.5, "_host", "_path", "_evidence").where("kept").select(columns)
 
 
-STAGES = [("quality", by_quality)]
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates; of rows of one id, one. Rows with a null id stay."""
+    groups = stored(jaccard.join(docs).select("doc_id", "component_id").distinct(), "pipeline-groups")
+    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    ids = docs.where("doc_id is not null").agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if ids["n"] == ids["d"]:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, the text of every secret replaced by a mark; n_chars follows."""
+    out = secret_scan.redact(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by the probabilities that raking gives their source, language and topic."""
+    with_topic = docs.withColumn("topic", mixing.topic(F.col("text")))
+    _, cell = mixing.mix(docs)
+    return mixing.assign(with_topic, cell).where("kept").select(docs.columns)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    return bpe.digests(docs, *tokenizer())
+
+
+STAGES = [("quality", by_quality), ("near_duplicates", without_near_duplicates), ("secrets", without_secrets), ("mixing", mixed), ("tokens", tokenized)]
 
+#: Learned models and tokens aren't expressible in SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's are written to the shared folder and read again."""
+    """The last stage's rows; each other stage's are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs, name)
+            docs = stored(docs, f"pipeline-{name}")
     return docs
