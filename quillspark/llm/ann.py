@@ -4,9 +4,9 @@ Vectors gain one component that makes their lengths equal, so that the largest
 inner product is the least Euclidean distance. DIMS Gaussian projections follow
 (2-stable: a projected squared distance over the true one is chi-square with DIMS
 degrees of freedom). Every block of vectors has a kd-tree over its projections; a
-query takes the leaves in order of their projected distance and verifies their
-vectors on the original components, until the chi-square test says that a nearer
-vector is left with probability under 1 - CERTAIN.
+query takes its nearest leaves first, then the rest of its projected neighbours, and
+verifies them on the original components, until the chi-square test says that a
+vector nearer than its k-th is left with probability under 1 - CERTAIN.
 
 All rows are indexed, in blocks of about BLOCK; queries meet every block (a stated
 query set against all rows, in blocks), and the nearest of each block are merged.
@@ -20,9 +20,7 @@ not read.
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +28,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import ship, stored
 
-DIMS = 12
+DIMS = 16
 BLOCK = 8192
 QUERIES = 4096
-LEAF = 64
-CERTAIN = 0.97
+#: Queries of a chunk that are worked on at once.
+TOGETHER = 128
+LEAF = 256
+CERTAIN = 0.95
 K = 20
 
 
@@ -59,54 +59,36 @@ def chi_square_quantile(p: float, dims: int) -> float:
 
 
 class KdTree:
-    """Median splits of the widest side; leaves hold runs of one order, inner nodes the boxes of their points."""
+    """Median splits of the widest side down to leaves: an order of the points in which every leaf is a run, and its box."""
 
     def __init__(self, points: np.ndarray):
         self.order = np.arange(len(points))
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        self.span: list[tuple[int, int]] = []
-        self.child: list[tuple[int, int] | None] = []
-        todo = [(0, len(points), -1, 0)]
+        leaves, todo = [], [(0, len(points))]
         while todo:
-            a, b, parent, side = todo.pop()
-            me = len(self.span)
-            if parent >= 0:
-                self.child[parent] = (me, self.child[parent][1]) if side == 0 else (self.child[parent][0], me)
+            a, b = todo.pop()
             p = points[self.order[a:b]]
             low, high = p.min(axis=0), p.max(axis=0)
-            self.low.append(low)
-            self.high.append(high)
-            self.span.append((a, b))
             if b - a <= LEAF:
-                self.child.append(None)
+                leaves.append((a, b, low, high))
                 continue
-            self.child.append((-1, -1))
             mid = (b - a) // 2
             self.order[a:b] = self.order[a:b][np.argpartition(p[:, int((high - low).argmax())], mid)]
-            todo += [(a, a + mid, me, 0), (a + mid, b, me, 1)]
-        self.low, self.high = np.array(self.low), np.array(self.high)
-
-    def leaves(self, at: np.ndarray) -> Iterator[tuple[float, int, int]]:
-        """(squared distance of the box, first, end) of leaves, nearest first."""
-        gap = np.maximum(np.maximum(self.low - at, at - self.high), 0)
-        far = np.einsum("ij,ij->i", gap, gap).tolist()
-        heap = [(far[0], 0)]
-        while heap:
-            d, i = heapq.heappop(heap)
-            if (kids := self.child[i]) is None:
-                yield d, *self.span[i]
-            else:
-                for c in kids:
-                    heapq.heappush(heap, (far[c], c))
+            todo += [(a + mid, b), (a, a + mid)]
+        self.span = [(a, b) for a, b, _, _ in leaves]
+        self.low, self.high = np.array([x[2] for x in leaves]), np.array([x[3] for x in leaves])
+
+    def distances(self, at: np.ndarray) -> np.ndarray:
+        """Squared distances of points to the leaves' boxes: (points, leaves)."""
+        out = np.zeros((len(at), len(self.span)))
+        for i in range(at.shape[1]):
+            gap = np.maximum(np.maximum(self.low[:, i] - at[:, i : i + 1], at[:, i : i + 1] - self.high[:, i]), 0)
+            out += gap * gap
+        return out
 
 
 def score(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products, each added up from the first component on: equal vectors score alike."""
-    out = vectors[:, 0] * q[0]
-    for i in range(1, len(q)):
-        out = out + vectors[:, i] * q[i]
-    return out
+    return np.cumsum(vectors * q, axis=1)[:, -1]
 
 
 class Block:
@@ -120,32 +102,47 @@ class Block:
         points = vectors @ self.project[:d] + rest[:, None] * self.project[d]
         self.tree = KdTree(points)
         self.ids, self.vectors, self.points = ids[self.tree.order], vectors[self.tree.order], points[self.tree.order]
+        self.size = (self.points**2).sum(axis=1)
         self.stop = chi_square_quantile(CERTAIN, dims)
 
-    def nearest(self, own: int, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k nearest but the query's own, and how many vectors were verified."""
-        norm = float(np.sqrt((q**2).sum()))
-        at = (q * (self.length / norm)) @ self.project[:-1]
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        best, tried = math.inf, 0  # squared distance of the k-th
-        for far, a, b in self.tree.leaves(at):
-            if far > self.stop * best:
-                break
-            gap = self.points[a:b] - at
-            near = np.einsum("ij,ij->i", gap, gap) <= self.stop * best
-            near &= self.ids[a:b] != own
-            if not near.any():
-                continue
-            tried += int(near.sum())
-            ids = np.concatenate([ids, self.ids[a:b][near]])
-            scores = np.concatenate([scores, score(self.vectors[a:b][near], q)])
-            if len(ids) > k:
-                order = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[order], scores[order]
-            if len(ids) == k:
-                best = max(0.0, 2 * self.length**2 - 2 * float(scores.min()) * self.length / norm) * (1 + 1e-9) + 1e-12
-        order = np.lexsort((ids, -scores))
-        return ids[order], scores[order], tried
+    def nearest(self, own: np.ndarray, q: np.ndarray, k: int = K) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+        """For queries together: ids and scores of the k nearest but their own, and how many vectors were verified.
+
+        A query's nearest leaves come first; their scores give the distance of the k-th. Then come the
+        projected neighbours up to the distance at which the test holds. A smaller k-th distance found on
+        the way would only stop earlier.
+        """
+        norm = np.sqrt((q**2).sum(axis=1))
+        at = (q * (self.length / norm)[:, None]) @ self.project[:-1]
+        box = self.tree.distances(at)
+        found = np.full((len(q), len(self.ids)), -np.inf)
+        first = min(len(self.tree.span), 1 + -(-2 * k // LEAF))
+        want = np.zeros(box.shape, bool)
+        np.put_along_axis(want, np.argpartition(box, first - 1, axis=1)[:, :first], True, axis=1)
+        limit, tried = np.full(len(q), np.inf), 0
+        done = np.zeros(box.shape, bool)
+        for _ in range(2):
+            for leaf in np.flatnonzero(want.any(axis=0)):
+                a, b = self.tree.span[leaf]
+                rows = np.flatnonzero(want[:, leaf])
+                near = (self.points[a:b] @ (-2 * at[rows].T) + self.size[a:b, None]).T + (at[rows] ** 2).sum(axis=1)[:, None] <= limit[rows][:, None]
+                near &= self.ids[a:b] != own[rows][:, None]
+                tried += int(near.sum())
+                found[rows, a:b] = np.where(near, q[rows] @ self.vectors[a:b].T, -np.inf)
+            done |= want
+            kth = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] >= k else np.full(len(q), -np.inf)
+            apart = np.maximum(2 * self.length**2 - 2 * np.where(np.isinf(kth), 0, kth) * self.length / norm, 0) * (1 + 1e-9) + 1e-12
+            limit = np.where(np.isinf(kth), np.inf, self.stop * apart)
+            want = (box <= limit[:, None]) & ~done
+        ids, scores = [], []
+        for i in range(len(q)):
+            at_least = kth[i] - 1e-9 * max(1.0, abs(kth[i])) if np.isfinite(kth[i]) else -np.inf
+            held = np.flatnonzero((found[i] >= at_least) & (found[i] > -np.inf))
+            s = score(self.vectors[held], q[i])
+            order = np.lexsort((self.ids[held], -s))[:k]
+            ids.append(self.ids[held][order])
+            scores.append(s[order])
+        return ids, scores, tried
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -179,11 +176,12 @@ def search(df: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id", v
         out = ([], [], [])
         if left.num_rows and right.num_rows:
             block = Block(*arrays(left), length)
-            for own, q in zip(*arrays(right), strict=True):
-                ids, scores, _ = block.nearest(int(own), q, k)
-                out[0].append(np.full(len(ids), own, np.int64))
-                out[1].append(ids)
-                out[2].append(scores)
+            own, q = arrays(right)
+            for a in range(0, len(own), TOGETHER):
+                ids, scores, _ = block.nearest(own[a : a + TOGETHER], q[a : a + TOGETHER], k)
+                out[0].append(np.repeat(own[a : a + TOGETHER], [len(x) for x in ids]))
+                out[1].extend(ids)
+                out[2].extend(scores)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         return pa.table({"query_id": cat(out[0], np.int64), "vec_id": cat(out[1], np.int64), "score": cat(out[2], np.float64)})
 
