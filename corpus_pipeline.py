@@ -19,13 +19,12 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Two passes over the texts: the sites' sums, then the decision. No text is shuffled.
     """
-    columns = docs.columns
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    named = docs.withColumns({"_host": F.col("source"), "_path": F.concat_ws("/", "source", "lang")})
-    sums = stored(quality.with_evidence(named.select("_host", "_path", "text"), model, name="_evidence").drop("text"), "pipeline-evidence")
-    site_table = quality.sites(sums, "_host", "_path", "_evidence")
-    scored = quality.with_evidence(named, model, name="_evidence")
-    return quality.posterior(scored, site_table, model.prior if model else 0.5, "_host", "_path", "_evidence").where("kept").select(columns)
+    site = [F.col("source").alias("host"), F.concat_ws("/", "source", "lang").alias("path")]
+    sums = stored(quality.with_evidence(docs.select(*site, "text"), model).drop("text"), "pipeline-evidence")
+    # a row rides along as one column, so that no column of it can clash
+    scored = quality.with_evidence(docs.select(F.struct(*docs.columns).alias("row"), *site), model, "row.text")
+    return quality.posterior(scored, quality.sites(sums), model.prior if model else 0.5).where("kept").select("row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +46,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by the probabilities that raking gives their source, language and topic."""
-    with_topic = docs.withColumn("topic", mixing.topic(F.col("text")))
     _, cell = mixing.mix(docs)
-    return mixing.assign(with_topic, cell).where("kept").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "lang", mixing.topic(F.col("text")).alias("topic"))
+    return mixing.assign(rows, cell).where("kept").select("row.*")
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,10 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts, ship, steps
+from .common import ship, text_steps, tidy, trim
 
 #: Text bytes of a segment: its distinct pieces are merged together.
-SEGMENT_BYTES = 12 << 20
+SEGMENT_BYTES = 4 << 20
 NONE = np.int64(1) << 40
 
 
@@ -194,12 +194,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merges(vocabulary, pattern)
         for batch in batches:
-            texts = byte_texts(batch.column(1))
-            for a, b in steps(texts, SEGMENT_BYTES):
-                out = [[i for w in h.tolist() for i in ids[w]] for h, ids in m.encode(texts[a:b])]
+            for a, b, texts in text_steps(batch.column(1), SEGMENT_BYTES):
+                out = [[i for w in h.tolist() for i in ids[w]] for h, ids in m.encode(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(rows, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(rows), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -213,7 +212,7 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
             out = [m.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "text"])
 
-    return tokens.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(rows, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return tokens.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(tidy(rows), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,11 +223,10 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merges(vocabulary, pattern)
         for batch in batches:
-            texts = byte_texts(batch.column(1))
-            for a, b in steps(texts, SEGMENT_BYTES):
+            for a, b, texts in text_steps(batch.column(1), SEGMENT_BYTES):
                 n, ids_sha, text_sha = [], [], []
                 said = back = sizes = None
-                for h, ids in m.encode(texts[a:b]):
+                for h, ids in m.encode(texts):
                     if said is None:
                         said = [",".join(map(str, x)) for x in ids]
                         back = [m.decode(x) for x in ids]
@@ -238,5 +236,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
                     ids_sha.append(hashlib.sha256(",".join([said[i] for i in w]).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(b"".join([back[i] for i in w])).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                said = back = sizes = ids = h = None
+                trim()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(rows, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(rows), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

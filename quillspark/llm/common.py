@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import io
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step takes; bounds a Python worker's memory.
@@ -84,6 +87,47 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(kind).to_pylist()]
 
 
+def text_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of a column with their texts, of at most limit bytes; a longer text stands alone. Only one range is held."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start, size = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and size + n > limit:
+            yield start, i, byte_texts(column.slice(start, i - start))
+            start, size = i, 0
+        size += n + 1
+    if start < len(sizes):
+        yield start, len(sizes), byte_texts(column.slice(start))
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rows, after which the worker, which goes on to other tasks, keeps no freed memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def binary_views(column: pa.Array, kind: type = np.uint64) -> list[np.ndarray]:
+    """The values of a column of packed arrays, without copies; nulls aren't expected."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2]
+    size = np.dtype(kind).itemsize
+    return [np.frombuffer(data, kind, (b - a) // size, a) if b > a else np.zeros(0, kind) for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
 def steps(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes; a longer text stands alone."""
     start, size = 0, 0

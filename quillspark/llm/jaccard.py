@@ -38,9 +38,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts, partitions, ship, stored
+from .common import binary_views, partitions, ship, stored, tidy
 from .components import components
-from .shingles import mix, shingle_sets
+from .shingles import column_sets, mix
 
 WORDS = 5
 #: Keys of more documents, in several components, are left to the last step.
@@ -48,7 +48,7 @@ PAIRS = 24
 #: Parts of a band beyond the shingles in which two of its sets can differ.
 SPARE = 1.3
 #: Entries that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 19
 BLOCK = 1024
 
 
@@ -126,7 +126,7 @@ def sketches(texts: DataFrame, salt: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node, other, bits, held = [], [], [], [], ([], [])
-            for s in shingle_sets(byte_texts(batch.column(1)), WORDS):
+            for s in column_sets(batch.column(1), WORDS):
                 n.append(len(s))
                 if not len(s):
                     for x in (node, other, bits, *held):
@@ -144,7 +144,7 @@ def sketches(texts: DataFrame, salt: int) -> DataFrame:
                 names=["id", "n", "node", "other", "sketch", "held0", "held1"],
             )
 
-    return texts.mapInArrow(rows, "id long, n long, node long, other long, sketch binary, held0 long, held1 long")
+    return texts.mapInArrow(tidy(rows), "id long, n long, node long, other long, sketch binary, held0 long, held1 long")
 
 
 def _entries(texts: DataFrame, salt: int, buckets: int) -> DataFrame:
@@ -167,7 +167,7 @@ def _entries(texts: DataFrame, salt: int, buckets: int) -> DataFrame:
         for batch in batches:
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             seen: set[int] = set()
-            for ok, s in zip(known.tolist(), shingle_sets(byte_texts(batch.column(1)), WORDS), strict=True):
+            for ok, s in zip(known.tolist(), column_sets(batch.column(1), WORDS), strict=True):
                 if not ok or not len(s) or (node := node_of(s, salt)[0]) in seen:
                     continue
                 seen.add(node)
@@ -182,7 +182,7 @@ def _entries(texts: DataFrame, salt: int, buckets: int) -> DataFrame:
         if size:
             yield packed(keys, nodes)
 
-    return texts.mapInArrow(rows, "bucket long, keys binary, nodes binary")
+    return texts.mapInArrow(tidy(rows), "bucket long, keys binary, nodes binary")
 
 
 def _matched(entries: DataFrame) -> DataFrame:
@@ -191,8 +191,8 @@ def _matched(entries: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes = [], []
         for batch in batches:
-            keys += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            nodes += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            keys.append(np.concatenate(binary_views(batch.column(1))))
+            nodes.append(np.concatenate(binary_views(batch.column(2), np.int64)))
         if not keys:
             return
         k, v = np.concatenate(keys), np.concatenate(nodes)
@@ -226,7 +226,7 @@ def _matched(entries: DataFrame) -> DataFrame:
         keep = w > 0
         yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(v[keep]), pa.array(low[keep]), pa.array(level[keep]), pa.array(np.repeat(size, size)[keep]), pa.array(w[keep])], names=["key", "node", "first", "level", "size", "times"])
 
-    return entries.mapInArrow(rows, "key long, node long, first long, level long, size long, times long")
+    return entries.mapInArrow(tidy(rows), "key long, node long, first long, level long, size long, times long")
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             ok = [distance(x, y) <= m for x, y, m in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), most.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "rep_a", "rep_b"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(test, "a long, b long, rep_a long, rep_b long")
+    return rows.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(test), "a long, b long, rep_a long, rep_b long")
 
 
 def _exact(near: DataFrame, texts: DataFrame) -> DataFrame:
@@ -251,22 +251,21 @@ def _exact(near: DataFrame, texts: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [x.tobytes() for x in shingle_sets(byte_texts(batch.column(1)), WORDS)]
+            s = [x.tobytes() for x in column_sets(batch.column(1), WORDS)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], names=["id", "s"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(binary_views(batch.column(2)), binary_views(batch.column(3)), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    held = stored(texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, s binary"), "shingles")
+    held = stored(texts.join(wanted, "id", "left_semi").mapInArrow(tidy(sets), "id long, s binary"), "shingles")
     a, b = held.select(F.col("id").alias("rep_a"), F.col("s").alias("s_a")), held.select(F.col("id").alias("rep_b"), F.col("s").alias("s_b"))
     rows = near.join(a, "rep_a").join(b, "rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "s_a", "s_b")
-    return rows.mapInArrow(test, "a long, b long")
+    return rows.mapInArrow(tidy(test), "a long, b long")
 
 
 def _in_blocks(left_over: DataFrame) -> DataFrame:

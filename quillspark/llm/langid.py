@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_texts, ship, steps
+from .common import ship, text_steps, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -171,13 +171,13 @@ def predict(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(net.langs, object)
         for batch in batches:
-            texts, known = byte_texts(batch.column(1)), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             lang, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
-            for a, b in steps(texts):
-                p = net.predict(texts[a:b])
+            for a, b, texts in text_steps(batch.column(1)):
+                p = net.predict(texts)
                 best = p.argmax(axis=1)
                 lang[a:b], score[a:b] = langs[best], p[np.arange(b - a), best]
             lang[~known], score[~known] = "und", 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(np.minimum(score, 1.0))], names=["id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -20,9 +20,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts, ship, stored
+from .common import ship, stored, text_steps, tidy
 
 MAX_LABELS = 8000
 #: A document stays from this quality on.
@@ -91,11 +92,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [figures(t).tolist() for t in byte_texts(batch.column(1))]
+            x = [figures(t).tolist() for _, _, texts in text_steps(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("id", "t", "y").mapInArrow(run, f"id {kind}, y double, x array<double>").orderBy(F.xxhash64("id", F.lit("quality")), "id", "y", "x").limit(max_labels).collect()
+    got = rows.select("id", "t", "y").mapInArrow(tidy(run), f"id {kind}, y double, x array<double>").orderBy(F.xxhash64("id", F.lit("quality")), "id", "y", "x").limit(max_labels).collect()
     y = np.array([float(r["y"] >= 0.5) for r in got])
     if not len(y) or y.min() == y.max():
         return None
@@ -103,19 +104,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 
 def with_evidence(docs: DataFrame, model: Logistic | None, text_col: str = "text", name: str = "evidence") -> DataFrame:
-    """docs and a column of the model's probability; null for a text without a word."""
+    """docs and a column of the model's probability; null for a text without a word. text_col may be a field of a struct: row.text."""
     ship(docs.sparkSession)
-    at = docs.columns.index(text_col)
-    # bytes of the text ride beside the columns only when the text isn't a string already
+    outer, _, inner = text_col.partition(".")
+    at = docs.columns.index(outer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([figures(t) for t in byte_texts(batch.column(at))]).reshape(-1, WIDTH)
+            column = batch.column(at)
+            column = pc.struct_field(column, inner) if inner else column
+            x = np.array([figures(t) for _, _, texts in text_steps(column) for t in texts]).reshape(-1, WIDTH)
             p = model(x) if model else np.full(len(x), 0.5)
             empty = ~x.any(axis=1)
             yield batch.append_column(name, pa.array(np.where(empty, np.nan, p), mask=empty))
 
-    return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, `{name}` double")
+    return docs.mapInArrow(tidy(run), f"{docs._jdf.schema().toDDL()}, `{name}` double")
 
 
 def sites(evidence: DataFrame, host: str = "host", path: str = "path", p: str = "evidence") -> DataFrame:

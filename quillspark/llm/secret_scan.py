@@ -19,9 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts, sha, ship, steps
+from .common import sha, ship, steps, text_steps, tidy
 
 WINDOW = 20
 MIN_RUN = 20
@@ -151,12 +152,14 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 DIGEST = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def _scan(texts: list[bytes]) -> Iterator[tuple[int, list, list]]:
-    """(row, base spans, all spans) of the texts that hold any."""
-    for i in np.flatnonzero(suspects(texts)):
-        base, spans = all_spans(texts[i].decode("utf-8", "replace"))
-        if spans:
-            yield int(i), base, spans
+def _scan(column: pa.Array) -> Iterator[tuple[int, str, list, list]]:
+    """(row, text, base spans, all spans) of the texts that hold any."""
+    for a, _, texts in text_steps(column):
+        for i in np.flatnonzero(suspects(texts)).tolist():
+            text = texts[i].decode("utf-8", "replace")
+            base, spans = all_spans(text)
+            if spans:
+                yield a + i, text, base, spans
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,13 +173,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             n = batch.num_rows
             counts = np.zeros((3, n), np.int64)
             digest, spans = [none] * n, [""] * n
-            for i, base, found in _scan(byte_texts(batch.column(1))):
+            for i, _, base, found in _scan(batch.column(1)):
                 for _, _, k in base:
                     counts[KINDS.index(k), i] += 1
                 digest[i], spans[i] = sha(joined(base).encode()), joined(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(digest), pa.array(spans)], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(rows, f"id {kind}, {DIGEST}").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(rows), f"id {kind}, {DIGEST}").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
@@ -186,10 +189,9 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = byte_texts(batch.column(at))
             new: dict[int, str] = {}
-            for i, _, spans in _scan(raw):
-                text, out, done = raw[i].decode("utf-8", "replace"), [], 0
+            for i, text, _, spans in _scan(batch.column(at)):
+                out, done = [], 0
                 for s, e, _ in spans:
                     if s >= done:
                         out += [text[done:s], mask]
@@ -199,9 +201,9 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
                 yield batch
                 continue
             old = batch.column(at)
-            texts = old.to_pylist()
-            for i, t in new.items():
-                texts[i] = t
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, old.type))
+            hit = np.zeros(batch.num_rows, bool)
+            hit[list(new)] = True
+            texts = pc.replace_with_mask(old, pa.array(hit), pa.array([new[i] for i in sorted(new)], old.type))
+            yield batch.set_column(at, batch.schema.field(at), texts)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(tidy(rows), docs.schema)

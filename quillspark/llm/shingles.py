@@ -6,9 +6,12 @@ polynomial in its bytes, taken from running sums over the whole buffer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
-from .common import steps
+from .common import STEP_BYTES, steps, text_steps
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -33,7 +36,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         out = []
         for b in (_BASE, _INVERSE):
-            p = np.full(max(n, 1 << 21), b, np.uint64)
+            p = np.full(max(n, STEP_BYTES // 2 + 2), b, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         if n > 1 << 23:
@@ -54,11 +57,10 @@ def word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[ends] - total[starts]) * inverse[starts]), starts
 
 
-def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], k: int = 5) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of every text; with fewer than k words, the whole sequence as one."""
-    out: list[np.ndarray] = []
     none = np.zeros(0, np.uint64)
-    for a, b in steps(texts):
+    for a, b in steps(texts, STEP_BYTES // 2):
         buffer = np.frombuffer(b"\n".join(texts[a:b]) + b"\n", np.uint8)
         words, starts = word_hashes(buffer)
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts[a:b])])
@@ -71,12 +73,17 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
         rolled = mix(rolled)
         for x, y in zip(first, first[1:], strict=False):
             if y - x >= k:
-                out.append(np.unique(rolled[x : y - k + 1]))
+                yield np.unique(rolled[x : y - k + 1])
             elif y > x:
                 h = np.array([y - x], np.uint64)
                 for w in words[x:y]:
                     h = mix(h * _MIX[2] + w)
-                out.append(h)
+                yield h
             else:
-                out.append(none)
-    return out
+                yield none
+
+
+def column_sets(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
+    """shingle_sets of a column of texts, null as empty, with a step's texts held at once."""
+    for _, _, texts in text_steps(column, STEP_BYTES // 2):
+        yield from shingle_sets(texts, k)
