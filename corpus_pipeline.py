@@ -31,7 +31,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """The document of the smallest id of each group of near duplicates; of rows of one id, one. Rows with a null id stay."""
     groups = stored(jaccard.join(docs).select("doc_id", "component_id").distinct(), "pipeline-groups")
     dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)  # no broadcast: what is dropped grows with the input
     ids = docs.where("doc_id is not null").agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if ids["n"] == ids["d"]:
         return kept

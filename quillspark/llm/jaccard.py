@@ -262,7 +262,7 @@ def _exact(near: DataFrame, texts: DataFrame) -> DataFrame:
                 ok.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    held = stored(texts.join(wanted, "id", "left_semi").mapInArrow(tidy(sets), "id long, s binary"), "shingles")
+    held = stored(texts.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(tidy(sets), "id long, s binary"), "shingles")
     a, b = held.select(F.col("id").alias("rep_a"), F.col("s").alias("s_a")), held.select(F.col("id").alias("rep_b"), F.col("s").alias("s_b"))
     rows = near.join(a, "rep_a").join(b, "rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "s_a", "s_b")
     return rows.mapInArrow(tidy(test), "a long, b long")
