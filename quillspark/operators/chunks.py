@@ -105,7 +105,7 @@ def initials(section: Column) -> Column:
 def _letter(i: Column) -> Column:
     """The character i places after a; past z it goes on through Unicode."""
     code = i + 97
-    return F.when(code < 128, F.char(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE"))
+    return F.when(code < 128, F.char(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def slugs(sections: DataFrame) -> DataFrame:
