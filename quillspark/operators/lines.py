@@ -205,7 +205,7 @@ def fellowship_summary(raw: Column) -> dict[str, Column]:
     one, two = _found(raw, r"(.+)\nResearch Title\n(.+)"), _found(raw, r"(.+)\nResearch Title\n(.+)", 2)
     return {
         "Contracting Organisation": F.when(~host.rlike(r"^([Pp]artner|applicable)"), host),
-        "Application Title": F.concat_ws(" ", one, two),
+        "Application Title": F.nullif(F.concat_ws(" ", one, two), F.lit("")),
         "Duration (months)": _found(raw, r"\bDuration\b[\s\S]*?\n(\d+)\s*\n"),
         "Start Date": _found(raw, r"Proposed start date[^\n]*\n([0-9]{2}/[0-9]{2}/[0-9]{4})"),
     }
@@ -342,7 +342,7 @@ def assemble(doc_type: str, summary: DataFrame, team: DataFrame, detail: DataFra
     quoted = F.regexp_extract(F.to_json(F.struct(F.lit(doc_type).alias("x"))), r'^\{"x":(.*)\}$', 1)
     body = [piece("doc_type", quoted), piece("SUMMARY INFORMATION", F.to_json("fields")), piece("LEAD APPLICANT & RESEARCH TEAM", F.col("team")), piece("APPLICATION DETAILS", F.to_json("d"))]
     if budget is not None:
-        body.append(piece("SUMMARY BUDGET", F.regexp_extract(F.to_json(F.struct(F.col("budget").alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)))
+        body.append(piece("SUMMARY BUDGET", F.when(F.col("budget").isNotNull(), F.regexp_extract(F.to_json(F.struct(F.col("budget").alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))))
     return rows.select("doc_id", F.concat(F.lit("{"), F.concat_ws(",", *body), F.lit("}")).alias("raw"))
 
 

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import lines as L
 from ..sources import pages as P
 from ..sources.scorers import Generate, call
+from .scoring import Store, checkpointed
 
 RAW_CONTENT = "Raw Content"
 
@@ -49,10 +50,10 @@ def _named(sections: DataFrame, name: str, prefix: bool = False) -> DataFrame:
     return sections.where(test).groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def fellowship(pages: DataFrame) -> DataFrame:
+def fellowship(pages: DataFrame, store: Store = checkpointed) -> DataFrame:
     """(doc_id, raw); a document of any kind gets one, at least with its type."""
-    line = L.in_band(L.mark_section_pages(L.lines_of(P.words(pages)), P.boxes(pages)), "fellowship")
-    headed = _headed(pages, line, "fellowship")
+    line = store(L.in_band(L.mark_section_pages(L.lines_of(P.words(pages)), P.boxes(pages)), "fellowship"), "fellowship_lines")
+    headed = store(_headed(pages, line, "fellowship"), "fellowship_sections")
     docs = pages.select("doc_id").distinct()
     info = docs.join(_named(headed, "Application Summary Information"), "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     fields = L.fellowship_summary(F.col("text"))
@@ -62,11 +63,11 @@ def fellowship(pages: DataFrame) -> DataFrame:
     return L.assemble("fellowship", summary, _team(lead, _named(headed, "Participants and Signatories"), "fellowship"), L.details(line, "fellowship"))
 
 
-def rfpb(pages: DataFrame) -> DataFrame:
+def rfpb(pages: DataFrame, store: Store = checkpointed) -> DataFrame:
     """(doc_id, raw) of documents with a heading of this layout."""
-    line = L.in_band(L.mark_in_box(L.lines_of(P.words(pages)), P.boxes(pages)), "rfpb")
-    known = L.sectioned(line, "rfpb").where("is_heading").select("doc_id").distinct()
-    headed = _headed(pages, line, "rfpb")
+    line = store(L.in_band(L.mark_in_box(L.lines_of(P.words(pages)), P.boxes(pages)), "rfpb"), "rfpb_lines")
+    known = store(L.sectioned(line, "rfpb").where("is_heading").select("doc_id").distinct(), "rfpb_known")
+    headed = store(_headed(pages, line, "rfpb"), "rfpb_sections")
     first = known.join(pages.where("page = 0").select("doc_id", "text"), "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     summary = first.select("doc_id", _map(L.rfpb_summary(F.col("text"))).alias("fields"))
     team_text = _named(headed, "The Research Team", True)
@@ -76,10 +77,10 @@ def rfpb(pages: DataFrame) -> DataFrame:
     return L.assemble("rfpb", summary, _team(lead, team_text, "rfpb"), L.details(line, "rfpb").join(known, "doc_id", "left_semi"))
 
 
-def generic(pages: DataFrame) -> DataFrame:
+def generic(pages: DataFrame, store: Store = checkpointed) -> DataFrame:
     """(doc_id, raw) of documents with boxed titles in capitals."""
-    line = L.in_band(L.lines_of(P.words(pages)), "generic")
-    rows = L.sectioned(line, "generic")
+    line = store(L.in_band(L.lines_of(P.words(pages)), "generic"), "generic_lines")
+    rows = store(L.sectioned(line, "generic"), "generic_sections")
     block = lambda title: L.slices(rows, "generic", {title: title})
     values = L.summary_fields(block("SUMMARY INFORMATION"))
     one = F.when(F.size("values") == 1, F.get("values", F.lit(0))).otherwise(F.to_json("values"))
@@ -94,7 +95,7 @@ def generic(pages: DataFrame) -> DataFrame:
     return L.assemble("nihr", summary, team, L.details(line, "generic"), budget)
 
 
-def parse(files: DataFrame, pages: DataFrame, docx: DataFrame | None = None, fallback: DataFrame | None = None) -> DataFrame:
+def parse(files: DataFrame, pages: DataFrame, docx: DataFrame | None = None, fallback: DataFrame | None = None, store: Store = checkpointed) -> DataFrame:
     """(doc_id, raw, parser) of files (doc_id, extension). pages: decoded; docx: (doc_id, text); fallback: (doc_id, raw)."""
     none = F.lit(None).cast("string")
     first = pages.where("page = 0").select("doc_id", F.col("text").alias("first_page"))
@@ -107,9 +108,9 @@ def parse(files: DataFrame, pages: DataFrame, docx: DataFrame | None = None, fal
 
     pdf = base.where("lower(extension) = '.pdf'")
     other = pdf.where(~is_form)
-    a = fellowship(only(other))
-    b = generic(only(left(other, a)))
-    c = rfpb(only(pdf.where(is_form).unionByName(left(left(other, a), b))))
+    a = store(fellowship(only(other), store), "parsed_fellowship")
+    b = store(generic(store(only(left(other, a)), "pages_generic"), store), "parsed_generic")
+    c = store(rfpb(store(only(pdf.where(is_form).unionByName(left(left(other, a), b))), "pages_rfpb"), store), "parsed_rfpb")
     rows = base
     for name, done in (("fellowship", a), ("generic", b), ("rfpb", c)):
         rows = rows.join(done.withColumnRenamed("raw", name), "doc_id", "left")

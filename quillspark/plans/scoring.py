@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,6 +21,15 @@ def keep_in_memory(df: DataFrame, _name: str) -> DataFrame:
     return df.persist()
 
 
+def checkpointed(df: DataFrame, _name: str) -> DataFrame:
+    """Cut the plan with a checkpoint in the folder of spark.checkpoint.dir; a fresh one where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        where = sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="quillspark-"))
+    return df.checkpoint()
+
+
 def store_in(folder: str) -> Store:
     """Write what a run makes once to tables under folder, and go on from them: model calls happen once, and a stopped run resumes."""
 

@@ -45,7 +45,7 @@ def docx_text(files: DataFrame) -> DataFrame:
 
 def json_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, stem, raw, modified): whole JSON files as text, keys in their order."""
-    rows = spark.read.option("wholetext", "true").text(path)
+    rows = spark.read.text(path, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("raw"))
     return rows.withColumn("stem", F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.json$", ""))
 

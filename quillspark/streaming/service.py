@@ -40,7 +40,7 @@ def serve(source: DataFrame, out: str, work: Callable[[DataFrame], DataFrame], c
             ok = F.try_parse_json("raw").isNotNull()
             bad = df.where(~ok).withColumn("detail", F.lit("not JSON"))
             good = df.where(ok)
-            log = _status(bad, "failed", "error").unionByName(_status(good, "accepted")).unionByName(_status(good, "parsed"))
+            log = _status(bad, "error", "failed").unionByName(_status(good, "accepted")).unionByName(_status(good, "parsed"))
             if features:
                 try:
                     put(features(good), "features")
@@ -51,7 +51,7 @@ def serve(source: DataFrame, out: str, work: Callable[[DataFrame], DataFrame], c
                 put(work(good), "results")
                 log = log.unionByName(_status(good, "scored")).unionByName(_status(good, "done", "done"))
             except Exception as e:
-                log = log.unionByName(_status(good, "failed", "error", repr(e)[:200]))
+                log = log.unionByName(_status(good, "error", "failed", repr(e)[:200]))
             put(log, "jobs")
         finally:
             df.unpersist()
@@ -79,7 +79,7 @@ def result(spark: SparkSession, out: str, job_id: str) -> tuple[int, str | None]
 
 def history(spark: SparkSession, folder: str) -> DataFrame:
     """(job_id, modified, title, doc_type, overall, n_sections, size) of result files named by twelve hex digits, the latest first; files that aren't JSON are left out."""
-    rows = spark.read.option("wholetext", "true").text(folder).select("value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"))
+    rows = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"))
     rows = rows.withColumn("job_id", F.regexp_extract("name", r"^([a-f0-9]{12})\.json$", 1)).where("job_id <> ''").where(F.try_parse_json("value").isNotNull())
     get = lambda p: F.get_json_object("value", p)
     return rows.select("job_id", "modified", get("$.title").alias("title"), get("$.doc_type").alias("doc_type"), get("$.overall.final_score_0to100").cast("double").alias("overall"), F.size(F.json_object_keys(get("$.features"))).alias("n_sections"), "size").orderBy(F.desc("modified"))
