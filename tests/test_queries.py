@@ -28,7 +28,7 @@ def rows(df, columns):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
-    assert len(got)
+    assert len(got) or name in registry.SQL
     if name in registry.SQL:
         want = duck.sql(registry.SQL[name]).df()
         columns = sorted(got.columns)
