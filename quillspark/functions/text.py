@@ -126,7 +126,9 @@ def syllables(word: Column) -> Column:
 
 
 def syllable_sum(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0), lambda a, w: a + syllables(w))
+    """Syllables of all of read_words, by passes over the joined words: vowel groups, and one for each word without any."""
+    text = F.regexp_replace(F.regexp_replace(F.lower(F.array_join(words, " ")), "['-]", ""), "e(?= |$)", "")
+    return let(text, lambda t: F.regexp_count(t, F.lit("[aeiouy]+")) + F.size(words) - F.regexp_count(t, F.lit("[^aeiouy ]*[aeiouy][^ ]*")))
 
 
 def flesch_kincaid(sentences: Column, words: Column, syllable_count: Column) -> Column:
@@ -174,20 +176,18 @@ def strip_think(c: Column | str) -> Column:
 
 def outer_object(c: Column | str) -> Column:
     """From the first { to the last }; the text itself if there is no such pair."""
-    found = F.regexp_extract(text_or_empty(c), r"(?s)\{.*\}", 0)
-    return F.when(found != "", found).otherwise(text_or_empty(c))
+    return let(text_or_empty(c), lambda t: F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit("")), t))
 
 
 def strip_fence(c: Column | str) -> Column:
     """Without a code fence around it."""
-    t = strip(text_or_empty(c))
-    return F.when(t.startswith("```"), strip(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?[^\n]*\n?", ""), r"```$", ""))).otherwise(t)
+    bare = lambda t: strip(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?[^\n]*\n?", ""), r"```$", ""))
+    return let(strip(text_or_empty(c)), lambda t: F.when(t.startswith("```"), bare(t)).otherwise(t))
 
 
 def json_object(c: Column | str) -> Column:
     """The JSON object in a model's answer, or null if there is none."""
-    found = outer_object(strip_fence(strip_think(c)))
-    return F.when(F.is_valid_variant_json(found), found) if hasattr(F, "is_valid_variant_json") else F.when(F.try_parse_json(found).isNotNull() & found.startswith("{"), found)
+    return let(outer_object(strip_fence(strip_think(c))), lambda t: F.when(F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull(), t))
 
 
 def parse_percent(c: Column | str) -> Column:
@@ -258,7 +258,9 @@ def has_caveat(c: Column | str) -> Column:
 def mentions(c: Column, signal: Column) -> Column:
     """Whether a text names a signal id as a word of its own, in either case."""
     mark = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}_])\Q"), signal, F.lit(r"\E(?![\p{L}\p{N}_])"))
-    return F.rlike(text_or_empty(c), mark)
+    t = text_or_empty(c)
+    # a pattern that varies by row is compiled for every row, so only where the id occurs at all
+    return F.when(F.contains(F.lower(t), F.lower(signal)), F.rlike(t, mark)).otherwise(F.lit(False))
 
 
 def caveat_about(c: Column | str, signal: Column) -> Column:

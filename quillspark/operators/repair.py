@@ -32,7 +32,7 @@ def sources(responses: DataFrame, subs: DataFrame) -> DataFrame:
     """
     rows = responses.select("doc_id", "section_key", F.posexplode(F.map_entries(F.from_json(T.json_object("raw"), "map<string,string>"))).alias("pos", "e"))
     rows = rows.select("doc_id", "section_key", "pos", F.col("e.value").alias("raw"), F.explode(F.array_distinct(F.array(F.col("e.key"), F.regexp_replace("e.key", r"\.[^.]*$", "")))).alias("sub_id"))
-    rows = rows.where(F.startswith(F.btrim("raw"), F.lit("{")) & F.try_parse_json("raw").isNotNull())
+    rows = rows.where(F.startswith(F.btrim("raw"), F.lit("{")))
     return rows.join(F.broadcast(subs.select("section_key", "sub_id")), ["section_key", "sub_id"], "left_semi")
 
 
@@ -76,7 +76,7 @@ def cap_perfect(signals: DataFrame, keys: tuple[str, ...] = ("doc_id", "section_
     named = signals.withColumn("named", T.mentions(F.col("drawbacks"), F.col("sid")))
     some = named.groupBy(*keys).agg(F.bool_or("named").alias("some_named"))
     rows = named.join(some, list(keys))
-    cut = (F.col("score") == 5) & T.has_caveat("drawbacks") & F.when(F.col("some_named"), F.col("named") & T.caveat_about("drawbacks", F.col("sid"))).otherwise(F.lit(True))
+    cut = (F.col("score") == 5) & (F.coalesce("drawbacks", F.lit("")) != "") & T.has_caveat("drawbacks") & F.when(F.col("some_named"), F.col("named") & T.caveat_about("drawbacks", F.col("sid"))).otherwise(F.lit(True))
     return rows.withColumn("uncapped", F.col("score")).withColumn("score", F.when(cut, 4).otherwise(F.col("score"))).drop("named", "some_named")
 
 

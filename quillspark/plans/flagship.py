@@ -16,13 +16,13 @@ def evidence_scores(spark: SparkSession, folder: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text")
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
-    n = F.size(T.read_words("text")).cast("double")
-    figures = docs.select(
+    n = F.size("words").cast("double")
+    figures = docs.withColumn("words", T.read_words("text")).select(
         "doc_id",
         "source",
         F.size(chunks.split_text(F.col("text"))).alias("n_chunks"),
         T.word_count("text").alias("n_words"),
-        T.flesch_kincaid(F.size(T.read_sentences("text")).cast("double"), n, T.syllable_sum(T.read_words("text")).cast("double")).alias("fk_grade"),
+        T.flesch_kincaid(F.size(T.read_sentences("text")).cast("double"), n, T.syllable_sum(F.col("words")).cast("double")).alias("fk_grade"),
         T.duplication(T.normalized_lines("text")).alias("duplication"),
     )
     rows = figures.join(labels, "doc_id", "left")

@@ -47,8 +47,8 @@ SELECT doc_id, CAST(s AS BIGINT) AS n_sentences, CAST(w AS BIGINT) AS n_words, C
 FROM n
 """)
 def readability(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", T.read_words("text").alias("w"), F.size(T.read_sentences("text")).cast("double").alias("s"))
-    rows = rows.select("doc_id", "s", F.size("w").cast("double").alias("w"), T.syllable_sum(F.col("w")).cast("double").alias("y"))
+    rows = t.documents.select("doc_id", T.read_words("text").alias("words"), F.size(T.read_sentences("text")).cast("double").alias("s"))
+    rows = rows.select("doc_id", "s", F.size("words").cast("double").alias("w"), T.syllable_sum(F.col("words")).cast("double").alias("y"))
     s, w, y = F.col("s"), F.col("w"), F.col("y")
     return rows.select("doc_id", long(s).alias("n_sentences"), long(w).alias("n_words"), long(y).alias("n_syllables"), dec(T.flesch_kincaid(s, w, y)).alias("fk_grade"), dec(T.reading_ease(s, w, y)).alias("reading_ease"))
 
