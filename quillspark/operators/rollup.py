@@ -16,12 +16,20 @@ def _keep(x: Column, _digits: int) -> Column:
     return x
 
 
+def exact_sum(x: Column) -> Column:
+    """A sum of doubles that doesn't depend on their order, to twelve places."""
+    return F.sum(x.cast("decimal(38,12)")).cast("double")
+
+
 def weighted_mean(value: Column, weight: Column, where: Column | None = None) -> Column:
-    """Over the rows that count; over all if none does; a total weight of 0 counts as 1."""
+    """Over the rows that count; over all if none does; a total weight of 0 counts as 1.
+
+    Means of scores of two places often end in a tie of the next rounding, so sums must be exact.
+    """
 
     def mean(v: Column, w: Column) -> Column:
-        total = F.sum(w)
-        return F.sum(v * w) / F.when(total == 0, 1.0).otherwise(total)
+        total = exact_sum(w)
+        return exact_sum(v * w) / F.when(total == 0, 1.0).otherwise(total)
 
     if where is None:
         return mean(value, weight)

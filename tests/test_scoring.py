@@ -116,6 +116,14 @@ def test_fallbacks(spark):
     assert empty["score_10"] == 0 and empty["good_items"] is None and empty["target_evidence_per_item"] == 5
 
 
+def test_sums_are_exact_before_a_tie(spark):
+    """Added up in any order as doubles, these may come to 46.589999999999996 and 7.76."""
+    keys = [k for k, _ in rubric.SECTIONS.values()]
+    rows = [("d", "", k, 1.0, f"{k}.1", 1.0, True, x, 1, 0, "high_confidence") for k, x in zip(keys, [7.67, 6.77, 8.83, 8.38, 7.11, 7.83], strict=True)]
+    sec = rollup.section_scores(sub_rows(spark, rows), carry=("section_weight", "doc_type"))
+    assert rollup.overall_scores(sec, rubric.excluded_sections(spark)).first()["score_10"] == 7.77
+
+
 def test_caps(spark):
     subs = sub_rows(spark, [("d", "llm_fallback", "application_form", 1.0, "af.1", 1.0, True, 9.0, 4, 0, "high_confidence"), ("e", "fellowship", "application_form", 1.0, "af.1", 1.0, True, 9.0, 4, 0, "high_confidence")])
     got = {r["doc_id"]: r for r in rollup.cap(subs, rubric.score_caps(spark)).collect()}
