@@ -2,10 +2,12 @@
 
 Token counts of documents add up to cells of source, language and topic. Raking
 scales the cells in turn to the target share of every source, language and topic
-until the margins agree; a cell's weight per token then gives its documents'
-inclusion probability, min(1, c * weight), with c calibrated so that the expected
-tokens are RATE of all. A hash of the id decides, so a rerun draws the same
-documents.
+until the margins agree. A cell gives at most its tokens, so for the draw the cells
+are raked again with those that are whole held, so that the expected tokens are
+RATE of all and every margin is at its target, or as near as its tokens allow: a
+value with too few tokens for its target at RATE is taken whole. The gaps of the
+expected draw to the targets are returned. A hash of the id decides, so a rerun
+draws the same documents.
 
 Targets default to the margins' token shares raised to POWER (which lifts small
 ones) and scaled to 1. Given targets may leave values out (share 0) or name values
@@ -25,6 +27,10 @@ from .common import SPACE_CLASS, stored
 POWER = 0.7
 RATE = 0.7
 SWEEPS = 12
+#: Largest relative gap at which margins agree, the sweeps to get there at most, and how many are planned at once.
+TOLERANCE, MOST_SWEEPS, STEP = 1e-9, 600, 3
+#: Cells up to this number are swept in one task, without shuffles.
+FEW = 10_000
 MARGINS = ("source", "lang", "topic")
 _NULL = "\0null"
 
@@ -81,24 +87,51 @@ def rake(cell: DataFrame, targets: dict[str, dict[str, float]] | None = None, ma
     return out.withColumn("off", F.greatest(*gaps))
 
 
-def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
-    """raked with probability. c grows until expected tokens reach rate of all, or every cell with weight is whole."""
-    density = F.try_divide(F.col("weight"), F.col("n"))
-    base = stored(raked.withColumn("density", F.coalesce(density, F.lit(0.0))), "density")
-    total = base.agg(F.sum("n")).first()[0] or 0
-    c = 0.0
-    for _ in range(60):  # each round fixes the cells that are whole; no more rounds than cells, few in practice
-        whole = F.col("density") * c >= 1
-        r = base.agg(F.sum(F.when(whole, F.col("n"))).alias("n"), F.sum(F.when(~whole, F.col("density") * F.col("n"))).alias("w")).first()
-        left = rate * total - (r["n"] or 0)
-        if not r["w"] or left <= 0:
-            break
-        new = left / r["w"]
-        if c and abs(new - c) <= 1e-12 * c:
+def gathered(cell: DataFrame, n_cells: int) -> DataFrame:
+    return cell.coalesce(1) if n_cells <= FEW else cell
+
+
+def held(cell: DataFrame, margin: str, cap: str, weight: str, goal: Column) -> DataFrame:
+    """cell with weight scaled by one factor a value of margin, so that the sum of min(cap, weight) there is goal (at most the caps' sum).
+
+    By rising weight / cap, a factor f gives min over k of (the caps after k) + f * (the weights up to k); the largest f that some k asks for is right.
+    """
+    one = Window.partitionBy(margin)
+    upto = one.orderBy(F.coalesce(F.try_divide(F.col(weight), F.col(cap)), F.lit(0.0))).rowsBetween(Window.unboundedPreceding, 0)
+    out = cell.withColumns({"_after": F.sum(cap).over(one) - F.sum(cap).over(upto), "_upto": F.sum(weight).over(upto)})
+    factor = F.max(F.try_divide(goal - F.col("_after"), F.col("_upto"))).over(one)
+    return out.withColumn(weight, F.coalesce(F.col(weight) * factor, F.lit(0.0))).drop("_after", "_upto")
+
+
+def calibrate(raked: DataFrame, rate: float = RATE, margins: tuple[str, ...] = MARGINS, tolerance: float = TOLERANCE, sweeps: int = MOST_SWEEPS) -> DataFrame:
+    """raked with probability, and a gap_ column a margin: the expected draw's share of the value over its target, less 1.
+
+    Cells are raked again with min(n, tokens) in place of tokens: a cell that is whole holds, and the others of its
+    margins make up for it. A value whose tokens are too few for its target at this rate is taken whole, and the
+    other values of the margin share the rest in proportion to their targets.
+    """
+    base = raked.withColumn("_cap", F.when(F.col("weight") > 0, F.col("n")).otherwise(0).cast("long"))
+    r = base.agg(F.sum("n").alias("n"), F.sum("_cap").alias("cap"), F.count("*").alias("cells")).first()
+    goal = min(rate * (r["n"] or 0), float(r["cap"] or 0))
+    out = base.withColumn("_x", F.col("weight") * goal)
+    for m in margins:  # what each value can give: its share of the goal, no more than it has
+        value = base.groupBy(m).agg(F.first(f"to_{m}").alias("_to"), F.sum("_cap").alias("_has")).withColumn("_all", F.lit(0))
+        value = held(value, "_all", "_has", "_to", F.lit(goal)).select(F.col(m).alias("_value"), F.least(F.col("_to"), F.col("_has").cast("double")).alias(f"_goal_{m}"))
+        out = out.join(stored(value, "goals"), F.col(m) == F.col("_value"), "left").drop("_value")
+    out = gathered(stored(out, "goals"), r["cells"])
+    x = F.least(F.col("_x"), F.col("_cap").cast("double"))
+    share = {m: F.try_divide(F.sum(x).over(Window.partitionBy(m)), F.lit(goal)) for m in margins}
+    for i in range(0, sweeps, STEP):
+        for m in margins * STEP:
+            out = held(out, m, "_cap", "_x", F.col(f"_goal_{m}"))
+        out = gathered(stored(out, "held"), r["cells"])
+        off = [F.abs(F.coalesce(F.try_divide(share[m] * goal, F.col(f"_goal_{m}")), F.lit(1.0)) - 1) for m in margins]
+        if (out.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
-        c = new
+    gaps = {f"gap_{m}": F.try_divide(share[m], F.col(f"to_{m}")) - 1 for m in margins}
     # a cell without tokens is drawn at the overall rate
-    return base.withColumn("probability", F.when(F.col("n") == 0, F.lit(float(rate))).otherwise(F.least(F.lit(1.0), F.col("density") * c)))
+    probability = F.when(F.col("n") == 0, F.lit(float(rate))).otherwise(F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("_x"), F.col("n"))), F.lit(0.0)))
+    return out.withColumns(gaps | {"probability": probability}).drop("_x", "_cap", *[f"_goal_{m}" for m in margins])
 
 
 def draw(id_col: Column, seed: int = 17) -> Column:
@@ -107,11 +140,11 @@ def draw(id_col: Column, seed: int = 17) -> Column:
 
 
 def assign(docs: DataFrame, cell: DataFrame, id_col: str = "doc_id", margins: tuple[str, ...] = MARGINS) -> DataFrame:
-    """docs with probability, weight and kept.
+    """docs with probability, weight, a gap_ column a margin, and kept.
 
     cell was written and read again, so the planner knows its size and broadcasts it only if it is small.
     """
-    right = stored(cell.select(*[F.col(m).alias(f"_{m}") for m in margins], "probability", F.coalesce(F.try_divide(F.col("weight"), F.col("n")), F.lit(0.0)).alias("weight")), "probabilities")
+    right = stored(cell.select(*[F.col(m).alias(f"_{m}") for m in margins], "probability", F.coalesce(F.try_divide(F.col("weight"), F.col("n")), F.lit(0.0)).alias("weight"), *[f"gap_{m}" for m in margins]), "probabilities")
     on = None
     for m in margins:
         c = F.coalesce(docs[m].cast("string"), F.lit(_NULL)) == right[f"_{m}"]
@@ -119,8 +152,8 @@ def assign(docs: DataFrame, cell: DataFrame, id_col: str = "doc_id", margins: tu
     return docs.join(right, on, "left").drop(*[f"_{m}" for m in margins]).withColumn("kept", draw(F.col(id_col)) < F.col("probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents with tokens, topic, probability, weight, kept and without their text; the calibrated cells)."""
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> tuple[DataFrame, DataFrame]:
+    """(documents with tokens, topic, probability, weight, gaps, kept and without their text; the calibrated cells)."""
     rows = stored(docs.select(id_col, "source", "lang", topic(F.col(text_col)).alias("topic"), n_tokens(F.col(text_col)).alias("tokens")), "tokens")
-    cell = stored(calibrate(rake(cells(rows), targets)), "calibrated")
+    cell = stored(calibrate(rake(cells(rows), targets), rate), "calibrated")
     return assign(rows, cell, id_col), cell

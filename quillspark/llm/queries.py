@@ -46,7 +46,7 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+    return out.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept", *[f"gap_{m}" for m in mixing.MARGINS])
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

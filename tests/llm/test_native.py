@@ -132,6 +132,33 @@ def test_raking_meets_every_margin(spark):
     assert again == {r["doc_id"]: r["kept"] for r in rows}
 
 
+def test_draw_meets_the_targets_beside_full_cells(spark):
+    """A value that is short of its target is taken whole, the others share the rest in proportion, and the other margins are met."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice("abcd"), rng.choice(["en", "en", "en", "de"]), "x " * rng.randint(5, 30) + ("@" if i % 40 == 0 else " | " if i % 3 == 0 else "")) for i in range(3000)]
+    docs, cell = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string"))
+    cells = cell.collect()
+    total = sum(r["n"] for r in cells)
+    drawn = sum(r["probability"] * r["n"] for r in cells)
+    assert abs(drawn - mixing.RATE * total) < 1e-6 * total
+    share = {m: {} for m in mixing.MARGINS}
+    for r in cells:
+        for m in mixing.MARGINS:
+            s = share[m].setdefault(r[m], [0.0, r[f"to_{m}"], 0, r[f"gap_{m}"]])
+            s[0] += r["probability"] * r["n"] / drawn
+            s[2] += r["n"]
+    for m in mixing.MARGINS:
+        assert all(abs(x / to - 1 - gap) < 1e-6 for x, to, _, gap in share[m].values())
+        short = {v for v, (_, to, n, _) in share[m].items() if n < to * mixing.RATE * total}
+        assert short == ({"contact"} if m == "topic" else set())
+        assert all(abs(share[m][v][0] * drawn - share[m][v][2]) < 1e-6 * total for v in short)
+        rest = [x / to for v, (x, to, _, _) in share[m].items() if v not in short]
+        assert max(rest) - min(rest) < 1e-6
+    # at a rate that the tokens allow, no gap is left
+    _, cell = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string"), rate=0.2)
+    assert max(abs(r[f"gap_{m}"]) for r in cell.collect() for m in mixing.MARGINS) < 1e-6
+
+
 def test_targets_and_edges(spark):
     docs, _ = mixed(spark, targets={"source": {"s0": 1.0, "s1": 1.0, "unknown": 5.0}})
     rows = docs.collect()
