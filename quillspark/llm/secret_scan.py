@@ -3,8 +3,8 @@
 Entropy spans: a candidate is a maximal run of ``[A-Za-z0-9+/_=-]`` of MIN_RUN
 characters or more. A window of WINDOW characters slides over it; counts change
 by one character in and one out, and the window's Shannon entropy is compared
-with the threshold of the character class that the window falls in (hex,
-alphanumeric, full). Windows over the threshold merge to a span. Allow-listed
+with the threshold of the character class that the window falls in (hex of
+either case, alphanumeric, full). Windows over the threshold merge to a span. Allow-listed
 candidates and spans that meet a pattern's span are dropped.
 
 Null text counts as empty: no spans, the hash of the empty string. Repeated rows
@@ -81,8 +81,8 @@ def entropy_spans(run: str) -> list[tuple[int, int]]:
     def kinds(c: str) -> tuple[int, ...]:
         if c.isdigit():
             return (0, 4)
-        if c in "abcdef":
-            return (1, 4)
+        if c in "abcdefABCDEF":
+            return (1 if c.islower() else 2, 4)
         return (1,) if c.islower() else (2,) if c.isupper() else (3,)
 
     for i, c in enumerate(run):

@@ -66,6 +66,17 @@ def test_incremental_entropy_equals_fresh_counts():
         assert S.entropy_spans(run) == brute_entropy(run)
 
 
+def test_hex_of_either_case_is_found_alike():
+    """A key's case changes its class only by the letters: upper-case hex is found as often, and as far, as lower-case."""
+    rng = random.Random(6)
+    for n in (20, 32, 40, 64):
+        keys = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for _ in range(200)]
+        low = [S.entropy_spans(k) for k in keys]
+        assert [S.entropy_spans(k.upper()) for k in keys] == low
+        assert sum(map(bool, low)) >= 190 and sum(e - s for x in low for s, e in x) >= 0.9 * 200 * n
+    assert S.all_spans("key 4F9C02D7A1E85B36C0D4 end")[1] == [(4, 24, "entropy")]
+
+
 def test_entropy_and_allow_list():
     key = "Zx9+Qw3/Rt7=Yu1_Io5-Pa8Sd2Fg6"
     assert S.all_spans(f"see {key} here")[1] == [(4, 4 + len(key), "entropy")]
