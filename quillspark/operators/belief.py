@@ -89,3 +89,52 @@ def state_view(s: DataFrame) -> DataFrame:
     resolved = F.transform(F.filter(entries, lambda e: (F.size(e["value"]["good_evidence_ids"]) > 0) | (F.size(e["value"]["bad_evidence_ids"]) > 0)), lambda e: e["key"])
     said = F.filter(F.transform(entries, lambda e: F.struct(e["key"].alias("sub_id"), F.slice(F.filter(F.transform(e["value"]["implications"], lambda x: F.substring(strip(x), 1, CUT)), lambda x: x != ""), 1, 2).alias("implications"))), lambda x: F.size(x["implications"]) > 0)
     return s.select("doc_id", F.slice("processed_sections", F.greatest(F.lit(1), n - 9), F.lit(10)).alias("processed_sections"), n.alias("processed_section_count"), "missing_signals", F.array_distinct(resolved).alias("resolved_signals"), said.alias("signal_implications"))
+
+
+def section_findings(answer: dict, section: str, sub_ids: list[str], chunk_ids: list[str]) -> dict[str, dict]:
+    """normalize() of one answer in plain Python, for the loop over sections: sub_id -> good, bad, implication."""
+    out: dict[str, dict] = {}
+    subs, ok, prefix = set(sub_ids), set(chunk_ids), f"{section}:"
+
+    def known(ids: object) -> list[str]:
+        return list(dict.fromkeys(x for x in ids if isinstance(x, str) and x in ok))[:MOST] if isinstance(ids, list) else []
+
+    def named(said: str) -> str:
+        return (said if said.startswith(prefix) else f"{prefix} {said}" if said else prefix)[:CUT]
+
+    findings = answer.get("findings")
+    for f in findings if isinstance(findings, list) else []:
+        sub = f.get("sub_id") if isinstance(f, dict) else None
+        if not isinstance(sub, str) or sub not in subs:
+            continue
+        evidence = f.get("evidence") if isinstance(f.get("evidence"), dict) else {}
+        good, bad = known(evidence.get("good_evidence_ids")), known(evidence.get("bad_evidence_ids"))
+        if not good and not bad:
+            continue
+        said = f["implication"].strip() if isinstance(f.get("implication"), str) else ""
+        if sub not in out:
+            out[sub] = {"good": good, "bad": bad, "implication": named(said)}
+            continue
+        held = out[sub]
+        held["good"] = list(dict.fromkeys(held["good"] + good))[:MOST]
+        held["bad"] = list(dict.fromkeys(held["bad"] + bad))[:MOST]
+        if said and not held["implication"].endswith(said):
+            held["implication"] = named(said)
+    return out
+
+
+def running_view(sections: list[str], found: list[dict[str, dict]], sub_ids: list[str]) -> dict:
+    """state_view() after sections with what section_findings() found in each, in order of first appearance."""
+    said: dict[str, list[str]] = {}
+    for one in found:
+        for sub, f in one.items():
+            said.setdefault(sub, []).append(f["implication"].strip())
+    names = list(dict.fromkeys(sections))
+    cut = {sub: [x[:CUT] for x in dict.fromkeys(xs) if x][:2] for sub, xs in said.items()}
+    return {
+        "processed_sections": names[-10:],
+        "processed_section_count": len(names),
+        "missing_signals": [s for s in sub_ids if s not in said],
+        "resolved_signals": list(said),
+        "signal_implications": [{"sub_id": sub, "implications": xs} for sub, xs in cut.items() if xs],
+    }

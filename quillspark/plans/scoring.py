@@ -14,6 +14,9 @@ from ..functions import text as T
 from ..operators import belief, chunks, repair, retrieval, rollup, rubric as R
 from ..sources.scorers import Generate, call, first_object
 
+#: Stands for a document's chunk ids in a section's schema.
+CHUNK_IDS = "@chunk_ids@"
+
 Store = Callable[[DataFrame, str], DataFrame]
 
 
@@ -68,11 +71,11 @@ def stage1(inputs: DataFrame, criteria_json: str, sub_ids: list[str], generate:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, seen, missing = [], [], list(sub_ids)
+        out, seen, known = [], [], []
         for r in pdf.sort_values("section_pos").itertuples():
-            state = json.dumps({"processed_sections": seen[-10:], "processed_section_count": len(seen), "missing_signals": missing})
+            state, chunk_ids = json.dumps(belief.running_view(seen, known, sub_ids), ensure_ascii=False), list(json.loads(r.content))
             messages = json.dumps([{"role": "system", "content": "Answer with JSON only."}, {"role": "user", "content": f"Section: {r.section_name}\nContent:\n{r.content}\nCriteria:\n{criteria_json}\nState:\n{state}"}], ensure_ascii=False)
-            schema = json.dumps(R.evidence_schema(sub_ids, list(json.loads(r.content))))
+            schema = json.dumps(R.evidence_schema(sub_ids, chunk_ids))
             raw, ok, error, attempt = "", False, None, 0
             for attempt in range(1, retries + 2):
                 try:
@@ -89,20 +92,25 @@ def stage1(inputs: DataFrame, criteria_json: str, sub_ids: list[str], generate:
             if not ok:
                 break
             seen.append(r.section_name)
-            named = {f.get("sub_id") for f in found.get("findings") or [] if isinstance(f, dict)}
-            missing = [s for s in missing if s not in named]
+            known.append(belief.section_findings(found, r.section_name, sub_ids, chunk_ids))
         return pd.DataFrame(out, columns=["doc_id", "section_pos", "section_name", "raw", "ok", "attempts", "error"])
 
     return inputs.groupBy("doc_id").applyInPandas(run, "doc_id string, section_pos int, section_name string, raw string, ok boolean, attempts int, error string")
 
 
 def stage2_requests(chunk: DataFrame, beliefs: DataFrame, rubric: DataFrame) -> DataFrame:
-    """(doc_id, section_key, messages): one a rubric section, over the whole text."""
+    """(doc_id, section_key, messages, schema): one a rubric section, over the whole text; the schema names its signals and the document's chunks."""
     views = R.prompt_view(rubric)
     subs = R.subs(rubric).select("sub_id", "section_key")
     one = F.struct("belief_pos", F.to_json(F.struct("sub_id", "good", "bad", "implications")).alias("j"))
     held = beliefs.join(F.broadcast(subs), "sub_id").groupBy("doc_id", "section_key").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["j"]), ","), F.lit("]")).alias("beliefs"))
-    return retrieval.stage2_messages(retrieval.full_text(chunk), views, held)
+    sections: dict[str, dict[str, list[str]]] = {}
+    for r in rubric.orderBy("section_pos", "sub_pos", "signal_pos").select("section_key", "sub_id", "sid").collect():  # a rubric's few hundred rows
+        sections.setdefault(r["section_key"], {}).setdefault(r["sub_id"], []).append(r["sid"])
+    forms = R.small(rubric.sparkSession, ((k, json.dumps(R.scoring_schema(list(x.items()), [CHUNK_IDS]))) for k, x in sections.items()), "section_key string, form string")
+    ids = chunk.groupBy("doc_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("chunk_pos", "chunk_id"))), lambda x: x["chunk_id"])).alias("ids"))
+    rows = retrieval.stage2_messages(retrieval.full_text(chunk), views, held).join(F.broadcast(forms), "section_key").join(ids, "doc_id")
+    return rows.select("doc_id", "section_key", "messages", F.replace("form", F.lit(json.dumps([CHUNK_IDS])), F.col("ids")).alias("schema"))
 
 
 def roll_up(responses: DataFrame, chunk: DataFrame, rubric: DataFrame, doc_types: DataFrame, evidence_cap: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -128,7 +136,7 @@ def score(applications: DataFrame, rubric: DataFrame, generate: Generate, store:
     chunk = store(chunks.pool(applications), "chunks")
     types = store(applications.select(F.col("doc_id").cast("string").alias("doc_id"), F.lower(F.coalesce(F.get_json_object("raw", "$.doc_type"), F.lit(""))).alias("doc_type")), "doc_types")
     inputs = retrieval.section_inputs(chunk)
-    view = R.stage1_view(rubric).orderBy("section_pos", "sub_pos", "signal_pos").select("sid", "sub_id", "text").collect()  # a rubric's few hundred rows
+    view = R.stage1_view(rubric).orderBy("section_pos", "sub_pos", "signal_pos").select("sid", "sub_id", "sub_name", "section_name", "text").collect()  # a rubric's few hundred rows
     subs = list(dict.fromkeys(r["sub_id"] for r in view))
     raw1 = store(stage1(inputs, json.dumps({"signals": [r.asDict() for r in view]}), subs, generate, retries=retries), "stage1_raw")
     sub_table = R.subs(rubric)

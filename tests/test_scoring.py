@@ -192,3 +192,34 @@ def test_whole_run(spark, rub, tmp_path):
     again = scoring.score(apps, rub, FakeScorer(()), scoring.store_in(str(tmp_path / "run")))  # resumes: no model is asked
     assert again.overall.first()["score_10"] == 0.2
     assert F.col is not None
+
+
+def test_requests_hold_the_state_and_the_schema(spark, rub, tmp_path):
+    """The second section sees the repaired state of the first; stage 2 is bound to the section's signals and the document's chunks."""
+    first = {"findings": [finding("g.1", ["zz__9"], [], "no such chunk"), finding("pr.1", ["a__1", "zz__9"], [], "clear"), finding("pr.1", [], ["a__1"], "dear")], "resolved_signals": ["g.1", "pr.1"]}
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def generate(messages, schema, tokens):
+        user = json.loads(messages)[1]["content"]
+        (asked / user.split("\n")[0].removeprefix("Section: ")).write_text(user)
+        return json.dumps(first if user.startswith("Section: A") else {"findings": []})
+
+    inputs = spark.createDataFrame([("d", 0, "A", '{"a__1": "x"}'), ("d", 1, "B", '{"b__1": "y"}')], "doc_id string, section_pos int, section_name string, content string")
+    raw = scoring.stage1(inputs, "{}", ["g.1", "pr.1"], generate).cache()
+    assert raw.count() == 2
+    state = json.loads((asked / "B").read_text().split("State:\n")[1])
+    assert state == {"processed_sections": ["A"], "processed_section_count": 1, "missing_signals": ["g.1"], "resolved_signals": ["pr.1"], "signal_implications": [{"sub_id": "pr.1", "implications": ["A: dear"]}]}
+    valid = spark.createDataFrame([("d", "A", ["a__1"]), ("d", "B", ["b__1"])], "doc_id string, section_name string, chunk_ids array<string>")
+    found = belief.normalize(raw, valid, rubric.subs(rub).where("section_key <> 'application_form'"))
+    subs = rubric.subs(rub).where("sub_id in ('g.1', 'pr.1')")
+    view = belief.state_view(belief.state(raw.where("section_name = 'A'"), found, subs)).drop("doc_id").first().asDict(True)
+    assert view == state
+
+    chunk = spark.createDataFrame(CHUNKS, SCHEMA)
+    asks = {r["section_key"]: json.loads(r["schema"]) for r in scoring.stage2_requests(chunk, belief.beliefs(found), rub).where("doc_id = 'd'").collect()}
+    want = {}
+    for r in rub.orderBy("section_pos", "sub_pos", "signal_pos").collect():
+        want.setdefault(r["section_key"], {}).setdefault(r["sub_id"], []).append(r["sid"])
+    ids = [r["chunk_id"] for r in chunk.where("doc_id = 'd'").orderBy("chunk_pos").collect()]
+    assert asks == {k: rubric.scoring_schema(list(x.items()), ids) for k, x in want.items()}
