@@ -5,7 +5,9 @@ characters or more. A window of WINDOW characters slides over it; counts change
 by one character in and one out, and the window's Shannon entropy is compared
 with the threshold of the character class that the window falls in (hex of
 either case, alphanumeric, full). Windows over the threshold merge to a span. Allow-listed
-candidates and spans that meet a pattern's span are dropped.
+candidates are dropped, and of longer ones the values between separators that hold
+a placeholder; what stands beside these is a candidate of its own. A span that
+patterns' spans cover is dropped; one that reaches beyond them stays whole.
 
 Null text counts as empty: no spans, the hash of the empty string. Repeated rows
 each give a row; extra columns are not read.
@@ -45,9 +47,12 @@ ALLOW = tuple(
         r"\d{4}-\d{2}-\d{2}[T_]?[\d-]*",  # dates and times
         r"[\d+/=_-]+",  # figures alone
         r"[A-Za-z+/=_-]+",  # letters alone: long words, paths
-        r"(?i).*(example|placeholder|changeme|lorem|xxxx|0123456789|abcdefgh).*",
     )
 )
+#: A value between separators that holds one of these is not a secret.
+PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|lorem|xxxx|0123456789|abcdefgh")
+SEPARATORS = "/=_-"
+VALUE = re.compile(r"[^/=_-]+")
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RUN_BYTE = np.zeros(256, bool)
@@ -109,10 +114,34 @@ def entropy_spans(run: str) -> list[tuple[int, int]]:
     return out
 
 
+def candidates(run: str) -> Iterator[tuple[int, str]]:
+    """(start, text) of what is to be tested of a run: all of it, or what stands between its placeholders."""
+    at = 0
+    found = [m for m in VALUE.finditer(run) if PLACEHOLDER.search(m.group())] if PLACEHOLDER.search(run) else []
+    for m in [*found, None]:
+        part = run[at : m.start() if m else len(run)]
+        if m or at:
+            at += len(part) - len(part.lstrip(SEPARATORS))
+            part = part.strip(SEPARATORS)
+        if len(part) >= MIN_RUN and not allowed(part):
+            yield at, part
+        at = m.end() if m else at
+
+
 def allowed(run: str) -> bool:
     return any(p.fullmatch(run) for p in ALLOW)
 
 
+def covered(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
+    """Whether the patterns' spans, which are sorted by start, hold all of start to end."""
+    for s, e, _ in base:
+        if s <= start < e:
+            start = e
+        if s > start or start >= end:
+            break
+    return start >= end
+
+
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The patterns' spans, and all spans with those of the entropy test."""
     base = base_spans(text)
@@ -120,10 +149,11 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     for m in RUN.finditer(text):
         if allowed(m.group()):
             continue
-        for s, e in entropy_spans(m.group()):
-            s, e = s + m.start(), e + m.start()
-            if not any(s < be and bs < e for bs, be, _ in base):
-                more.append((s, e, "entropy"))
+        for at, part in candidates(m.group()):
+            for s, e in entropy_spans(part):
+                s, e = s + at + m.start(), e + at + m.start()
+                if not covered(s, e, base):
+                    more.append((s, e, "entropy"))
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
