@@ -207,7 +207,7 @@ def test_recall(spark):
 
 def test_recall_over_blocks_with_ties(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 300)
-    monkeypatch.setattr(ann, "QUERIES", 16)
+    monkeypatch.setattr(ann, "MOST_TASKS", 2)
     monkeypatch.setattr(ann, "TOGETHER", 7)
     rng = np.random.default_rng(12)
     v = rng.normal(size=(900, 24)) * rng.uniform(0.5, 2, (900, 1))
@@ -227,8 +227,44 @@ def test_recall_over_blocks_with_ties(spark, monkeypatch):
 
 def test_vectors_that_take_no_part(spark):
     good = [(i, [float(i), 1.0]) for i in range(1, 5)] + [(20, [1.0, 1.0])]
-    odd = [(40, None), (60, [0.0, 0.0]), (80, [1.0, None]), (100, [float("nan"), 1.0]), (120, [float("inf"), 1.0]), (None, [1.0, 1.0]), (140, [1.0]), (160, [])]
-    got = ann.search(spark.createDataFrame(good + odd, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    odd = [(40, None), (60, [0.0, 0.0]), (80, [1.0, None]), (100, [float("nan"), 1.0]), (120, [float("inf"), 1.0]), (None, [1.0, 1.0]), (160, [])]
+    df = spark.createDataFrame([(*x, 1, 2) for x in good + odd], "vec_id long, embedding array<double>, block int, d int")
+    got = ann.search(df).orderBy("rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(20, 4), (20, 3), (20, 2), (20, 1)]
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert ann.search(spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<double>")).count() == 0
+
+
+def by_query(df):
+    got = {}
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got
+
+
+def test_vectors_of_any_magnitude_and_length_take_part(spark):
+    """Finite vectors however large or small; lengths meet their own; a repeated query is answered once."""
+    rows = [(20, [1e200, 1e200]), (40, [1e-200, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [-1e200, 1e200])]
+    got = by_query(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert [v for v, _ in got[20]] == [2, 1, 40, 3] and got[20][0][1] == 2e200
+    assert got[40] == [(20, 1.0), (2, 2e-200), (1, 1e-200), (3, -1.0)]
+    big = by_query(spark.createDataFrame([(20, [1e200]), (1, [1e200]), (2, [1.0])], "vec_id long, embedding array<double>"))
+    assert big[20] == [(1, float("inf")), (2, 1e200)]
+    rows = [(20, [1.0, 0.0]), (1, [3.0, 0.0]), (40, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (20, [1.0, 0.0]), (60, [5.0])]
+    got = by_query(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got == {20: [(1, 3.0)], 40: [(2, 2.0)]}
+
+
+def test_search_stops_before_all_is_verified():
+    """In clustered vectors the stopping test holds after a part of the leaves, and finds the same."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32)) * 4
+    v = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 32)) * 0.1
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    block = ann.Block(np.arange(6000), v, float(np.abs(v).max()), 1.000001 / float(np.abs(v).max()))
+    ids, _, tried = block.nearest(np.arange(100), v[:100])
+    assert tried < 0.2 * 100 * 6000
+    for i in range(100):
+        s = ann.score(v, v[i])
+        s[i] = -np.inf
+        assert len(set(ids[i].tolist()) & set(np.lexsort((np.arange(6000), -s))[:20].tolist())) >= 18
