@@ -2,14 +2,16 @@
 
 Filters of several widths run over the bytes; max pooling over a window of WINDOW
 positions and a softmax layer give a distribution over the learned languages. The
-network is trained in numpy on the driver, on a bounded sample: at most PER_LANG
-labelled documents of a language in expectation, chosen by a hash, of each TAKE
-windows. Prediction covers every window of a whole text; a window counts by the
-bytes of text in it.
+network is trained in numpy on the driver, on a bounded sample: PER_LANG labelled
+documents of a language and SAMPLE in all, in expectation, chosen by a hash, of
+each TAKE windows. No language is left out; where there are more than SAMPLE /
+PER_LANG, each has fewer documents. Prediction covers every window of a whole text,
+however long; a window counts by the bytes of text in it.
 
 Null text, and text without a letter, gives ``und`` with score 0. Without
-labelled rows every text does. Repeated rows each give a row; extra columns are
-not read.
+labelled rows, and on an empty table, every text does. A null id has no remainder:
+it isn't held out. Repeated rows and ids each give a row; extra columns, of any
+name, are not read.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship, text_steps, tidy
+from .common import ship, stored, text_steps, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 PER_LANG = 1500
-MAX_LANGS = 256
+SAMPLE = 48_000
 TAKE = 2
 EPOCHS = 6
 #: Windows of one vectorised step.
@@ -136,27 +138,29 @@ class Net:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_lang: int = PER_LANG) -> Net | None:
+def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_lang: int = PER_LANG, sample: int = SAMPLE) -> Net | None:
     """Learn from docs, a bounded sample of them; None if no row has a label and a letter."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("y")).where("y is not null and t is not null")
-    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_LANGS).collect()
-    if not counts:
+    counts = stored(rows.groupBy("y").agg(F.count("*").alias("n")), "languages")  # written, so that the planner knows its size
+    n_langs = counts.count()
+    if not n_langs:
         return None
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["y"], per_lang / r["count"])])
     draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     places = [F.substring("t", F.greatest(F.lit(1), F.floor((F.length("t") - WINDOW) * (k / max(1, TAKE - 1)))).cast("int"), WINDOW + PAD) for k in range(TAKE)]
-    sample = rows.where(F.try_element_at(share, F.col("y")) > draw).where(F.col("t").rlike(r"\p{L}")).select("id", "y", F.array(*places).alias("parts")).collect()
-    sample.sort(key=lambda r: (r["id"] is None, r["id"]))
-    if not sample:
+    share = counts.select(F.col("y").alias("_y"), (min(per_lang, sample / n_langs) / F.col("n")).alias("share"))
+    near = rows.join(share, rows["y"] == share["_y"]).where(F.col("share") > draw)
+    got = near.where(F.col("t").rlike(r"\p{L}")).select("id", "y", F.array(*places).alias("parts")).collect()
+    got.sort(key=lambda r: (r["id"] is None, r["id"] or 0, r["y"], r["parts"]))
+    if not got:
         return None
-    langs = sorted({r["y"] for r in sample})
+    langs = sorted({r["y"] for r in got})
     number = {v: i for i, v in enumerate(langs)}
     net = Net(langs)
-    net.train([p.encode() for r in sample for p in r["parts"]], np.array([number[r["y"]] for r in sample for _ in r["parts"]]))
+    net.train([p.encode() for r in got for p in r["parts"]], np.array([number[r["y"]] for r in got for _ in r["parts"]]))
     return net
 
 

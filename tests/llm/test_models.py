@@ -37,6 +37,20 @@ def test_language_edges(spark):
     assert langid.predict(train.select("doc_id", "text"), None).first()["lang_pred"] == "und"
 
 
+def test_language_ids_ties_and_many_languages(spark):
+    """Null ids aren't held out; equal ids train in a fixed order; no language is dropped; clashing columns don't matter."""
+    rows = [(1 if i % 3 else None, f"w{i % 300} " * 30, f"l{i % 300:03d}", "x") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    assert df.where(langid.held_out().isNull()).count() == 0 and df.where("doc_id is null").where(langid.held_out()).count() == 0
+    nets = [langid.fit(df.repartition(n)) for n in (1, 5)]
+    assert len(nets[0].langs) == 300
+    assert all((a == b).all() for a, b in zip(nets[0].filters, nets[1].filters, strict=True))
+    assert langid.predict(df, nets[0]).count() == 900
+    ids = spark.createDataFrame([(i, t, y) for i, (_, t, y, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    few = langid.fit(ids, sample=200)
+    assert few is not None and len(few.langs) < 200
+
+
 def test_network_windows_equal_plain_convolution():
     net = langid.Net(["a", "b"], seed=3)
     text = bytes(np.random.default_rng(1).integers(1, 255, 700, dtype=np.uint8))
