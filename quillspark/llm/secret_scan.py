@@ -7,10 +7,13 @@ with the threshold of the character class that the window falls in (hex of
 either case, alphanumeric, full). Windows over the threshold merge to a span. Allow-listed
 candidates are dropped, and of longer ones the values between separators that hold
 a placeholder; what stands beside these is a candidate of its own. A span that
-patterns' spans cover is dropped; one that reaches beyond them stays whole.
+patterns' spans cover is dropped; one that reaches beyond them stays whole. A window
+without a digit has no class and is not flagged: words and paths would be.
 
 Null text counts as empty: no spans, the hash of the empty string. Repeated rows
-each give a row; extra columns are not read.
+and ids, and null ids, each give a row. An empty table gives no rows. Very long
+texts are scanned whole, in time that grows with their length. Extra columns, of
+any name, are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -132,19 +134,21 @@ def allowed(run: str) -> bool:
     return any(p.fullmatch(run) for p in ALLOW)
 
 
-def covered(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
-    """Whether the patterns' spans, which are sorted by start, hold all of start to end."""
+def united(base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Spans sorted by start as the stretches that they cover together."""
+    out: list[tuple[int, int]] = []
     for s, e, _ in base:
-        if s <= start < e:
-            start = e
-        if s > start or start >= end:
-            break
-    return start >= end
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """The patterns' spans, and all spans with those of the entropy test."""
+    """The patterns' spans, and all spans with those of the entropy test. Runs go forward, and the stretches with them."""
     base = base_spans(text)
+    stretches, i = united(base), 0
     more = []
     for m in RUN.finditer(text):
         if allowed(m.group()):
@@ -152,7 +156,9 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
         for at, part in candidates(m.group()):
             for s, e in entropy_spans(part):
                 s, e = s + at + m.start(), e + at + m.start()
-                if not covered(s, e, base):
+                while i < len(stretches) and stretches[i][1] < e:
+                    i += 1
+                if i == len(stretches) or stretches[i][0] > s:
                     more.append((s, e, "entropy"))
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 

@@ -109,3 +109,45 @@ def test_empty_table_and_long_text(spark):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     long = "word " * 900_000 + "token=abcdefgh12"
     assert S.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()["n_assign"] == 1
+
+
+def covered(start, end, base):
+    """Whether the patterns' spans hold every character, one by one."""
+    return set(range(start, end)) <= {i for s, e, _ in base for i in range(s, e)}
+
+
+def test_entropy_spans_that_patterns_cover_go():
+    for t in texts():
+        base, spans = S.all_spans(t or "")
+        assert [x for x in spans if x[2] != "entropy"] == base
+        assert not any(covered(s, e, base) for s, e, k in spans if k == "entropy"), t
+    # with all patterns taken away, nothing covers: what is left out above is what they cover
+    found = 0
+    for t in filter(None, texts()):
+        base, spans = S.all_spans(t)
+        every = [(s + at + m.start(), e + at + m.start()) for m in S.RUN.finditer(t) if not S.allowed(m.group()) for at, part in S.candidates(m.group()) for s, e in S.entropy_spans(part)]
+        assert [(s, e) for s, e, k in spans if k == "entropy"] == [x for x in every if not covered(*x, base)]
+        found += len(every) - sum(k == "entropy" for *_, k in spans)
+    assert found
+
+
+def test_many_spans_take_time_in_proportion():
+    import time
+
+    key = "Zx9+Qw3RtB7Yu1IoH5Pa8Sd2Fg6"
+    took = []
+    for n in (2_000, 20_000):
+        text = f"token=abcdefgh12 {key} " * n
+        began = time.process_time()
+        base, spans = S.all_spans(text)
+        took.append(time.process_time() - began)
+        assert len(base) == n and len(spans) == 2 * n
+    assert took[1] < 30 * took[0]
+
+
+def test_ids_and_clashing_columns(spark):
+    rows = [(None, "token=abcdefgh12", "a", 1), (3, "token=abcdefgh12", "b", 2), (3, "token=abcdefgh12", "b", 2), (3, None, "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hex int")
+    got = sorted(((r["doc_id"], r["n_assign"], r["spans"]) for r in S.scan(df).collect()), key=str)
+    assert got == sorted([(None, 1, "assign:0:16"), (3, 1, "assign:0:16"), (3, 1, "assign:0:16"), (3, 0, "")], key=str)
+    assert S.redact(df).columns == df.columns and S.redact(df).where("text = '[SECRET]'").count() == 3
