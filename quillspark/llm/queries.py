@@ -28,10 +28,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table holds no preferences: conversation 2k stands for the chosen and 2k + 1 for the rejected side."""
-    rows = table(spark, sf_dir, "conversations")
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
-    return preference.format_pairs(preference.turns(rows, pair, F.pmod(F.col("conv_id"), F.lit(2)) == 0))
+    """The table holds no preferences: a conversation is chosen, and rejected with the next one's last answer in place of its own."""
+    return preference.format_pairs(preference.swapped(table(spark, sf_dir, "conversations")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference_format": preference.PAIRS_SQL}
+    return {"op3_preference_format": preference.SWAPPED_SQL}

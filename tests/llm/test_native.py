@@ -102,7 +102,7 @@ def pairs(spark, chosen, rejected):
     con = duckdb.connect()
     con.register("conversations", df.toPandas())
     got = preference.format_pairs(preference.turns(df, (df["conv_id"] / 2).cast("long"), df["conv_id"] % 2 == 0)).collect()
-    want = con.sql(preference.PAIRS_SQL).fetchall()
+    want = con.sql(preference.NEIGHBOURS_SQL).fetchall()
     assert [tuple(r[c] for c in ("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")) for r in got] == want
     return got
 
@@ -123,12 +123,30 @@ def test_preferences(spark):
     assert pairs(spark, [u], []) == []
 
 
+PAIR = ("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
+
+
 @needs_tables
 def test_preferences_equal_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    got = queries.op3_preference_format(spark, SF)
-    assert sorted(map(tuple, got.collect())) == sorted(con.sql(preference.PAIRS_SQL).fetchall())
+    got = queries.op3_preference_format(spark, SF).collect()
+    assert sorted(tuple(r[c] for c in PAIR) for r in got) == sorted(con.sql(preference.SWAPPED_SQL).fetchall())
+    assert sum(r["prompt"] != "" for r in got) >= len(got) / 2 and sum(r["chosen"] != r["rejected"] for r in got) >= len(got) / 2
+
+
+def test_swapped_edges(spark):
+    """Repeated and null turns, a null id, no assistant, a gap in the numbers, a very long text, clashing columns, an empty table."""
+    long = "word " * 200_000
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (1, 2, "user", None), (2, 0, None, "x"), (2, None, "assistant", long), (3, 0, "user", "z"), (5, 0, "assistant", "q"), (6, 0, "assistant", "q"), (None, 0, "assistant", "q")]
+    df = spark.createDataFrame([(*r, 1, "c") for r in rows], "conv_id long, turn int, role string, text string, pair_id int, chosen string")
+    got = preference.format_pairs(preference.swapped(df)).collect()
+    con = duckdb.connect()
+    con.register("conversations", df.select("conv_id", "turn", "role", "text").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert sorted(tuple(r[c] for c in PAIR) for r in got) == sorted(con.sql(preference.SWAPPED_SQL).fetchall())
+    by = {r["pair_id"]: r for r in got}
+    assert set(by) == {1, 5} and by[1]["n_prompt_turns"] == 2 and long in by[1]["rejected"] and by[5]["chosen"] == by[5]["rejected"] == ""
+    assert preference.format_pairs(preference.swapped(df.limit(0))).count() == 0
 
 
 def mixed(spark, n=4000, **kwargs):
