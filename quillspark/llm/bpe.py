@@ -1,16 +1,20 @@
-"""Byte-level BPE by merge replay over the vocabulary of a segment of the corpus.
+"""Byte-level BPE by merge replay over the vocabulary of a task's part of the corpus.
 
-Texts are cut by the tokenizer's pattern. The distinct pieces of a segment form
-one symbol sequence; an inverted index leads from each merge (by rank) to the
-positions of its pair. Merges are applied in rank order, every occurrence of a
-merge at once, and each changes only the entries of the touched neighbours.
+Texts are cut by the tokenizer's pattern. The distinct pieces of a segment that the
+task hasn't met yet form one symbol sequence; an inverted index leads from each
+merge (by rank) to the positions of its pair. Merges are applied in rank order,
+every occurrence of a merge at once, and each changes only the entries of the
+touched neighbours. Merged pieces are kept for the segments that follow, MEMO of
+them; beyond that the task starts afresh, which changes no result.
 
 Two pieces of a rank file need care, and get it: a piece that is itself a token
 is that token, and a merge can give rise to a pair of lower rank, in which case
 the piece is done again one merge at a time.
 
-Null text counts as empty: no tokens. Repeated rows each give a row; extra
-columns are not read.
+The rank file is read on the driver and broadcast, MOST_BYTES at most; its path need
+not exist where the tasks run. Null text counts as empty: no tokens. Repeated rows
+and ids, and null ids, each give a row. An empty table gives no rows. Very long
+texts are encoded whole. Extra columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -19,25 +23,31 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import islice
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import ship, text_steps, tidy, trim
 
 #: Text bytes of a segment: its distinct pieces are merged together.
 SEGMENT_BYTES = 4 << 20
+#: Merged pieces that a task keeps, of some 300 bytes each.
+MEMO = 300_000
+#: A rank file may have this size; it goes to every executor.
+MOST_BYTES = 64 << 20
 NONE = np.int64(1) << 40
 
 
 class Merges:
     """The ranks of a vocabulary and the table of pairs that merge."""
 
-    def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, ranks: bytes, pattern: str):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.width = max(self.ranks.values()) + 1
@@ -65,14 +75,30 @@ class Merges:
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
     def one_by_one(self, piece: bytes) -> list[int]:
-        """The leftmost pair of lowest rank, again and again."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min((r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1], NONE)) is not None)
-            if best[0] == NONE:
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return [self.ranks[p] for p in parts]
+        """The leftmost pair of lowest rank, again and again: a heap of pairs, outdated ones skipped."""
+        n = len(piece)
+        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def pair(i: int) -> tuple[int, int, int] | None:
+            j = after[i]
+            r = self.ranks.get(parts[i] + parts[j]) if j < n else None
+            return None if r is None else (r, i, j)
+
+        heap = [x for i in range(n) if (x := pair(i))]
+        heapq.heapify(heap)
+        while heap:
+            r, i, j = heapq.heappop(heap)
+            if parts[i] is None or after[i] != j or parts[j] is None or self.ranks.get(parts[i] + parts[j]) != r:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], None
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and (x := pair(k)):
+                    heapq.heappush(heap, x)
+        return [self.ranks[p] for p in parts if p is not None]
 
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of every piece."""
@@ -163,39 +189,66 @@ class Merges:
             out[i] = self.one_by_one(pieces[i])
         return out
 
-    def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
-        """For each text the numbers of its pieces, and the ids of every numbered piece."""
-        number: dict[str, int] = {}
-        found = self.pattern.findall
-        held = [np.fromiter([number.setdefault(p, len(number)) for p in found(t.decode("utf-8", "replace"))], np.int32) for t in texts]
-        ids = self.replay([p.encode() for p in number])
-        for h in held:
-            yield h, ids
-
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
 
+class Pieces:
+    """The distinct pieces that a task has met, numbered, with their ids, these as text, and the bytes that they decode to."""
+
+    def __init__(self, m: Merges):
+        self.m = m
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids: list[list[int]] = []
+        self.said: list[str] = []
+        self.back: list[bytes] = []
+
+    def add(self, texts: list[bytes]) -> list[list[int]]:
+        """For each text the numbers of its pieces; new ones are merged together."""
+        if len(self.number) > MEMO:
+            self.clear()
+            trim()
+        number, found, before = self.number, self.m.pattern.findall, len(self.number)
+        held = [[number.setdefault(p, len(number)) for p in found(t.decode("utf-8", "replace"))] for t in texts]
+        ids = self.m.replay([p.encode() for p in islice(number, before, None)])
+        self.ids += ids
+        self.said += [",".join(map(str, x)) for x in ids]
+        self.back += [self.m.decode(x) for x in ids]
+        return held
+
+
 _known: dict[tuple[str, str], Merges] = {}
 
 
-def merges(path: str, pattern: str) -> Merges:
+def merges(ranks: bytes, pattern: str) -> Merges:
     """One table of each vocabulary in a process."""
-    if (path, pattern) not in _known:
-        _known[path, pattern] = Merges(path, pattern)
-    return _known[path, pattern]
+    key = hashlib.sha256(ranks).hexdigest(), pattern
+    if key not in _known:
+        _known[key] = Merges(ranks, pattern)
+    return _known[key]
+
+
+def _ranks(spark: SparkSession, path: str) -> Broadcast[bytes]:
+    data = Path(path).read_bytes()
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"{path} has more than {MOST_BYTES} bytes")
+    return spark.sparkContext.broadcast(data)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and the array of token ids."""
     ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, ranks = docs.schema[id_col].dataType.simpleString(), _ranks(docs.sparkSession, vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merges(vocabulary, pattern)
+        pieces = Pieces(merges(ranks.value, pattern))
         for batch in batches:
             for a, b, texts in text_steps(batch.column(1), SEGMENT_BYTES):
-                out = [[i for w in h.tolist() for i in ids[w]] for h, ids in m.encode(texts)]
+                held = pieces.add(texts)
+                out = [[i for w in h for i in pieces.ids[w]] for h in held]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(rows), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -204,10 +257,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 def decode(tokens: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The texts of arrays of token ids."""
     ship(tokens.sparkSession)
-    kind = tokens.schema[id_col].dataType.simpleString()
+    kind, ranks = tokens.schema[id_col].dataType.simpleString(), _ranks(tokens.sparkSession, vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merges(vocabulary, pattern)
+        m = merges(ranks.value, pattern)
         for batch in batches:
             out = [m.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "text"])
@@ -218,25 +271,21 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
 def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_tokens, and hashes of the ids and of the bytes they decode to, without building arrays of ids in rows."""
     ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, ranks = docs.schema[id_col].dataType.simpleString(), _ranks(docs.sparkSession, vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merges(vocabulary, pattern)
+        pieces = Pieces(merges(ranks.value, pattern))
         for batch in batches:
             for a, b, texts in text_steps(batch.column(1), SEGMENT_BYTES):
                 n, ids_sha, text_sha = [], [], []
-                said = back = sizes = None
-                for h, ids in m.encode(texts):
-                    if said is None:
-                        said = [",".join(map(str, x)) for x in ids]
-                        back = [m.decode(x) for x in ids]
-                        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                    w = h.tolist()
-                    n.append(int(sizes[h].sum()))
-                    ids_sha.append(hashlib.sha256(",".join([said[i] for i in w]).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join([back[i] for i in w])).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                said = back = sizes = ids = h = None
+                held = pieces.add(texts)
+                ids, said, back = pieces.ids, pieces.said, pieces.back
+                for h in held:
+                    n.append(sum([len(ids[i]) for i in h]))
+                    ids_sha.append(hashlib.sha256(",".join([said[i] for i in h]).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(b"".join([back[i] for i in h])).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                held = None
                 trim()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(rows), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
