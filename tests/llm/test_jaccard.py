@@ -49,7 +49,7 @@ def joined(spark, rows):
 def test_bounds():
     for n in range(1, 3000):
         for level in J.bands(n):
-            assert J.parts(level) > J.reach(n, level)
+            assert J.parts(level) > J.reach(n, level) and (level > J.FINE or n > J.reach(n, level))
         for m in range(n, n * 5 // 4 + 1):
             assert J.band(m) in J.bands(n)
 
@@ -94,13 +94,78 @@ def corpus(seed=5):
     return [(i * 3 + 1, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("pairs", [24, 2])
-def test_equals_brute_force(spark, monkeypatch, pairs):
-    monkeypatch.setattr(J, "PAIRS", pairs)
+@pytest.mark.parametrize(("pairs", "hot", "held"), [(24, 256, 1 << 19), (2, 256, 1 << 19), (2, 3, 200), (4, 6, 1 << 19)])
+def test_equals_brute_force(spark, monkeypatch, pairs, hot, held):
+    """With small limits too, which send keys through lists of their first documents and documents to the last step."""
+    for name, value in (("PAIRS", pairs), ("HOT", hot), ("HELD", held)):
+        monkeypatch.setattr(J, name, value)
     rows = corpus()
     assert joined(spark, rows) == brute(rows)
 
 
+def passages(seed):
+    """Documents that are mostly shared passages, alone and together, some alike in the rest, some only in passages."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    shared = [[word() for _ in range(rng.choice([20, 45, 90]))] for _ in range(5)]
+    texts = []
+    for _ in range(160):
+        body = [w for p in rng.sample(shared, rng.randint(1, 3)) for w in p]
+        own = [word() for _ in range(int(len(body) * rng.uniform(0.02, 0.3)))]
+        cut = rng.randint(0, len(own))
+        texts.append(" ".join([*own[:cut], *body, *own[cut:]]))
+        if rng.random() < 0.3:  # the same but for a part of its own words
+            other = [word() if rng.random() < 0.5 else w for w in own]
+            texts.append(" ".join([*other[:cut], *body, *other[cut:]]))
+    rng.shuffle(texts)
+    return list(enumerate(texts, 1))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_documents_made_of_passages(spark, monkeypatch, seed):
+    monkeypatch.setattr(J, "PAIRS", 3)
+    monkeypatch.setattr(J, "BLOCK", 16)
+    seen = []
+    last = J._left_over
+    monkeypatch.setattr(J, "_left_over", lambda *a: seen.append(a[0].count()) or last(*a))
+    rows = passages(seed)
+    assert joined(spark, rows) == brute(rows)
+    assert seen and seen[0] > 50
+
+
+def test_form_letters_are_not_compared_with_each_other(spark, monkeypatch):
+    """A passage and words of their own, too many for two to be similar: one group, so the last step has a centre and the others only."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(104)]  # 100 shingles
+    rows = [(i, " ".join([*passage, *(f"w{rng.random()}" for _ in range(rng.randint(15, 19)))])) for i in range(300)]
+    seen = []
+    last = J._in_blocks
+    monkeypatch.setattr(J, "_in_blocks", lambda a, b: seen.append((a.select("node").distinct().count(), b.count())) or last(a, b))
+    assert {c for _, c in joined(spark, rows).values()} == {i for i, _ in rows}
+    assert len(seen) == 1 and seen[0][0] == 1
+
+
+def test_short_texts_need_no_last_step(spark, monkeypatch):
+    """Random short texts: no part holds all their shingles by chance."""
+
+    def none(*_):
+        raise AssertionError("a short text was left over")
+
+    monkeypatch.setattr(J, "_left_over", none)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randint(0, 5000)}" for _ in range(8))) for i in range(20_000)]
+    rows += [(20_000 + i, rows[i][1] + (" x" if i % 2 else "")) for i in range(100)]
+    got = joined(spark, rows)
+    assert all(got[20_000 + i][1] == (i if i % 2 == 0 else i if 100 * 4 >= 80 * 5 else 20_000 + i) for i in range(100))
+    assert sum(c == i for i, (_, c) in got.items()) == 20_000
+
+
+def test_rows_of_one_id_join_what_they_link_with(spark):
+    rows = [(3, "a b c d e f g"), (5, "A b c d e f g"), (5, "n o p q r s t"), (9, "n o p q r s t"), (11, "x y z u v w o")]
+    got = [(r["doc_id"], r["component_id"]) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11)]
+
+
 def test_edges(spark):
     assert joined(spark, []) == {}
     rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (9, "A B C D E F G"), (None, "a b c d e f g"), (7, None)]
