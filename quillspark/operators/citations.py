@@ -117,8 +117,11 @@ def upper_median(values: Column) -> Column:
 
 
 def citation_features(works: DataFrame, citations: DataFrame, now: int, key: str = "orcid") -> DataFrame:
-    """One row a person with works: coverage and sums of the citations found, h-indexes, upper median, best papers."""
-    rows = works.where(F.coalesce(F.col("doi"), F.lit("")) != "").join(citations.dropDuplicates(["doi"]), "doi")
+    """One row a person with works: coverage and sums of the citations found, h-indexes, upper median, best papers.
+
+    citations: (doi, cited_by); a DOI whose count is null was asked for in vain and counts as not found.
+    """
+    rows = works.where(F.coalesce(F.col("doi"), F.lit("")) != "").join(citations.where("cited_by is not null").dropDuplicates(["doi"]), "doi")
     recent = is_recent(F.col("year"), now, 5)
     sums = rows.groupBy(key).agg(F.count("*").alias("matched"), F.sum("cited_by").alias("citations_total"), F.coalesce(F.sum(F.when(recent, F.col("cited_by"))), F.lit(0)).alias("citations_recent_5y"), F.max("cited_by").alias("citations_top1"))
     ranked = rows.withColumn("_up", F.row_number().over(Window.partitionBy(key).orderBy("cited_by"))).withColumn("_down", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("cited_by")))).withColumn("_n", F.count("*").over(Window.partitionBy(key)))

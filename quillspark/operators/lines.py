@@ -386,5 +386,5 @@ def page_budget(pages: DataFrame, most: int = 60) -> DataFrame:
 
 def structuring_request(text: Column, most: int = 120_000) -> Column:
     """What a structuring model gets: the text cut to most characters, and its token budget by length."""
-    t = T.text_or_empty(text)
-    return F.struct(F.substring(t, 1, most).alias("text"), F.greatest(F.lit(8192), F.least(F.floor(F.length(t) / 8), F.lit(32_768))).cast("int").alias("max_tokens"))
+    t = F.substring(T.text_or_empty(text), 1, most)
+    return F.struct(t.alias("text"), F.greatest(F.lit(8192), F.least(F.floor(F.length(t) / 8), F.lit(32_768))).cast("int").alias("max_tokens"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -86,19 +88,32 @@ def baseline_messages(chunk: DataFrame, rubric_json: str) -> DataFrame:
     return previews(chunk).groupBy("doc_id").agg(F.array(message("system", F.lit("You score applications by a rubric.")), message("user", user)).alias("messages"))
 
 
+STAGE1 = "You review one section of an application at a time. Answer with JSON only: one finding per sub-criterion that the section clearly supports or challenges, with ids of its chunks and a short implication."
+
+
+def stage1_request(section: str, content: str, criteria_json: str, state_json: str = "{}") -> str:
+    """Messages of a section, the criteria and the state so far, as JSON: for the loop over a document's sections."""
+    user = f"Section: {section}\nContent:\n{content}\nCriteria:\n{criteria_json}\nState:\n{state_json}"
+    return json.dumps([{"role": "system", "content": STAGE1}, {"role": "user", "content": user}], ensure_ascii=False, separators=(",", ":"))
+
+
 def stage1_messages(inputs: DataFrame, criteria_json: str, state: Column | None = None) -> DataFrame:
-    """(doc_id, section_pos, section_name, messages): a section, the criteria and the state so far."""
-    system = F.lit("You review one section of an application at a time. Answer with JSON only: one finding per sub-criterion that the section clearly supports or challenges, with ids of its chunks and a short implication.")
+    """(doc_id, section_pos, section_name, messages): the same of all sections at once, with a column of states."""
     state = F.lit("{}") if state is None else state
     user = F.concat(F.lit("Section: "), "section_name", F.lit("\nContent:\n"), "content", F.lit("\nCriteria:\n" + criteria_json + "\nState:\n"), state)
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return inputs.select("doc_id", "section_pos", "section_name", F.array(message("system", system), message("user", user)).alias("messages"))
+    return inputs.select("doc_id", "section_pos", "section_name", F.array(message("system", F.lit(STAGE1)), message("user", user)).alias("messages"))
+
 
+def stage2_messages(texts: DataFrame, views: DataFrame, beliefs_json: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, section_key, messages) and columns of texts to carry: full text, a section of the rubric, and the beliefs on it.
 
-def stage2_messages(texts: DataFrame, views: DataFrame, beliefs_json: DataFrame) -> DataFrame:
-    """(doc_id, section_key, messages): full text, a section of the rubric, and the beliefs on it."""
-    rows = texts.join(F.broadcast(views.select("section_key", "human_name", "sub_criteria")), F.lit(True)).join(beliefs_json, ["doc_id", "section_key"], "left")
+    A document's beliefs are joined as one map; its text is copied for the sections after the last exchange.
+    """
+    held = beliefs_json.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("section_key", "beliefs"))).alias("held"))  # an entry a section
+    rows = texts.join(held, "doc_id", "left").join(F.broadcast(views.select("section_key", "human_name", "sub_criteria")), F.lit(True))
+    rows = rows.withColumn("beliefs", F.try_element_at("held", F.col("section_key")))
     system = F.lit("You score one section of a rubric. Answer with JSON only: for each sub-criterion signal scores from 0 to 5, the ids of the chunks used, pros and drawbacks.")
     user = F.concat(F.lit("Section: "), "human_name", F.lit("\nRubric:\n"), "sub_criteria", F.lit("\nBeliefs:\n"), F.coalesce("beliefs", F.lit("{}")), F.lit("\nApplication:\n"), "text")
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return rows.select("doc_id", "section_key", F.array(message("system", system), message("user", user)).alias("messages"))
+    return rows.select("doc_id", "section_key", *carry, F.array(message("system", system), message("user", user)).alias("messages"))

@@ -127,8 +127,8 @@ def structure(texts: DataFrame, generate: Generate, schema: str = "{}") -> DataF
     """(doc_id, raw) by a model, of (doc_id, text); an answer that isn't an object gives the text as it is."""
     request = L.structuring_request(F.col("text"))
     messages = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("Structure this application as JSON:\n"), request["text"]).alias("content"))))
-    asked = texts.where(T.text_or_empty("text") != "").select("doc_id", messages.alias("messages"), F.lit(schema).alias("schema"))
-    answered = call(asked, generate, ("doc_id",), tokens=32_768)
+    asked = texts.where(T.text_or_empty("text") != "").select("doc_id", messages.alias("messages"), F.lit(schema).alias("schema"), request["max_tokens"].alias("tokens"))
+    answered = call(asked, generate, ("doc_id",))
     rows = texts.join(answered.where("ok"), "doc_id", "left")
     whole = F.to_json(F.struct(F.lit("llm_fallback").alias("doc_type"), F.struct(F.col("text").alias(RAW_CONTENT)).alias("APPLICATION DETAILS")))
     found = T.json_object("raw")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..cluster import is_complete, ship, stored
 from ..functions import text as T
 from ..operators import belief, chunks, repair, retrieval, rollup, rubric as R
 from ..sources.scorers import Generate, call, first_object
@@ -21,29 +21,25 @@ Store = Callable[[DataFrame, str], DataFrame]
 
 
 def keep_in_memory(df: DataFrame, _name: str) -> DataFrame:
+    """For small trials: an executor that is lost has its model calls made again."""
     return df.persist()
 
 
-def checkpointed(df: DataFrame, _name: str) -> DataFrame:
-    """Cut the plan with a checkpoint in the folder of spark.checkpoint.dir; a fresh one where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="quillspark-"))
-    return df.checkpoint()
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """Cut the plan with a table in the folder of spark.checkpoint.dir: a lost executor costs no model call twice."""
+    return stored(df, name)
 
 
 def store_in(folder: str) -> Store:
-    """Write what a run makes once to tables under folder, and go on from them: model calls happen once, and a stopped run resumes."""
+    """Write what a run makes once to tables under folder, and go on from them: model calls happen once, and a stopped run resumes.
+
+    A table counts as made if its write came to an end; what a stopped write left is written again.
+    """
 
     def put(df: DataFrame, name: str) -> DataFrame:
         spark, path = df.sparkSession, f"{folder.rstrip('/')}/{name}"
-        try:
-            return spark.read.schema(df.schema).parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        df.write.parquet(path)
+        if not is_complete(spark, path):
+            df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     return put
@@ -70,11 +66,13 @@ def stage1(inputs: DataFrame, criteria_json: str, sub_ids: list[str], generate:
     Documents run in parallel; the order within one is the method's own. An answer that fails ends its document's run there.
     """
 
+    ship(inputs.sparkSession)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out, seen, known = [], [], []
         for r in pdf.sort_values("section_pos").itertuples():
             state, chunk_ids = json.dumps(belief.running_view(seen, known, sub_ids), ensure_ascii=False), list(json.loads(r.content))
-            messages = json.dumps([{"role": "system", "content": "Answer with JSON only."}, {"role": "user", "content": f"Section: {r.section_name}\nContent:\n{r.content}\nCriteria:\n{criteria_json}\nState:\n{state}"}], ensure_ascii=False)
+            messages = retrieval.stage1_request(r.section_name, r.content, criteria_json, state)
             schema = json.dumps(R.evidence_schema(sub_ids, chunk_ids))
             raw, ok, error, attempt = "", False, None, 0
             for attempt in range(1, retries + 2):
@@ -109,7 +107,7 @@ def stage2_requests(chunk: DataFrame, beliefs: DataFrame, rubric: DataFrame) ->
         sections.setdefault(r["section_key"], {}).setdefault(r["sub_id"], []).append(r["sid"])
     forms = R.small(rubric.sparkSession, ((k, json.dumps(R.scoring_schema(list(x.items()), [CHUNK_IDS]))) for k, x in sections.items()), "section_key string, form string")
     ids = chunk.groupBy("doc_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("chunk_pos", "chunk_id"))), lambda x: x["chunk_id"])).alias("ids"))
-    rows = retrieval.stage2_messages(retrieval.full_text(chunk), views, held).join(F.broadcast(forms), "section_key").join(ids, "doc_id")
+    rows = retrieval.stage2_messages(retrieval.full_text(chunk).join(ids, "doc_id"), views, held, ("ids",)).join(F.broadcast(forms), "section_key")
     return rows.select("doc_id", "section_key", "messages", F.replace("form", F.lit(json.dumps([CHUNK_IDS])), F.col("ids")).alias("schema"))
 
 
@@ -131,7 +129,7 @@ def roll_up(responses: DataFrame, chunk: DataFrame, rubric: DataFrame, doc_types
     return signals, subs, sections, overall
 
 
-def score(applications: DataFrame, rubric: DataFrame, generate: Generate, store: Store = keep_in_memory, evidence_cap: int | None = None, retries: int = 1) -> Scored:
+def score(applications: DataFrame, rubric: DataFrame, generate: Generate, store: Store = checkpointed, evidence_cap: int | None = None, retries: int = 1) -> Scored:
     """Applications (doc_id, raw) to scored results, by the given model."""
     chunk = store(chunks.pool(applications), "chunks")
     types = store(applications.select(F.col("doc_id").cast("string").alias("doc_id"), F.lower(F.coalesce(F.get_json_object("raw", "$.doc_type"), F.lit(""))).alias("doc_type")), "doc_types")
@@ -151,14 +149,34 @@ def score(applications: DataFrame, rubric: DataFrame, generate: Generate, store:
     return Scored(chunk, raw1, findings, state, raw2, signals, sub, sections, overall, rollup.nested(overall, sections, sub), failed)
 
 
+def baseline(applications: DataFrame, rubric: DataFrame, generate: Generate, store: Store = checkpointed, evidence_cap: int | None = None, retries: int = 1) -> Scored:
+    """The one-shot baseline: one request a document for all signals, then the same repair and roll-up as of the run.
+
+    An answer holds sub-criteria at its top or by section; each section of the rubric takes its own from it.
+    """
+    chunk = store(chunks.pool(applications), "baseline_chunks")
+    types = store(applications.select(F.col("doc_id").cast("string").alias("doc_id"), F.lower(F.coalesce(F.get_json_object("raw", "$.doc_type"), F.lit(""))).alias("doc_type")), "baseline_doc_types")
+    view = R.stage1_view(rubric).orderBy("section_pos", "sub_pos", "signal_pos").select("sid", "sub_id", "sub_name", "section_name", "text").collect()  # a rubric's few hundred rows
+    asked = retrieval.baseline_messages(chunk, json.dumps({"signals": [r.asDict() for r in view]}))
+    raw = store(call(asked, generate, ("doc_id",), 80_000, retries), "baseline_raw")
+    failed = raw.where("not ok").select("doc_id", F.lit("baseline").alias("stage"), F.lit("").alias("part"), "raw", "attempts", "error")
+    keys = sorted({r["section_key"] for r in R.subs(rubric).select("section_key").distinct().collect()})  # a rubric's few sections
+    by_section = raw.where("ok").withColumn("section_key", F.explode(F.array(*map(F.lit, keys))))
+    found = F.from_json(T.json_object("raw"), "map<string,string>")
+    own = F.try_element_at(found, F.col("section_key"))
+    answers = by_section.select("doc_id", "section_key", F.coalesce(F.when(F.startswith(F.btrim(own), F.lit("{")), own), F.col("raw")).alias("raw"))
+    signals, sub, sections, overall = roll_up(answers, chunk, rubric, types, evidence_cap)
+    sub, sections, overall = store(sub, "baseline_sub_scores"), store(sections, "baseline_section_scores"), store(overall, "baseline_overall_scores")
+    none = raw.limit(0)
+    return Scored(chunk, none, none, none, raw, signals, sub, sections, overall, rollup.nested(overall, sections, sub), failed)
+
+
 def repeated(applications: DataFrame, rubric: DataFrame, generate: Generate, runs: int, group: str | None = None) -> DataFrame:
     """Rows of runs (pdf_name, run_idx, group, overall figures, pool_size) of the same applications scored over and over."""
-    spark = applications.sparkSession
     numbered = applications.select(F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run_idx"), F.col("doc_id").alias("pdf_name"), "raw")
     many = numbered.select(F.concat_ws("#run", "pdf_name", F.col("run_idx").cast("string")).alias("doc_id"), "raw")
     s = score(many, rubric, generate)
     size = s.chunks.groupBy("doc_id").agg(F.count("*").alias("pool_size"))
     rows = s.overall.join(size, "doc_id").join(rollup.mean_signal(s.signals), "doc_id")
     parts = F.split("doc_id", "#run")
-    del spark
     return rows.select(F.get(parts, F.lit(0)).alias("pdf_name"), F.get(parts, F.lit(1)).cast("int").alias("run_idx"), F.lit(group).cast("string").alias("group"), F.col("final_score_0to100").alias("overall_score_100"), "coverage_score_0to100", "avg_signal_score_0to5", "total_items", "signal_count", "good_items", "positive_items", "pool_size")

@@ -10,21 +10,29 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..cluster import ship
 from ..functions.columns import strip
 
 
 def folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = (".pdf", ".docx", ".doc")) -> DataFrame:
-    """(path, name, stem, extension, length, modified, content) of a folder's files, by name; not its subfolders."""
+    """(path, name, stem, extension, length, modified, content) of a folder's files, not its subfolders'. In no order: see listing()."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     extension = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     out = rows.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), extension.alias("extension"), "length", F.col("modificationTime").alias("modified"), "content")
-    return out.where(F.col("extension").isin(*extensions)).orderBy("name")
+    return out.where(F.col("extension").isin(*extensions))
+
+
+def listing(files: DataFrame) -> DataFrame:
+    """The files of folder() by name, without their contents, which the scan then doesn't read."""
+    return files.drop("content").orderBy("name")
 
 
 def docx_text(files: DataFrame) -> DataFrame:
     """(name, text, error): paragraphs, then tables with cells parted by tabs; text is null where the file can't be read or is empty."""
 
+    ship(files.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
         said = lambda node: "".join(t.text or "" for t in node.iter(f"{w}t")).strip()

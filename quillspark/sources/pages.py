@@ -9,6 +9,9 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..cluster import ship
+from ..functions import text as T
+
 #: content -> pages, each a dict of text, width, height, words, chars, rects and optionally png
 Decoder = Callable[[bytes], list[dict[str, Any]]]
 
@@ -36,6 +39,7 @@ def pdfplumber_decoder(content: bytes) -> list[dict[str, Any]]:
 
 def decode(files: DataFrame, decoder: Decoder = pdfplumber_decoder, id_col: str = "stem") -> DataFrame:
     """Rows of PAGE, one a page; a file that can't be decoded is one row with its error."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["doc_id", "page", "text", "page_width", "page_height", "words", "boxes", "png", "error"]
@@ -67,3 +71,16 @@ def ocr_requests(pages: DataFrame) -> DataFrame:
     """(doc_id, page, messages) of pages with an image and without text, for a model that reads images."""
     image = F.struct(F.lit("user").alias("role"), F.lit("Transcribe the text of this page.").alias("content"), F.array("png").alias("images"))
     return pages.where("png is not null and trim(text) = ''").select("doc_id", "page", F.to_json(F.array(image)).alias("messages"))
+
+
+def with_ocr(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """pages with the texts of a model's answers (doc_id, page, raw, ok) to ocr_requests; pages without an answer stay as they are.
+
+    Thoughts before an answer and a fence around it go. Answers are read per page, so both sides shuffle by page only.
+    """
+    said = F.regexp_replace(F.col("raw"), r"(?s)<think>.*?</think>\s*", "")
+    said = F.regexp_replace(F.btrim(said), r"(?s)\A```[a-z]*\n(.*?)\n?```\z", "$1")
+    text = answers.where("ok").groupBy("doc_id", "page").agg(F.min(said).alias("ocr"))
+    rows = pages.join(text, ["doc_id", "page"], "left")
+    use = (T.text_or_empty("text") == "") & (T.text_or_empty("ocr") != "")
+    return rows.withColumn("text", F.when(use, F.col("ocr")).otherwise(F.col("text"))).select(*pages.columns)

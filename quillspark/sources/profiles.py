@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..cluster import ship
 from ..functions import text as T
 
 WORKS = "group array<struct<`work-summary`:array<struct<`put-code`:string,title:struct<title:struct<value:string>>,`publication-date`:struct<year:struct<value:string>>,type:string,`external-ids`:struct<`external-id`:array<struct<`external-id-type`:string,`external-id-value`:string>>>>>>>"
@@ -53,27 +54,81 @@ def http_get(url: str, timeout: float = 20) -> tuple[int, str]:
         return e.code, ""
 
 
-def cited_by(dois: DataFrame, url: str, get: Callable[[str], tuple[int, str]] = http_get, parallel: int = 6, retries: int = 2, backoff: float = 0.4) -> DataFrame:
-    """(doi, cited_by) of distinct DOIs, asked by parallel tasks; misses and errors give no row.
+Get = Callable[[str], tuple[int, str]]
 
-    Answers that say "later" are asked again after backoff * 2**n seconds.
+
+def _asked(url: str, get: Get, retries: int, backoff: float) -> tuple[int, str]:
+    """The last status and body; answers that say "later" are asked again after backoff * 2**n seconds."""
+    status, body = 503, ""
+    for attempt in range(retries + 1):
+        try:
+            status, body = get(url)
+        except OSError:
+            status, body = 503, ""
+        if status not in AGAIN or attempt == retries:
+            break
+        time.sleep(backoff * 2**attempt)
+    return status, body
+
+
+def _outcome(status: int) -> str:
+    return "ok" if status == 200 else "unavailable" if status in AGAIN else "missing"
+
+
+def _spread(rows: DataFrame, parallel: int | None) -> DataFrame:
+    """Tasks as the rows ask for, or as many as a service can bear."""
+    return rows if parallel is None else rows.repartition(parallel)
+
+
+def cited_by(dois: DataFrame, url: str, get: Get = http_get, parallel: int | None = None, retries: int = 2, backoff: float = 0.4) -> DataFrame:
+    """(doi, cited_by, status) of distinct DOIs: ok, missing (the service doesn't know it) or unavailable (it didn't answer); cited_by is null but for ok.
+
+    parallel: how many tasks may ask at once; by default as many as the plan has. Write the result before using it twice.
     """
+    ship(dois.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doi in pdf["doi"]:
-                for attempt in range(retries + 1):
+                status, body = _asked(f"{url}/https://doi.org/{doi}", get, retries, backoff)
+                found, n = _outcome(status), None
+                if found == "ok":
                     try:
-                        status, body = get(f"{url}/https://doi.org/{doi}")
-                    except OSError:
-                        status, body = 503, ""
-                    if status == 200:
-                        out.append((doi, int(json.loads(body).get("cited_by_count", 0))))
-                    if status not in AGAIN or attempt == retries:
-                        break
-                    time.sleep(backoff * 2**attempt)
-            yield pd.DataFrame(out, columns=["doi", "cited_by"]).astype({"cited_by": "int64"})
+                        n = int(json.loads(body).get("cited_by_count") or 0)
+                    except (ValueError, AttributeError, TypeError):
+                        found = "unavailable"
+                out.append((doi, n, found))
+            yield pd.DataFrame(out, columns=["doi", "cited_by", "status"]).astype({"cited_by": "Int64"})
 
     wanted = dois.select(T.normalize_doi("doi").alias("doi")).where("doi <> ''").distinct()
-    return wanted.repartition(parallel).mapInPandas(run, "doi string, cited_by long")
+    return _spread(wanted, parallel).mapInPandas(run, "doi string, cited_by long, status string")
+
+
+#: What a registry of researchers is asked for.
+RECORDS = ("person", "works", "fundings")
+
+
+def fetch(ids: DataFrame, url: str, get: Get = http_get, records: tuple[str, ...] = RECORDS, parallel: int | None = None, retries: int = 2, backoff: float = 0.4) -> DataFrame:
+    """(orcid, record, raw, status): the answers for distinct researchers (orcid), to be read by persons(), works() and fundings().
+
+    raw is null but for ok. Write the result before using it twice.
+    """
+    ship(ids.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for orcid, record in zip(pdf["orcid"], pdf["record"], strict=True):
+                status, body = _asked(f"{url}/{orcid}/{record}", get, retries, backoff)
+                out.append((orcid, record, body if status == 200 else None, _outcome(status)))
+            yield pd.DataFrame(out, columns=["orcid", "record", "raw", "status"])
+
+    wanted = ids.select(F.btrim("orcid").alias("orcid")).where("orcid <> ''").distinct()
+    wanted = wanted.select("orcid", F.explode(F.array(*map(F.lit, records))).alias("record"))
+    return _spread(wanted, parallel).mapInPandas(run, "orcid string, record string, raw string, status string")
+
+
+def record(fetched: DataFrame, name: str) -> DataFrame:
+    """(orcid, raw) of one kind of answer."""
+    return fetched.where((F.col("record") == name) & (F.col("status") == "ok")).select("orcid", "raw")

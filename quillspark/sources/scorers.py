@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..cluster import ship
+
 #: messages JSON, schema JSON, tokens -> the answer's text
 Generate = Callable[[str, str, int], str]
 
@@ -59,20 +61,21 @@ def first_object(text: str) -> dict:
 
 
 def call(requests: DataFrame, generate: Generate, keys: tuple[str, ...], tokens: int = 8192, retries: int = 1) -> DataFrame:
-    """keys, raw, ok, attempts, error of requests (keys, messages, schema). Write the result before using it twice.
+    """keys, raw, ok, attempts, error of requests (keys, messages, schema, and tokens where requests have a budget of their own). Write the result before using it twice.
 
     A malformed answer is asked for again; an answer that stays so, or a call that fails, is a row with its error.
     """
+    ship(requests.sparkSession)
     kinds = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for m, s in zip(pdf["messages"], pdf["schema"], strict=True):
+            for m, s, most in zip(pdf["messages"], pdf["schema"], pdf["tokens"], strict=True):
                 raw, ok, n, error = "", False, 0, None
                 for n in range(1, retries + 2):
                     try:
-                        raw = generate(m, s, tokens)
+                        raw = generate(m, s, int(most))
                     except Exception as e:
                         error = repr(e)[:300]
                         break
@@ -87,7 +90,8 @@ def call(requests: DataFrame, generate: Generate, keys: tuple[str, ...], tokens:
 
     schema = F.col("schema") if "schema" in requests.columns else F.lit("{}")
     messages = F.col("messages") if requests.schema["messages"].dataType.simpleString() == "string" else F.to_json("messages")
-    return requests.select(*keys, messages.alias("messages"), schema.alias("schema")).mapInPandas(run, f"{kinds}, raw string, ok boolean, attempts int, error string")
+    budget = F.col("tokens") if "tokens" in requests.columns else F.lit(tokens)
+    return requests.select(*keys, messages.alias("messages"), schema.alias("schema"), budget.alias("tokens")).mapInPandas(run, f"{kinds}, raw string, ok boolean, attempts int, error string")
 
 
 def recorded(requests: DataFrame, responses: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -4,7 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from quillspark.sources import files, profiles
+from quillspark.sources import files, pages, profiles
 from quillspark.sources.scorers import FakeScorer, HttpScorer, call, recorded
 from quillspark.streaming import service
 
@@ -19,7 +19,9 @@ def test_folder_and_docx(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(b"broken")
     (tmp_path / "c.txt").write_text("x")
     found = files.folder(spark, str(tmp_path))
-    assert [r["name"] for r in found.select("name").collect()] == ["a.docx", "b.docx"]
+    listed = files.listing(found)
+    assert [r["name"] for r in listed.collect()] == ["a.docx", "b.docx"]
+    assert "content" not in listed.columns and "Sort" not in found._jdf.queryExecution().executedPlan().toString()
     got = {r["name"]: r for r in files.docx_text(found).collect()}
     assert got["b.docx"]["text"] == "Hello there\na\tb" and got["a.docx"]["error"]
 
@@ -71,7 +73,27 @@ def test_citation_lookup_retries(spark):
         return (200, '{"cited_by_count": 5}') if url.endswith("10.1/a") else (404, "") if url.endswith("10.1/b") else (503, "")
 
     df = spark.createDataFrame([("https://doi.org/10.1/A",), ("10.1/a",), ("10.1/b",), ("10.1/c",), ("",)], "doi string")
-    assert [tuple(r) for r in profiles.cited_by(df, "http://x", get, 2, 1, 0.0).collect()] == [("10.1/a", 5)]
+    assert sorted(tuple(r) for r in profiles.cited_by(df, "http://x", get, 2, 1, 0.0).collect()) == [("10.1/a", 5, "ok"), ("10.1/b", None, "missing"), ("10.1/c", None, "unavailable")]
+
+
+def test_profiles_are_fetched(spark):
+    def get(url):
+        return (404, "") if "/gone/" in url else (200, json.dumps({"group": []})) if url.endswith("works") else (500, "")
+
+    ids = spark.createDataFrame([("a ",), ("a",), ("gone",), ("",), (None,)], "orcid string")
+    got = profiles.fetch(ids, "http://x", get, ("works", "person"), retries=1, backoff=0.0).cache()
+    assert {(r["orcid"], r["record"], r["status"]) for r in got.collect()} == {("a", "works", "ok"), ("a", "person", "unavailable"), ("gone", "works", "missing"), ("gone", "person", "missing")}
+    assert [r["orcid"] for r in profiles.record(got, "works").collect()] == ["a"]
+
+
+def test_ocr_answers_fill_pages_without_text(spark):
+    page = "doc_id string, page int, text string, png string"
+    p = spark.createDataFrame([("d", 0, "", "x"), ("d", 1, "has text", "x"), ("d", 2, " ", "x"), ("e", 0, None, "x")], page)
+    asked = {(r["doc_id"], r["page"]) for r in pages.ocr_requests(p.fillna("", ["text"])).collect()}
+    assert asked == {("d", 0), ("d", 2), ("e", 0)}
+    answers = spark.createDataFrame([("d", 0, "<think>hm</think>\n```text\nread\n```", True), ("d", 1, "other", True), ("d", 2, "bad", False)], "doc_id string, page int, raw string, ok boolean")
+    got = {(r["doc_id"], r["page"]): r["text"] for r in pages.with_ocr(p, answers).collect()}
+    assert got == {("d", 0): "read", ("d", 1): "has text", ("d", 2): " ", ("e", 0): None}
 
 
 def test_scorers(spark):
