@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..cluster import ship, stored
 from ..functions import text as T
 from ..functions.columns import let, py_round, strip
 
@@ -62,6 +63,7 @@ def walk(application: dict) -> Iterator[tuple[str, str, str]]:
 
 def leaves(applications: DataFrame, id_col: str = "doc_id", json_col: str = "raw") -> DataFrame:
     """(doc_id, leaf_pos, parser_section, source_path, text); raw that isn't a JSON object gives no rows."""
+    ship(applications.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -115,10 +117,15 @@ def slugs(sections: DataFrame) -> DataFrame:
     return base.withColumn("slug", F.when(nth == 1, F.col("base")).otherwise(F.concat("base", nth.cast("string")))).drop("base")
 
 
-def identify(entries: DataFrame, size: int = MAX_CHARS) -> DataFrame:
-    """Chunks of entries (doc_id, leaf_pos, parser_section, source_path, text, whole): cut, named, numbered."""
-    sections = slugs(entries.groupBy("doc_id", "parser_section").agg(F.min("leaf_pos").alias("pos"))).drop("pos")
-    named = entries.join(sections, ["doc_id", "parser_section"])
+def named_sections(entries: DataFrame) -> DataFrame:
+    """(doc_id, parser_section, n, slug): the sections of entries, how many each has."""
+    return slugs(entries.groupBy("doc_id", "parser_section").agg(F.min("leaf_pos").alias("pos"), F.count("*").alias("n"))).drop("pos")
+
+
+def identify(entries: DataFrame, size: int = MAX_CHARS, sections: DataFrame | None = None) -> DataFrame:
+    """Chunks of entries (doc_id, leaf_pos, parser_section, source_path, text, whole): cut, named, numbered. sections: named_sections() if it is there already."""
+    sections = named_sections(entries) if sections is None else sections
+    named = entries.join(sections.drop("n"), ["doc_id", "parser_section"])
     nth = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("leaf_pos"))
     base = F.format_string("%s__%03d", F.col("slug"), nth)
     cut = named.withColumn("base", base).withColumn("pieces", F.when(F.col("whole"), F.array(strip("text"))).otherwise(split_text(F.col("text"), size)))
@@ -273,19 +280,31 @@ def form_block(metrics: DataFrame, overlap: DataFrame) -> DataFrame:
     return metrics.join(best, "doc_id", "left").select("doc_id", F.array_join(parts, "\n").alias("text"))
 
 
-def _derived(blocks: DataFrame, section: str, at: int) -> DataFrame:
-    return blocks.select("doc_id", F.lit(at).alias("leaf_pos"), F.lit(section).alias("parser_section"), F.lit(section).alias("source_path"), "text", F.lit(True).alias("whole"))
+def _derived(blocks: DataFrame, section: str, sections: DataFrame, chunk: DataFrame) -> DataFrame:
+    """Chunks of blocks (doc_id, text), whole, after those that a document has: named as identify() would, from counts of its sections."""
+    base = initials(F.lit(section))
+    own = F.max(F.when(F.col("parser_section") == section, F.struct("slug", "n")))
+    counts = sections.groupBy("doc_id").agg(F.count_if(initials(F.col("parser_section")) == base).alias("same"), own.alias("own"))
+    last = chunk.groupBy("doc_id").agg(F.max("chunk_pos").alias("last"))
+    rows = blocks.join(counts, "doc_id").join(last, "doc_id")
+    slug = F.coalesce(F.col("own.slug"), F.when(F.col("same") == 0, base).otherwise(F.concat(base, (F.col("same") + 1).cast("string"))))
+    chunk_id = F.format_string("%s__%03d", slug, F.coalesce(F.col("own.n"), F.lit(0)) + 1)
+    return rows.select("doc_id", (F.col("last") + 1).alias("chunk_pos"), chunk_id.alias("chunk_id"), F.lit(section).alias("parser_section"), F.lit(section).alias("source_path"), strip("text").alias("text"))
 
 
 def pool(applications: DataFrame, id_col: str = "doc_id", json_col: str = "raw", size: int = MAX_CHARS) -> DataFrame:
-    """Chunks of every application, the derived ones last. Materialise it before using it more than once."""
-    base = entries(leaves(applications, id_col, json_col))
-    chunk = identify(base, size)
-    plain = _derived(plain_block(plain_metrics(section_texts(chunk))), PLAIN_ANALYSIS, 2_000_000_001)
-    with_plain = identify(base.unionByName(plain), size)
-    sections = section_texts(with_plain)
-    form = _derived(form_block(form_metrics(sections), overlaps(sections)), FORM_ANALYSIS, 2_000_000_002)
-    return identify(base.unionByName(plain).unionByName(form), size)
+    """Chunks of every application, the derived ones last.
+
+    The walk and the cutting are done once and written; derived chunks are appended to what was written.
+    """
+    base = stored(entries(leaves(applications, id_col, json_col)), "entries")
+    sections = stored(named_sections(base), "sections")
+    chunk = stored(identify(base, size, sections), "chunks")
+    plain = stored(_derived(plain_block(plain_metrics(section_texts(chunk))), PLAIN_ANALYSIS, sections, chunk), "plain-analysis")
+    chunk = chunk.unionByName(plain)
+    texts = stored(section_texts(chunk), "section-texts")
+    form = _derived(form_block(form_metrics(texts), overlaps(texts)), FORM_ANALYSIS, sections, chunk)
+    return chunk.unionByName(form)
 
 
 def index_text(chunk: DataFrame) -> DataFrame:

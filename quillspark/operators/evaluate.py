@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..cluster import stored
 from ..functions.columns import py_round
 
 MOMENTS = ("count", "mean", "std", "var", "min", "max", "median")
@@ -55,13 +57,18 @@ def welch(df: DataFrame, group: str, value: str, a: object, b: object) -> DataFr
 def ks(df: DataFrame, group: str, value: str, a: object, b: object) -> DataFrame:
     """One row (statistic, n_a, n_b): the largest gap between two empirical distributions.
 
-    Counts by distinct value come first; only those, not rows, pass the running sum.
+    Counts by distinct value are written in ranges of values. Running sums go by range, each from the sum of the
+    ranges before it, so no task holds all values.
     """
     is_a, is_b = F.count_if(F.col(group) == F.lit(a)), F.count_if(F.col(group) == F.lit(b))
-    points = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(is_a.alias("a"), is_b.alias("b"))
-    total = points.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
-    up = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cdf = points.select(F.sum("a").over(up).alias("a"), F.sum("b").over(up).alias("b")).join(F.broadcast(total), F.lit(True))
+    points = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(is_a.alias("a"), is_b.alias("b"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = stored(points.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id()), "distribution")
+    ranges = points.groupBy("part").agg(F.sum("a").alias("of_a"), F.sum("b").alias("of_b"))  # a row a range
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("part", *[F.coalesce(F.sum(f"of_{x}").over(before), F.lit(0)).alias(f"from_{x}") for x in "ab"], *[F.sum(f"of_{x}").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"n_{x}") for x in "ab"])
+    up = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cdf = points.join(F.broadcast(ranges), "part").select("n_a", "n_b", *[(F.col(f"from_{x}") + F.sum(x).over(up)).alias(x) for x in "ab"])
     return cdf.agg(F.max(F.abs(F.try_divide("a", "n_a") - F.try_divide("b", "n_b"))).alias("statistic"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
 
 
@@ -96,24 +103,73 @@ def t_p_value(t: float | None, dof: float | None) -> float | None:
     return None if t is None or dof is None or dof <= 0 else incomplete_beta(dof / (dof + t * t), dof / 2, 0.5)
 
 
-def ks_p_value(d: float | None, n_a: int, n_b: int, exact_up_to: int = 10_000) -> float | None:
-    """Two-sided: by counting lattice paths for small samples, else by Kolmogorov's series."""
+#: Fixed value: samples of more rows than this take the limit's distribution.
+EXACT_UP_TO = 10_000
+
+
+def _outside_square(n: int, h: int) -> float:
+    """The share of lattice paths of two samples of n that touch a line h steps off the diagonal, by reflection."""
+    whole = 2 * math.lgamma(n + 1)
+    share = lambda k: math.exp(whole - math.lgamma(n - k * h + 1) - math.lgamma(n + k * h + 1))
+    return 2 * math.fsum((-1) ** (k - 1) * share(k) for k in range(1, n // h + 1))
+
+
+def _outside(n_a: int, n_b: int, h: int) -> float:
+    """The same of samples of different sizes: h in units of the sizes' least common multiple. Paths inside are counted row by row."""
+    g = math.gcd(n_a, n_b)
+    up, across = n_b // g, n_a // g
+    row, low, scale = np.ones(1), 0, 0.0
+    for i in range(n_a + 1):
+        new_low, new_high = max(0, (i * up - h) // across + 1), min(n_b, -(-(i * up + h) // across) - 1)
+        if new_high < new_low:
+            return 1.0
+        wide = np.zeros(new_high - new_low + 1)
+        a, b = max(low, new_low), min(low + len(row) - 1, new_high)
+        if i == 0:
+            wide[:] = 1.0  # along the first side there is one path to each point
+        else:
+            if b >= a:
+                wide[a - new_low : b - new_low + 1] = row[a - low : b - low + 1]
+            wide = np.cumsum(wide)
+        top = wide.max()
+        if top == 0:
+            return 1.0
+        row, low, scale = wide / top, new_low, scale + math.log(top)
+    if low + len(row) - 1 < n_b:
+        return 1.0
+    inside = math.log(row[n_b - low]) + scale if row[n_b - low] > 0 else -math.inf
+    return 1 - math.exp(inside - math.lgamma(n_a + n_b + 1) + math.lgamma(n_a + 1) + math.lgamma(n_b + 1))
+
+
+def _kolmogorov(n: float, d: float) -> float:
+    """P(D_n > d) of a sample of n: Pelz and Good's expansion to the third order; the first tail term where that is small."""
+    z = d * math.sqrt(n)
+    if z <= 0:
+        return 1.0
+    if z > 3:  # Smirnov's one-sided tail twice: two-sided ones meet with probability far below the rest
+        return min(1.0, 2 * math.exp(-2 * z * z - 2 * z / (3 * math.sqrt(n))))
+    pi2, z2, root = math.pi**2, z * z, math.sqrt(math.pi / 2)
+    half, whole = [(k + 0.5) ** 2 for k in range(-60, 60)], [float(k * k) for k in range(-60, 61)]
+    e = lambda q: math.exp(-pi2 * q / (2 * z2))
+    k0 = root / z * math.fsum(e(q) for q in half)
+    k1 = root / (6 * z2**2) * math.fsum((pi2 * q - z2) * e(q) for q in half)
+    k2 = root / (72 * z**7) * math.fsum((6 * z2**3 + 2 * z2**2 + pi2 * (2 * z2**2 - 5 * z2) * q + pi2**2 * (1 - 2 * z2) * q * q) * e(q) for q in half)
+    k2 -= root / (36 * z**3) * math.fsum(pi2 * q * e(q) for q in whole)
+    k3 = root / (6480 * z**10) * math.fsum((pi2**3 * q**3 * (5 - 30 * z2) + pi2**2 * q * q * (212 * z2**2 - 60 * z2) + pi2 * q * (135 * z2**2 - 96 * z2**3) - 30 * z2**3 - 90 * z2**4) * e(q) for q in half)
+    k3 += root / (108 * z**6) * math.fsum((3 * pi2 * q * z2 - pi2**2 * q * q) * e(q) for q in whole)
+    return min(1.0, max(0.0, 1 - (k0 + k1 / math.sqrt(n) + k2 / n + k3 / n**1.5)))
+
+
+def ks_p_value(d: float | None, n_a: int, n_b: int) -> float | None:
+    """Two-sided: by counting lattice paths while the larger sample has EXACT_UP_TO rows at most, else from the distribution of one sample of n_a n_b / (n_a + n_b)."""
     if d is None or not n_a or not n_b:
         return None
-    if n_a * n_b <= exact_up_to:
-        limit = d - 1e-12
-        inside = [0.0] * (n_b + 1)
-        for i in range(n_a + 1):
-            for j in range(n_b + 1):
-                if abs(i / n_a - j / n_b) >= limit:
-                    inside[j] = 0.0
-                elif i == j == 0:
-                    inside[j] = 1.0
-                else:
-                    inside[j] = (inside[j] * i / (i + j) if i else 0.0) + (inside[j - 1] * j / (i + j) if j else 0.0)
-        return min(1.0, max(0.0, 1 - inside[n_b]))
-    z = d * math.sqrt(n_a * n_b / (n_a + n_b))
-    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 101))))
+    if max(n_a, n_b) > EXACT_UP_TO:
+        return _kolmogorov(float(round(n_a * n_b / (n_a + n_b))), d)
+    h = round(d * math.lcm(n_a, n_b))
+    if h <= 0:
+        return 1.0
+    return min(1.0, max(0.0, _outside_square(n_a, h) if n_a == n_b else _outside(n_a, n_b, h)))
 
 
 def tests(df: DataFrame, group: str, value: str, a: object, b: object) -> DataFrame:

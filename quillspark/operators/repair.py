@@ -36,36 +36,52 @@ def sources(responses: DataFrame, subs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(subs.select("section_key", "sub_id")), ["section_key", "sub_id"], "left_semi")
 
 
+_PART = "array<struct<pos:int,ids:array<string>,pro:string,con:string,scores:array<struct<sid:string,score:int>>>>"
+
+
 def normalize(responses: DataFrame, rubric: DataFrame, valid_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signals, subs) of every document and sub-criterion of the sections answered.
 
     signals: doc_id, section_key, sub_id, sid, score; subs: used_chunk_ids, evidence_status,
     pros, drawbacks, missing_evidence. valid_ids: (doc_id, chunk_ids).
+
+    One row a sub-criterion from one grouped pass: its parts of the answer, merged, scored and capped in the row.
     """
     keys = ["doc_id", "section_key", "sub_id"]
-    sub_rows = rubric.select("section_key", "sub_id").distinct()
-    found = sources(responses, sub_rows)
-    cells = found.withColumn("signals", F.try_variant_get(F.try_parse_json("raw"), "$.signals", "variant")).where(F.startswith(F.schema_of_variant("signals"), F.lit("OBJECT")))
-    cells.createOrReplaceTempView(view := f"_signals_{id(cells)}")
-    spark = responses.sparkSession
-    scored = spark.sql(f"SELECT t.doc_id, t.section_key, t.sub_id, x.key AS sid, x.value FROM {view} t, LATERAL variant_explode(t.signals) x")
-    scored = scored.groupBy("doc_id", "section_key", "sub_id", "sid").agg(F.max(coerce_score(F.col("value"))).alias("score"))
-    answered = responses.select("doc_id", "section_key").distinct()
-    every = answered.join(F.broadcast(rubric.select("section_key", "sub_id", "sid", "signal_pos")), "section_key")
-    signals = every.join(scored, [*keys, "sid"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
-
-    parts = found.select(*keys, "pos", F.from_json(F.get_json_object("raw", "$.used_chunk_ids"), "array<string>").alias("ids"), _present(F.col("raw"), "pros", "strengths", "advantages").alias("pro"), _present(F.col("raw"), "drawbacks", "rationale").alias("con"))
-    ordered = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"), "pro", "con"))).alias("all"))
+    sub_rows = rubric.groupBy("section_key", "sub_id").agg(F.sort_array(F.collect_list(F.struct("signal_pos", "sid"))).alias("sids"))  # a rubric's few hundred rows
+    one = F.array(F.struct("pos", F.coalesce(F.from_json(F.get_json_object("raw", "$.used_chunk_ids"), "array<string>"), F.array().cast("array<string>")).alias("ids"), _present(F.col("raw"), "pros", "strengths", "advantages").alias("pro"), _present(F.col("raw"), "drawbacks", "rationale").alias("con"), _scores(F.col("raw")).alias("scores")))
+    parts = sources(responses, sub_rows).select(*keys, one.cast(_PART).alias("part"))
+    # a row without parts for every sub-criterion of a section that was answered
+    none = responses.select("doc_id", "section_key").distinct().join(F.broadcast(sub_rows.select("section_key", "sub_id")), "section_key").select(*keys, F.array().cast(_PART).alias("part"))
+    rows = parts.unionByName(none).groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("all"))
+    rows = rows.join(F.broadcast(sub_rows), ["section_key", "sub_id"]).join(valid_ids, "doc_id", "left")
     told = lambda n: F.array_join(F.array_distinct(F.filter(F.transform("all", lambda x: x[n]), lambda x: x.isNotNull())), " ")
-    merged = ordered.join(valid_ids, "doc_id", "left").select(*keys, F.array_distinct(F.filter(F.flatten(F.transform("all", lambda x: x["ids"])), lambda i: F.array_contains(F.coalesce("chunk_ids", F.array().cast("array<string>")), i))).alias("used_chunk_ids"), told("pro").alias("pros"), told("con").alias("drawbacks"))
-    subs = answered.join(F.broadcast(sub_rows), "section_key").join(merged, keys, "left")
-    subs = subs.select(*keys, F.coalesce("used_chunk_ids", F.array().cast("array<string>")).alias("used_chunk_ids"), F.coalesce("pros", F.lit("")).alias("pros"), F.coalesce("drawbacks", F.lit("")).alias("drawbacks"))
-    signals = cap_perfect(signals.join(subs.select(*keys, "drawbacks"), keys))
-    positive = signals.groupBy(*keys).agg(F.bool_or(F.col("uncapped") > 0).alias("positive"))
-    none = F.size("used_chunk_ids") == 0
-    subs = subs.join(positive, keys).withColumn("missing_evidence", F.col("positive") & none)
+    score = lambda sid: F.coalesce(F.array_max(F.transform(F.filter(F.flatten(F.transform("all", lambda x: x["scores"])), lambda e: e["sid"] == sid), lambda e: e["score"])), F.lit(0))
+    valid = F.coalesce("chunk_ids", F.array().cast("array<string>"))
+    rows = rows.select(
+        *keys,
+        F.array_distinct(F.filter(F.flatten(F.transform("all", lambda x: x["ids"])), lambda i: F.array_contains(valid, i))).alias("used_chunk_ids"),
+        told("pro").alias("pros"),
+        told("con").alias("drawbacks"),
+        F.transform("sids", lambda s: F.struct(s["sid"].alias("sid"), s["signal_pos"].alias("signal_pos"), score(s["sid"]).alias("score"))).alias("signals"),
+    )
+    some = F.exists("signals", lambda s: T.mentions(F.col("drawbacks"), s["sid"]))
+    rows = rows.withColumn("missing_evidence", F.exists("signals", lambda s: s["score"] > 0) & (F.size("used_chunk_ids") == 0)).withColumn("some", some)
+    capped = F.transform("signals", lambda s: F.struct(s["sid"].alias("sid"), s["signal_pos"].alias("signal_pos"), F.when(_is_cut(s["score"], F.col("drawbacks"), s["sid"], F.col("some"), T.mentions(F.col("drawbacks"), s["sid"])), 4).otherwise(s["score"]).alias("score")))
+    signals = rows.select(*keys, F.explode(capped).alias("s")).select(*keys, "s.sid", "s.signal_pos", "s.score")
     status = F.when(F.col("missing_evidence"), "invalid_evidence").when(F.size("used_chunk_ids") == 1, "sparse_evidence").otherwise("ok")
-    return signals.select(*keys, "sid", "signal_pos", "score"), subs.withColumn("evidence_status", status).drop("positive")
+    return signals, rows.select(*keys, "used_chunk_ids", "pros", "drawbacks", "missing_evidence", status.alias("evidence_status"))
+
+
+def _scores(raw: Column) -> Column:
+    """A part's signals as entries of id and score; none if it has no object of them."""
+    found = F.map_entries(F.try_variant_get(F.try_parse_json(raw), "$.signals", "map<string,variant>"))
+    return F.coalesce(F.transform(found, lambda e: F.struct(e["key"].alias("sid"), coerce_score(e["value"]).alias("score"))), F.array().cast("array<struct<sid:string,score:int>>"))
+
+
+def _is_cut(score: Column, drawbacks: Column, sid: Column, some_named: Column, named: Column) -> Column:
+    """Whether a perfect score falls to a caveat."""
+    return (score == 5) & (F.coalesce(drawbacks, F.lit("")) != "") & T.has_caveat(drawbacks) & F.when(some_named, named & T.caveat_about(drawbacks, sid)).otherwise(F.lit(True))
 
 
 def cap_perfect(signals: DataFrame, keys: tuple[str, ...] = ("doc_id", "section_key", "sub_id")) -> DataFrame:
@@ -76,7 +92,7 @@ def cap_perfect(signals: DataFrame, keys: tuple[str, ...] = ("doc_id", "section_
     named = signals.withColumn("named", T.mentions(F.col("drawbacks"), F.col("sid")))
     some = named.groupBy(*keys).agg(F.bool_or("named").alias("some_named"))
     rows = named.join(some, list(keys))
-    cut = (F.col("score") == 5) & (F.coalesce("drawbacks", F.lit("")) != "") & T.has_caveat("drawbacks") & F.when(F.col("some_named"), F.col("named") & T.caveat_about("drawbacks", F.col("sid"))).otherwise(F.lit(True))
+    cut = _is_cut(F.col("score"), F.col("drawbacks"), F.col("sid"), F.col("some_named"), F.col("named"))
     return rows.withColumn("uncapped", F.col("score")).withColumn("score", F.when(cut, 4).otherwise(F.col("score"))).drop("named", "some_named")
 
 

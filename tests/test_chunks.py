@@ -73,3 +73,18 @@ def test_deep_json(spark):
     deep = '{"a":' * 60 + '"leaf"' + "}" * 60
     got = chunks.leaves(spark.createDataFrame([("d", deep)], "doc_id string, raw string")).collect()
     assert len(got) == 1 and got[0]["source_path"].count(">") == 59
+
+
+def test_pool_walks_and_numbers_once(spark):
+    """What the pool reads was written: no walk is left in its plan, and few exchanges."""
+    plan = chunks.pool(spark.createDataFrame([("d1", json.dumps(APP))], "doc_id string, raw string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 0 and plan.count("Exchange ") <= 12
+
+
+def test_derived_names_beside_sections_of_the_same(spark):
+    """A section of the derived chunk's name, or of its initials, numbers it on."""
+    app = {"APPLICATION DETAILS": {"Plain English Summary": "We help.", chunks.PLAIN_ANALYSIS: ["one", "two"], "All Fine Again": "x"}}
+    df = spark.createDataFrame([("d", json.dumps(app))], "doc_id string, raw string")
+    got = chunks.pool(df).orderBy("chunk_pos").collect()
+    assert [r["chunk_id"] for r in got] == ["secpes__001", "secpena__001", "secpena__002", "secafa__001", "secpena__003", "secafa2__001"]
+    assert [r["chunk_pos"] for r in got] == list(range(6))

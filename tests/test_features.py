@@ -1,4 +1,6 @@
 import json
+import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,22 @@ from pyspark.sql import functions as F
 from quillspark.operators import citations, evaluate, features, lines
 
 
+def paths_outside(n_a, n_b, h):
+    """The share of lattice paths that reach a gap of h, every path counted."""
+    lcm, ways = math.lcm(n_a, n_b), {}
+    for i in range(n_a + 1):
+        for j in range(n_b + 1):
+            inside = abs(i * lcm // n_a - j * lcm // n_b) < h
+            ways[i, j] = (1 if i == j == 0 else ways.get((i - 1, j), 0) + ways.get((i, j - 1), 0)) if inside else 0
+    return float(1 - Fraction(ways[n_a, n_b], math.comb(n_a + n_b, n_a)))
+
+
+def counted(d, n):
+    """Two samples of n by reflection, in whole numbers."""
+    h = round(d * n)
+    return float(Fraction(2 * sum((-1) ** (k - 1) * math.comb(2 * n, n - k * h) for k in range(1, n // h + 1)), math.comb(2 * n, n)))
+
+
 def test_h_index_and_upper_median(spark):
     rows = [("a", c) for c in (3, 3, 3)] + [("b", c) for c in (10, 0)] + [("c", 0)]
     df = spark.createDataFrame(rows, "orcid string, cited_by long")
@@ -64,7 +82,18 @@ def test_p_values():
     assert evaluate.t_p_value(-3.382, 4.97) == pytest.approx(0.0199, abs=2e-4)
     assert evaluate.t_p_value(None, 3) is None and evaluate.t_p_value(0.0, 5) == pytest.approx(1.0)
     assert evaluate.ks_p_value(0.8, 5, 5) == pytest.approx(0.0794, abs=1e-4)
-    assert evaluate.ks_p_value(0.05, 1000, 1000) == pytest.approx(0.164, abs=0.01)
+    # exact figures by counting paths with fractions; the last two from the distribution of one sample of n_a n_b / (n_a + n_b)
+    for d, n_a, n_b, p in ((0.8, 5, 5, 0.07936507936507936), (0.4, 5, 5, 0.873015873015873), (0.1, 200, 200, 0.27047438328), (5 / 12, 12, 18, None), (18 / 35, 5, 7, 0.3282828282828283)):
+        if p is not None:
+            assert evaluate.ks_p_value(d, n_a, n_b) == pytest.approx(p, rel=1e-9)
+    assert evaluate.ks_p_value(0.05, 1000, 1000) == pytest.approx(counted(0.05, 1000), rel=1e-9)
+    assert evaluate.ks_p_value(0.0136, 20_000, 20_000) == pytest.approx(0.04903580797, rel=1e-6)
+    assert evaluate.ks_p_value(0.0105, 20_000, 20_000) == pytest.approx(0.21867463664, rel=1e-6)
+    assert evaluate.ks_p_value(0.05, 20_000, 20_000) < 1e-20 and evaluate.ks_p_value(1e-9, 20_000, 30_000) == 1.0
+    for n_a, n_b in ((5, 7), (12, 18), (30, 31)):
+        lcm = math.lcm(n_a, n_b)
+        for h in range(1, lcm + 1, max(1, lcm // 9)):
+            assert evaluate.ks_p_value(h / lcm, n_a, n_b) == pytest.approx(paths_outside(n_a, n_b, h), rel=1e-6, abs=1e-12)
 
 
 def test_tests_of_tiny_groups(spark):
@@ -136,3 +165,17 @@ def test_routing(spark):
     rows = [("1", ".pdf", "Form\nRfPB stage", full, full, full, None, None, "{}"), ("2", ".pdf", "Form", full, none, full, None, None, "{}"), ("3", ".docx", "", None, None, None, full, 10, '{"z":"y"}'), ("4", ".docx", "", None, None, None, full, 5000, "{}"), ("5", ".txt", "", None, None, None, None, None, '{"z":"y"}')]
     df = spark.createDataFrame(rows, "doc_id string, extension string, first_page string, rfpb string, fellowship string, generic string, docx string, docx_chars long, fallback string")
     assert [r["parser"] for r in lines.route(df).orderBy("doc_id").collect()] == ["rfpb", "generic", "fallback", "docx", "fallback"]
+
+
+def test_ks_goes_by_ranges(spark):
+    """The running sum has no window over all values, and equals one over all."""
+    rows = [("a" if i % 3 else "b", float((i * 7919) % 1000) + (i % 3 == 0) * 30) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = evaluate.ks(df, "g", "v", "a", "b")
+    r = got.first()
+    a, b = (sorted(v for g, v in rows if g == x) for x in "ab")
+    want = max(abs(sum(v <= x for v in a) / len(a) - sum(v <= x for v in b) / len(b)) for x in {v for _, v in rows})
+    assert (r["n_a"], r["n_b"]) == (len(a), len(b)) and r["statistic"] == pytest.approx(want, abs=1e-12)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x and "v#" in x and "specifiedwindowframe" in x]
+    assert windows and all("part#" in x for x in windows)
