@@ -169,9 +169,10 @@ def flat_scores(t: Tables) -> DataFrame:
     return out.select("doc_id", "total_items", dec(F.col("score_10")).alias("score_10"))
 
 
-@query("SELECT l_orderkey AS doc_id, CAST(avg(CAST(l_quantity AS INTEGER) % 6) AS DECIMAL(18,6))::DOUBLE AS mean FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS doc_id, CAST(printf('%.4f', avg(CAST(l_quantity AS INTEGER) % 6)) AS DOUBLE) AS mean FROM lineitem GROUP BY l_orderkey")
 def mean_signal_score(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(dec(F.avg(F.col("l_quantity").cast("int") % 6)).alias("mean"))
+    signals = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_quantity").cast("int") % 6).alias("score"))
+    return rollup.mean_signal(signals).select("doc_id", F.col("avg_signal_score_0to5").alias("mean"))
 
 
 def _works(t: Tables) -> DataFrame:
@@ -313,6 +314,11 @@ def dependency_depth(t: Tables) -> DataFrame:
     return out.select("doc_id", F.col("max_dependency_depth").alias("max_depth"), F.col("avg_dependency_depth").alias("avg_depth"))
 
 
-@query("SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\x01'), lambda x: x <> '')) AS BIGINT) AS n_sentences FROM conversations".replace("\\\\", "\\"))
+@query(r"""
+WITH s AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), '\x01'), lambda x: x <> '') AS x FROM conversations),
+n AS (SELECT conv_id, turn, list_transform(x, lambda y: len(string_split(y, ' '))) AS n FROM s)
+SELECT conv_id * 1000 + turn AS doc_id, CAST(len(n) AS BIGINT) AS total_sentences, CAST(printf('%.2f', CASE WHEN len(n) > 0 THEN list_sum(n) / CAST(len(n) AS DOUBLE) ELSE 0.0 END) AS DOUBLE) AS avg_sentence_length,
+  CAST(printf('%.4f', CASE WHEN len(n) > 0 THEN len(list_filter(n, lambda x: x >= 30)) / CAST(len(n) AS DOUBLE) ELSE 0.0 END) AS DOUBLE) AS long_sentence_ratio FROM n
+""")
 def sentence_metrics(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", long(F.size(features.sentences(T.text_or_empty("text")))).alias("n_sentences"))
+    return features.sentence_metrics(t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), T.text_or_empty("text").alias("text")))

@@ -83,22 +83,6 @@ def structure_counts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", *[T.structure_count("text", k).alias(k) for k in ("bullets", "numbered_headings")])
 
 
-@query(r"""
-WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(regexp_replace(lower(text), '[a-z]*[\p{N}_\x{80}-\x{10FFFF}][\p{L}\p{N}_]*', ' ', 'g'), '[a-z]{3,}')) AS x FROM conversations),
-p AS (SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, len(list_intersect(a.x, b.x)) AS i, len(a.x) + len(b.x) - len(list_intersect(a.x, b.x)) AS u FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE len(a.x) > 0 AND len(b.x) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i * 1.0 / u DESC, turn_a, turn_b) AS rank FROM p WHERE i * 1.0 / u >= 0.05)
-SELECT conv_id, turn_a, turn_b, CAST(i AS BIGINT) AS both_have, CAST(u AS BIGINT) AS either_has, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 8
-""")
-def turn_overlaps(t: Tables) -> DataFrame:
-    """The overlap of the sections of a document, turns being sections; exact counts instead of rounded shares."""
-    w = t.conversations.select("conv_id", "turn", T.overlap_words("text").alias("x"))
-    a, b = (w.select("conv_id", F.col("turn").alias(f"turn_{k}"), F.col("x").alias(f"x_{k}")) for k in "ab")
-    p = a.join(b, "conv_id").where((F.col("turn_a") < F.col("turn_b")) & (F.size("x_a") > 0) & (F.size("x_b") > 0))
-    p = p.select("conv_id", "turn_a", "turn_b", F.size(F.array_intersect("x_a", "x_b")).alias("i"), F.size(F.array_union("x_a", "x_b")).alias("u")).where(F.col("i") / F.col("u") >= 0.05)
-    rank = F.expr("row_number() over (partition by conv_id order by i / u desc, turn_a, turn_b)")
-    return p.withColumn("rank", long(rank)).where("rank <= 8").select("conv_id", "turn_a", "turn_b", long(F.col("i")).alias("both_have"), long(F.col("u")).alias("either_has"), "rank")
-
-
 _MONEY_SQL = "CASE c_custkey % 5 WHEN 0 THEN '£' || c_custkey || 'k' WHEN 1 THEN '£1,' || (100 + c_custkey % 900) || '.50' WHEN 2 THEN ' £' || c_custkey || 'M ' WHEN 3 THEN 'about ' || c_custkey ELSE NULL END"
 
 
@@ -271,9 +255,9 @@ SELECT l_orderkey AS doc_id, CAST(count(*) AS BIGINT) AS n, string_agg(p_name, '
 def evidence_expansion(t: Tables) -> DataFrame:
     ids = t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("used_chunk_ids"))
     pool = t.part.where("p_size < 30").select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text"), F.col("p_type").alias("parser_section"), F.col("p_brand").alias("source_path"))
-    rows = ids.select("doc_id", F.posexplode("used_chunk_ids").alias("i", "chunk_id")).join(pool, "chunk_id")
-    out = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "chunk_id", "text"))).alias("e"))
-    return out.select("doc_id", long(F.size("e")).alias("n"), F.array_join(F.transform("e", lambda x: x["text"]), "|").alias("names"))
+    chunk = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("chunk_id")).distinct().join(pool, "chunk_id")
+    out = retrieval.expand(ids, chunk, ("doc_id",))
+    return out.select("doc_id", long(F.size("evidence")).alias("n"), F.array_join(F.transform("evidence", lambda x: x["text"]), "|").alias("names"))
 
 
 @query("SELECT conv_id AS doc_id, role AS section_name, CAST(min(turn) AS INTEGER) AS section_pos, CAST(count(*) AS BIGINT) AS n, string_agg('t_' || turn, ',' ORDER BY turn) AS ids FROM conversations GROUP BY ALL")

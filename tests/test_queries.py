@@ -6,9 +6,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillspark.plans import registry, run_queries, score_queries, text_queries  # noqa: F401
+from quillspark.plans import figure_queries, flagship, registry, run_queries, score_queries, text_queries  # noqa: F401
 from quillspark.plans.flagship import evidence_scores
 
+QUERIES = registry.QUERIES | {"evidence_scores": evidence_scores}
+SQL = registry.SQL | {"evidence_scores": flagship.SQL}
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
 
@@ -25,12 +28,12 @@ def rows(df, columns):
     return sorted(map(repr, df[columns].astype(object).where(df[columns].notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = registry.QUERIES[name](spark, SF).toPandas()
-    assert len(got) or name in registry.SQL
-    if name in registry.SQL:
-        want = duck.sql(registry.SQL[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    assert len(got) or name in SQL
+    if name in SQL:
+        want = duck.sql(SQL[name]).df()
         columns = sorted(got.columns)
         assert columns == sorted(want.columns)
         assert rows(got, columns) == rows(want, columns)
