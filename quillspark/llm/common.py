@@ -2,81 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import hashlib
-import io
-import os
 import sys
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..cluster import scratch, ship, stored
+
+__all__ = ["SPACE_CLASS", "STEP_BYTES", "binary_views", "byte_texts", "char_offset", "partitions", "scratch", "sha", "ship", "steps", "stored", "table", "text_steps", "tidy", "trim"]
+
 #: Text bytes that one vectorised step takes; bounds a Python worker's memory.
 STEP_BYTES = 2 << 20
 
 #: The white space that ends a word.
 SPACE_CLASS = r" \t\n\x0B\f\r"
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.writestr(zipfile.ZipInfo(str(p.relative_to(top.parent))), p.read_bytes())
-    name = f"quillspark-{hashlib.sha256(data.getvalue()).hexdigest()[:12]}.zip"
-    path = Path(tempfile.mkdtemp()) / name
-    path.write_bytes(data.getvalue())
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if where:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(where)
-        return where
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-        known = sc._jsc.sc().getCheckpointDir()
-    return known.get()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.sc().hadoopConfiguration() if hasattr(spark, "_jsc") else spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended before the interpreter
-        pass
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and the planner learns its size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -152,7 +97,3 @@ def sha(text: bytes) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)

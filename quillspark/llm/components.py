@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from ..cluster import forget
+from .common import scratch, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -14,19 +15,23 @@ def _mark(edges: DataFrame) -> tuple:
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """links (a, b) -> (node, component): the smallest node that links reach, for every node of a link.
 
-    Each round is written to the shared folder, so a lost executor costs one round.
+    Each round is written to the shared folder, so a lost executor costs one round; the tables of rounds before go.
+    The least neighbours are written too: a join of two written tables is one that Spark can split where a node has
+    very many links, or broadcasts where they are few.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     before = _mark(edges)
     for _ in range(rounds):
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(low, "a")
-        small = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small, "small-star")
+        with scratch() as keep:
+            both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "large-least")
+            large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            large = stored(large, "large-star")
+            low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "small-least")
+            met = large.join(low, "a")
+            small = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).distinct()
+            done, edges = edges, keep(stored(small, "small-star"))
+        forget(done)
         now = _mark(edges)
         if now == before:
             break

@@ -52,7 +52,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import binary_views, partitions, ship, stored, tidy
+from .common import binary_views, partitions, scratch, ship, stored, tidy
 from .components import components
 from .shingles import column_sets, mix
 
@@ -422,9 +422,16 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    ship(spark)
-    texts = _texts(docs, id_col, text_col)
+    ship(docs.sparkSession)
+    with scratch() as keep:
+        rows, by_class = map(keep, _components_of(_texts(docs, id_col, text_col)))
+    out = rows.join(by_class, "node", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+
+
+def _components_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketches of all documents, component_id by node), both written."""
+    spark = texts.sparkSession
     for salt in range(4):
         rows = stored(sketches(texts, salt), "sketches")
         classes = stored(classes_of(rows), "classes")
@@ -467,8 +474,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     final = components(known.unionAll(more))
 
     by_class = stored(named.join(final, named["rep"] == final["node"], "left").select(named["node"], F.coalesce(final["component"], "rep").alias("component_id")), "component-of-class")
-    out = rows.join(by_class, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return rows, by_class
 
 
 def _levels(n: Column) -> list[Column]:

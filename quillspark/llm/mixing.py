@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE_CLASS, stored
+from .common import SPACE_CLASS, scratch, stored
 
 POWER = 0.7
 RATE = 0.7
@@ -155,5 +155,6 @@ def assign(docs: DataFrame, cell: DataFrame, id_col: str = "doc_id", margins: tu
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> tuple[DataFrame, DataFrame]:
     """(documents with tokens, topic, probability, weight, gaps, kept and without their text; the calibrated cells)."""
     rows = stored(docs.select(id_col, "source", "lang", topic(F.col(text_col)).alias("topic"), n_tokens(F.col(text_col)).alias("tokens")), "tokens")
-    cell = stored(calibrate(rake(cells(rows), targets), rate), "calibrated")
+    with scratch() as keep:
+        cell = keep(stored(calibrate(rake(cells(rows), targets), rate), "calibrated"))
     return assign(rows, cell, id_col), cell
