@@ -1,13 +1,17 @@
 """The corpus pipeline: quality, near duplicates, secrets, mixing, tokens.
 
 Each stage works on all rows that its predecessor kept and, but for the last, returns
-the columns of documents. Null, empty and repeated rows: see the operator of each
-stage. Extra columns ride along.
+the columns of documents. Extra columns ride along, whatever their names. An empty
+table passes every stage empty. Null and empty texts go in the first stage, having no
+quality; so do very long texts if they are bad, and whole. Ties (groups of equal
+documents, rows of one id) are decided by the least id, then by the least hash of the
+row, so a rerun after a lost executor keeps the same rows. Rows with a null id are
+documents of their own up to the last stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillspark.llm import bpe, jaccard, mixing, quality, secret_scan
 from quillspark.llm.common import stored, table
@@ -28,14 +32,19 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; of rows of one id, one. Rows with a null id stay."""
+    """The document of the smallest id of each group of near duplicates; of the rows of one id, the one of the least hash. Rows with a null id stay.
+
+    What is dropped is written as ids, so the planner broadcasts it only if it is small. Rows of one id are found by
+    their ids; their texts alone are ordered, and where no id repeats, none are. Equal rows are one.
+    """
     groups = stored(jaccard.join(docs).select("doc_id", "component_id").distinct(), "pipeline-groups")
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)  # no broadcast: what is dropped grows with the input
-    ids = docs.where("doc_id is not null").agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if ids["n"] == ids["d"]:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    dropped = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-dropped")
+    repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    once = kept.join(repeated, "doc_id", "left_anti")
+    least = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2(F.to_json(F.struct(*docs.columns)), 256)))
+    many = kept.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), least.alias("nth")).where("nth = 1").select("row.*")
+    return once.select(docs.columns).unionByName(many)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
