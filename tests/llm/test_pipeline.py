@@ -67,3 +67,17 @@ def test_edges(spark, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none/labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_of_one_id_are_decided_the_same_way(spark):
+    """Of rows of one id the same one stays however the table is split; groups that the id links are one."""
+    rows = [(1, f"only this text stands alone number {w} of them", "en", "s", 9) for w in "abcdef"] + [(1, "only this text stands alone number a of them", "en", "s", 9)]
+    rows += [(2, "x y z u v w a b c d e f g h", "en", "s", 1), (None, "x y z u v w a b c d e f g h", "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = set()
+    for n in (1, 3, 7):
+        got = corpus_pipeline.without_near_duplicates(spark, docs.repartition(n), "").collect()
+        assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "None", "None"]
+        seen.add(next(r["text"] for r in got if r["doc_id"] == 1))
+    assert len(seen) == 1
+    assert corpus_pipeline.without_near_duplicates(spark, docs.limit(0), "").count() == 0
