@@ -15,20 +15,25 @@ without tokens (ignored); shares are scaled to what is there.
 
 Null source, language or topic is a value of its own. Null or empty texts have no
 tokens: they belong to a cell and are drawn like its other documents. Repeated
-rows each count and share one fate.
+rows and ids each count and share one fate; so do null ids. An empty table gives no
+rows. Very long texts count whole. Columns of the operator's own names in a table
+that it is given are not read, but for the margins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import SPACE_CLASS, scratch, stored
 
 POWER = 0.7
 RATE = 0.7
-SWEEPS = 12
 #: Largest relative gap at which margins agree, the sweeps to get there at most, and how many are planned at once.
-TOLERANCE, MOST_SWEEPS, STEP = 1e-9, 600, 3
+TOLERANCE, MOST_SWEEPS, STEP = 1e-9, 600, 4
+#: If this many sweeps lower the gap by less than a hundredth, no weights meet all margins, and those reached are taken.
+STALLED = 24
 #: Cells up to this number are swept in one task, without shuffles.
 FEW = 10_000
 MARGINS = ("source", "lang", "topic")
@@ -59,10 +64,24 @@ def cells(docs: DataFrame, tokens: str = "tokens", margins: tuple[str, ...] = MA
     return docs.groupBy(*named).agg(F.count("*").alias("n_docs"), F.sum(tokens).alias("n"))
 
 
-def rake(cell: DataFrame, targets: dict[str, dict[str, float]] | None = None, margins: tuple[str, ...] = MARGINS, power: float = POWER, sweeps: int = SWEEPS) -> DataFrame:
+def swept(cell: DataFrame, name: str, sweep: Callable[[DataFrame], DataFrame], gap: Column, n_cells: int, tolerance: float, sweeps: int) -> DataFrame:
+    """cell after sweeps until the largest gap is tolerance at most, or stays where it is. Each STEP of them is written, so plans stay small and a lost executor costs one step."""
+    seen: list[float] = []
+    for _ in range(0, sweeps, STEP):
+        for _ in range(STEP):
+            cell = sweep(cell)
+        cell = gathered(stored(cell, name), n_cells)
+        seen.append(cell.select(gap.alias("off")).agg(F.max("off")).first()[0] or 0.0)
+        if seen[-1] <= tolerance or (len(seen) > STALLED // STEP and seen[-1] > 0.99 * seen[-1 - STALLED // STEP]):
+            break
+    return cell
+
+
+def rake(cell: DataFrame, targets: dict[str, dict[str, float]] | None = None, margins: tuple[str, ...] = MARGINS, power: float = POWER, tolerance: float = TOLERANCE, sweeps: int = MOST_SWEEPS) -> DataFrame:
     """cell with weight: tokens after raking, adding up to 1; and off, the largest relative gap that is left in a margin.
 
-    A cell's sums are few rows, so windows by a margin's value hold cells, not documents.
+    A cell's sums are few rows, so windows by a margin's value hold cells, not documents. off is over tolerance only
+    where no weights meet all targets (a value's only cells lie where another margin's target is 0).
     """
     total = cell.agg(F.sum("n")).first()[0] or 0
     out = cell.withColumn("weight", F.try_divide(F.col("n"), F.lit(float(total))))
@@ -77,14 +96,18 @@ def rake(cell: DataFrame, targets: dict[str, dict[str, float]] | None = None, ma
         out = stored(out.withColumn(f"to_{m}", raw), "cells")
         whole = out.groupBy(m).agg(F.first(f"to_{m}").alias("x")).agg(F.sum("x")).first()[0] or 1.0
         out = out.withColumn(f"to_{m}", F.col(f"to_{m}") / whole)
-    for i in range(sweeps):
+
+    def sweep(c: DataFrame) -> DataFrame:
         for m in margins:
-            held = F.sum("weight").over(Window.partitionBy(m))
-            out = out.withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(F.col(f"to_{m}"), held), F.lit(0.0)))
-        if i % 3 == 2:
-            out = stored(out, "raked")
+            whole = F.sum("weight").over(Window.partitionBy(m))
+            c = c.withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(F.col(f"to_{m}"), whole), F.lit(0.0)))
+        return c
+
     gaps = [F.abs(F.coalesce(F.try_divide(F.sum("weight").over(Window.partitionBy(m)), F.col(f"to_{m}")), F.lit(1.0)) - 1) for m in margins]
-    return out.withColumn("off", F.greatest(*gaps))
+    off = F.greatest(*gaps)
+    out = stored(out, "cells")
+    n_cells = out.count()
+    return swept(gathered(out, n_cells), "raked", sweep, off, n_cells, tolerance, sweeps).withColumn("off", off)
 
 
 def gathered(cell: DataFrame, n_cells: int) -> DataFrame:
@@ -121,13 +144,14 @@ def calibrate(raked: DataFrame, rate: float = RATE, margins: tuple[str, ...] = M
     out = gathered(stored(out, "goals"), r["cells"])
     x = F.least(F.col("_x"), F.col("_cap").cast("double"))
     share = {m: F.try_divide(F.sum(x).over(Window.partitionBy(m)), F.lit(goal)) for m in margins}
-    for i in range(0, sweeps, STEP):
-        for m in margins * STEP:
-            out = held(out, m, "_cap", "_x", F.col(f"_goal_{m}"))
-        out = gathered(stored(out, "held"), r["cells"])
-        off = [F.abs(F.coalesce(F.try_divide(share[m] * goal, F.col(f"_goal_{m}")), F.lit(1.0)) - 1) for m in margins]
-        if (out.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
-            break
+
+    def sweep(c: DataFrame) -> DataFrame:
+        for m in margins:
+            c = held(c, m, "_cap", "_x", F.col(f"_goal_{m}"))
+        return c
+
+    off = F.greatest(*[F.abs(F.coalesce(F.try_divide(share[m] * goal, F.col(f"_goal_{m}")), F.lit(1.0)) - 1) for m in margins])
+    out = swept(out, "held", sweep, off, r["cells"], tolerance, sweeps)
     gaps = {f"gap_{m}": F.try_divide(share[m], F.col(f"to_{m}")) - 1 for m in margins}
     # a cell without tokens is drawn at the overall rate
     probability = F.when(F.col("n") == 0, F.lit(float(rate))).otherwise(F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("_x"), F.col("n"))), F.lit(0.0)))

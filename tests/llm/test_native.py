@@ -202,6 +202,71 @@ def test_draw_meets_the_targets_beside_full_cells(spark):
     assert max(abs(r[f"gap_{m}"]) for r in cell.collect() for m in mixing.MARGINS) < 1e-6
 
 
+def plain_raking(cells, rate):
+    """(weight, probability) of cells [(values, tokens)] by raking in plain numpy, to convergence, without windows or tables."""
+    n = np.array([c[1] for c in cells], float)
+    at = [np.unique([c[0][m] for c in cells], return_inverse=True)[1] for m in range(3)]
+    total = n.sum()
+    to = []
+    for i in at:
+        share = (np.bincount(i, n) / total) ** mixing.POWER
+        share[np.bincount(i, n) == 0] = 0
+        to.append(share / share.sum())
+    w = n / total
+    for _ in range(5000):
+        for i, t in zip(at, to, strict=True):
+            held = np.bincount(i, w)
+            w = w * np.where(held > 0, t / np.where(held > 0, held, 1), 0)[i]
+        if max(np.abs(np.bincount(i, w) - t).max() for i, t in zip(at, to, strict=True)) < 1e-14:
+            break
+
+    def least(x, cap, goal):
+        """x times a factor found by halving, so that sum(min(cap, x * factor)) is goal, or all of cap."""
+        if cap[x > 0].sum() <= goal:
+            return np.where(x > 0, np.inf, 0)
+        low, high = 0.0, 1.0
+        while np.minimum(cap, x * high).sum() < goal:
+            high *= 2
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.minimum(cap, x * mid).sum() < goal else (low, mid)
+        return x * high
+
+    whole = rate * total
+    goals = [np.minimum(least(t, np.bincount(i, n), whole), np.bincount(i, n)) for i, t in zip(at, to, strict=True)]
+    x = w * whole
+    for _ in range(3000):
+        last = x.copy()
+        for i, g in zip(at, goals, strict=True):
+            for v in range(len(g)):
+                own = i == v
+                x[own] = np.minimum(least(x[own], n[own], g[v]), 1e30)
+        if np.abs(np.minimum(x, n) - np.minimum(last, n)).max() < 1e-9:
+            break
+    return w, np.minimum(x, n) / np.where(n > 0, n, 1)
+
+
+def test_raking_equals_plain_raking(spark):
+    """Weights and probabilities of every cell; with null values, ties, and a value that is short of its target."""
+    rng = random.Random(21)
+    rows = [(i, rng.choice(["a", "a", "b", "c", None]), rng.choice(["en", "en", "en", "de", None]), "x " * rng.randint(5, 30) + ("@" if i % 40 == 0 else " | " if i % 3 == 0 else "")) for i in range(1500)]
+    _, cell = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string"), rate=0.5)
+    got = sorted(((r["source"], r["lang"], r["topic"]), r["n"], r["weight"], r["probability"]) for r in cell.collect())
+    weight, probability = plain_raking([(values, n) for values, n, _, _ in got], 0.5)
+    assert len(got) > 30
+    assert np.allclose([x[2] for x in got], weight, atol=1e-9)
+    assert np.allclose([x[3] for x in got], probability, atol=1e-6)
+
+
+def test_mixing_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, "a", "en", "x y", 5, 0.5, "k"), (1, "a", "en", "x y", 5, 0.5, "k"), (2, "b", "en", "word " * 200_000, 1, 0.1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, tokens int, weight double, topic string")
+    docs, _ = mixing.mix(df)
+    got = docs.collect()
+    assert sorted(r["tokens"] for r in got) == [2, 2, 200_000]
+    assert len({(r["doc_id"], r["kept"]) for r in got}) == 2  # rows of one id share one fate
+
+
 def test_targets_and_edges(spark):
     docs, _ = mixed(spark, targets={"source": {"s0": 1.0, "s1": 1.0, "unknown": 5.0}})
     rows = docs.collect()
