@@ -9,7 +9,9 @@ sites. The path's posterior is then the prior of its documents.
 
 Null hosts and paths are sites of their own. Text that is null or without a word
 has quality 0 and is rejected. Without labels, evidence is 0.5 throughout and
-every document with a word stays. Repeated rows each count and each give a row.
+every document with a word stays. Repeated rows and ids, and null ids, each count
+and each give a row. An empty table gives no rows. Very long texts are read whole.
+Extra columns ride along; those of the names that the operator adds are replaced.
 """
 
 from __future__ import annotations
@@ -104,10 +106,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 
 def with_evidence(docs: DataFrame, model: Logistic | None, text_col: str = "text", name: str = "evidence") -> DataFrame:
-    """docs and a column of the model's probability; null for a text without a word. text_col may be a field of a struct: row.text."""
+    """docs and a column of the model's probability, in place of one of that name; null for a text without a word. text_col may be a field of a struct: row.text."""
     ship(docs.sparkSession)
     outer, _, inner = text_col.partition(".")
-    at = docs.columns.index(outer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,6 +119,8 @@ def with_evidence(docs: DataFrame, model: Logistic | None, text_col: str = "text
             empty = ~x.any(axis=1)
             yield batch.append_column(name, pa.array(np.where(empty, np.nan, p), mask=empty))
 
+    docs = docs.drop(name)
+    at = docs.columns.index(outer)
     return docs.mapInArrow(tidy(run), f"{docs._jdf.schema().toDDL()}, `{name}` double")
 
 
@@ -155,6 +158,7 @@ def posterior(evidence: DataFrame, site_table: DataFrame, prior: float, host: st
     logit = lambda c: F.log(c / (1 - c))
     clip = lambda c: F.greatest(F.lit(_EDGE), F.least(F.lit(1 - _EDGE), c))
     z = logit(F.col(p)) - float(np.log(prior / (1 - prior))) + logit(clip(F.col("path_posterior")))
+    evidence = evidence.drop(*[c for c in ("path_n", "host_posterior", "path_posterior", "global_share", "quality", "kept") if c in evidence.columns])
     out = evidence.join(right, evidence[host].eqNullSafe(right["_h"]) & evidence[path].eqNullSafe(right["_p"]), "left").drop("_h", "_p")
     quality = F.when(F.col(p).isNull(), F.lit(0.0)).otherwise(1 / (1 + F.exp(-z)))
     return out.withColumn("quality", quality).withColumn("kept", F.col("quality") >= keep_at)

@@ -8,8 +8,9 @@ third, and takes the rows that it covers away. The list becomes one ordered
 conditional expression.
 
 Null text counts as empty: all figures 0, base_failed. Without labels of both
-classes the list is empty and the base rules alone decide. Repeated rows each give
-a row; extra columns are not read.
+classes the list is empty and the base rules alone decide. Repeated rows and ids,
+and null ids, each give a row; a null id has no label. An empty table gives no rows.
+Very long texts count whole. Extra columns, of any name, are not read.
 """
 
 from __future__ import annotations

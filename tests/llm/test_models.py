@@ -84,6 +84,74 @@ def test_sparse_sites_shrink(spark):
     assert 0.0 < got["tiny"]["path_posterior"] < share and got[None]["path_posterior"] == pytest.approx(share)
 
 
+def plain_sites(rows):
+    """{(host, path): (n, host posterior, path posterior)} and the share of all, of rows (host, path, p), in plain Python."""
+    e = quality._EDGE
+    clip = lambda x, low, high: min(max(x, low), high)
+    sums, hosts = {}, {}
+    for h, q, p in rows:
+        for key, held in (((h, q), sums), (h, hosts)):
+            n, s = held.get(key, (0, 0.0))
+            held[key] = (n, s) if p is None else (n + 1, s + p)
+
+    def strength(level, base):
+        seen = [(n, s / n, base(k)) for k, (n, s) in level.items() if n]
+        total, v = sum(n for n, _, _ in seen), sum(n * b * (1 - b) for n, _, b in seen)
+        if not total or not v:
+            return 10.0
+        noise = v / total
+        spread = max(0.0, sum(n * (m - b) ** 2 for n, m, b in seen) - len(seen) * noise) / total
+        return clip(noise / spread - 1 if spread > 0 else 1e6, 1.0, 1e6)
+
+    n, s = sum(x for x, _ in hosts.values()), sum(x for _, x in hosts.values())
+    share = clip(s / n if n else 0.5, e, 1 - e)
+    k0 = strength(hosts, lambda _: share)
+    host = {h: (s + k0 * share) / (n + k0) for h, (n, s) in hosts.items()}
+    k1 = strength(sums, lambda k: host[k[0]])
+    return {(h, q): (n, host[h], (s + k1 * host[h]) / (n + k1)) for (h, q), (n, s) in sums.items()}, share
+
+
+def plain_quality(p, prior, site):
+    if p is None:
+        return 0.0
+    logit = lambda x: np.log(x / (1 - x))
+    z = logit(p) - logit(prior) + logit(min(max(site, quality._EDGE), 1 - quality._EDGE))
+    return 1 / (1 + np.exp(-z))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sites_and_posterior_equal_plain_python(spark, seed):
+    """Repeated rows, null hosts, paths and evidence, a host without any evidence; columns of the operator's own names."""
+    rng = np.random.default_rng(seed)
+    hosts = [None, "a", "b", "c", "d"]
+    rows = []
+    for _ in range(400):
+        h = hosts[rng.integers(5)]
+        q = None if rng.random() < 0.1 else f"{h}/{rng.integers(3)}"
+        p = None if h == "d" or rng.random() < 0.1 else round(float(np.clip(rng.beta(2, 2) * (0.4 if h == "a" else 1), 0.001, 0.999)), 6)
+        rows.append((h, q, p))
+    rows += rows[:40]
+    ev = spark.createDataFrame([(i, *r, 7) for i, r in enumerate(rows)], "doc_id long, host string, path string, evidence double, extra int")
+    want, share = plain_sites(rows)
+    table = quality.sites(ev)
+    got = {(r["host"], r["path"]): r for r in table.collect()}
+    assert set(got) == set(want)
+    for k, (n, h, q) in want.items():
+        assert (got[k]["path_n"], got[k]["global_share"]) == (n, pytest.approx(share))
+        assert (got[k]["host_posterior"], got[k]["path_posterior"]) == (pytest.approx(h), pytest.approx(q))
+    out = {r["doc_id"]: r for r in quality.posterior(ev, table, 0.6).collect()}
+    assert len(out) == len(rows)
+    for i, (h, q, p) in enumerate(rows):
+        assert out[i]["quality"] == pytest.approx(plain_quality(p, 0.6, want[h, q][2])) and out[i]["kept"] == (out[i]["quality"] >= quality.KEEP_AT)
+
+
+def test_evidence_beside_clashing_names(spark):
+    """A column of the name is replaced; very long texts and repeated ids each have their evidence."""
+    docs = spark.createDataFrame([(1, "plain words in a row here", 5.0), (1, "plain words in a row here", 6.0), (None, "word " * 300_000, 7.0)], "doc_id long, text string, evidence double")
+    got = quality.with_evidence(docs, None).collect()
+    assert [r["evidence"] for r in got] == [0.5] * 3 and len(got[0]) == 3
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "some words here")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
@@ -128,6 +196,25 @@ def test_decision_list_learns_a_conjunction():
     assert rules.learn([]) == [] and rules.learn([r | {"bad": False} for r in rows]) == []
 
 
+def test_verdict_column_equals_the_list(spark):
+    """The first rule that holds, by Condition.holds, on figures with null, equal and very long texts, repeated and null ids."""
+    rng = np.random.default_rng(12)
+    texts = [None, "", "word " * 100_000, "a ! b ! c ! " * 9] + [" ".join(rng.choice(["abc", "De", "!", "#x", "word word", "line\n"], rng.integers(1, 90))) for _ in range(250)]
+    df = spark.createDataFrame([(None if i % 50 == 0 else i // 2, t, "r") for i, t in enumerate(texts)], "doc_id long, text string, rule string")
+    stats = rules.figures(df)
+    rows = [r.asDict() for r in stats.select("*", *[F.expr(e).cast("double").alias(k) for k, e in rules.RATIOS.items()]).collect()]
+    lists = [[(rules.Condition("bang_share", True, 0.2), rules.Condition("word_length", False, 3.0)), (rules.Condition("distinct_share", False, 0.3),), (rules.Condition("upper_share", True, 0.05), rules.Condition("repeat_share", False, 0.5))], []]
+    for learned in lists:
+        got = sorted(map(str, [(r["doc_id"], r["n_words"], r["word_chars"], r["rule"], r["kept"]) for r in rules.apply(stats, learned).collect()]))
+        want = []
+        for r in rows:
+            failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+            first = next((i for i, rule in enumerate(learned, 1) if all(c.holds(r) for c in rule)), None)
+            want.append(str((r["doc_id"], r["n_words"], r["word_chars"], None if failed else first, not failed and first is None)))
+        assert got == sorted(want)
+        assert not learned or len({x.rsplit(",", 2)[1] for x in got}) >= 3
+
+
 @needs_tables
 def test_rules_keep_clean_documents(spark):
     got = queries.op4_quality_rules(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("not base_failed").collect()
