@@ -1,5 +1,6 @@
-"""spark-submit entry: parse a folder of applications to chunks, or score it.
+"""spark-submit entry: parse a folder of files to application JSON, cut applications to chunks, or score them.
 
+    python -m quillspark parse   IN_FOLDER OUT_FOLDER [--url URL --model NAME]
     python -m quillspark chunks  IN_FOLDER OUT_FOLDER
     python -m quillspark score   IN_FOLDER OUT_FOLDER --url URL --model NAME [--criteria FILE]
     python -m quillspark profile WORKS_JSON FUNDINGS_JSON OUT_FOLDER --year 2026
@@ -12,7 +13,7 @@ import argparse
 from pyspark.sql import SparkSession, functions as F
 
 from .operators import chunks, citations, rubric
-from .plans import scoring
+from .plans import parsing, scoring
 from .sources import files, profiles
 from .sources.scorers import HttpScorer
 
@@ -27,6 +28,9 @@ def main(args: list[str] | None = None) -> None:
     s.add_argument("--url", required=True)
     s.add_argument("--model", required=True)
     s.add_argument("--criteria")
+    s = sub.add_parser("parse")
+    for a in ("source", "out", "--url", "--model"):
+        s.add_argument(a)
     s = sub.add_parser("profile")
     for a in ("works", "fundings", "out"):
         s.add_argument(a)
@@ -38,6 +42,10 @@ def main(args: list[str] | None = None) -> None:
         fundings = profiles.fundings(files.json_files(spark, o.fundings).select(F.col("stem").alias("orcid"), "raw"))
         citations.features(works.select("orcid").distinct(), works, fundings, None, o.year).write.mode("overwrite").parquet(o.out)
         return
+    if o.what == "parse":
+        generate = HttpScorer(o.url, o.model) if o.url and o.model else None
+        parsing.parse_folder(spark, o.source, f"{o.out}/parsed", generate).write.mode("overwrite").partitionBy("doc_id").json(f"{o.out}/json")
+        return
     applications = files.json_files(spark, o.source).select(F.col("stem").alias("doc_id"), "raw")
     if o.what == "chunks":
         pool = chunks.pool(applications)

@@ -5,11 +5,12 @@ A later parser runs only on documents that the earlier ones left empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..cluster import is_complete
 from ..functions import text as T
 from ..operators import lines as L
-from ..sources import pages as P
+from ..sources import files, pages as P
 from ..sources.scorers import Generate, call
 from .scoring import Store, checkpointed
 
@@ -134,3 +135,25 @@ def structure(texts: DataFrame, generate: Generate, schema: str = "{}") -> DataF
     found = T.json_object("raw")
     typed = F.when(F.get_json_object(found, "$.doc_type").isNull(), F.concat(F.lit('{"doc_type":"llm_fallback",'), F.substring(found, F.lit(2), F.length(found)))).otherwise(found)
     return rows.select("doc_id", F.coalesce(typed, F.when(T.text_or_empty("text") != "", whole), F.lit("{}")).alias("raw"))
+
+
+def parse_folder(spark: SparkSession, source: str, out: str, generate: Generate | None = None, decoder: P.Decoder = P.pdfplumber_decoder, store: Store = checkpointed, min_chars: int = 1) -> DataFrame:
+    """(doc_id, raw, parser) of a folder's files, added to the table at out; files that the table holds with text are not parsed again.
+
+    The table is both the result and the cache: a second call after a stop, or after new files, does what is left.
+    generate structures what no layout fits; without it such a file is an empty object and is tried again next time.
+    """
+    every = files.folder(spark, source).withColumnRenamed("stem", "doc_id")
+    if is_complete(spark, out):
+        every = files.cached(every, spark.read.parquet(out).where("raw <> '{}'"), "doc_id", min_chars)
+    every = store(every, "to_parse")
+    pages = store(P.decode(every.where("extension = '.pdf'"), decoder, "doc_id"), "pages")
+    docx = store(files.docx_text(every.where("extension <> '.pdf'").withColumn("name", F.col("doc_id"))).select(F.col("name").alias("doc_id"), "text"), "docx_texts")
+    fallback = None
+    if generate:
+        texts = L.page_budget(pages).select("doc_id", "text").unionByName(docx)
+        fallback = store(structure(texts, generate), "structured")
+    done = store(parse(every.select("doc_id", "extension"), pages, docx, fallback, store), "parsed")
+    done.write.mode("append").parquet(out)
+    latest = Window.partitionBy("doc_id").orderBy((F.col("raw") == "{}").cast("int"), F.col("_metadata.file_modification_time").desc(), "raw")
+    return spark.read.parquet(out).withColumn("nth", F.row_number().over(latest)).where("nth = 1").drop("nth")

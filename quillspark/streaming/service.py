@@ -16,10 +16,11 @@ JOB = "job_id string, status string, phase string, progress int, detail string,
 
 
 def inbox(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """(job_id, path, raw) of JSON files that arrive in a folder; the id is twelve hex digits of the path's hash."""
+    """(job_id, path, raw) of JSON files that arrive in a folder; the id is the name if that is twelve hex digits, else as many of the path's hash."""
     rows = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", files_per_trigger).load(path)
     where = F.col("_metadata.file_path")
-    return rows.select(F.substring(F.sha2(where, 256), 1, 12).alias("job_id"), where.alias("path"), F.col("value").alias("raw"))
+    own = F.regexp_extract(where, r"/([0-9a-f]{12})\.json$", 1)
+    return rows.select(F.when(own != "", own).otherwise(F.substring(F.sha2(where, 256), 1, 12)).alias("job_id"), where.alias("path"), F.col("value").alias("raw"))
 
 
 def _status(df: DataFrame, phase: str, status: str = "running", detail: str = "") -> DataFrame:

@@ -66,3 +66,22 @@ def test_route_and_fallback(spark):
     assert json.loads(got["w"]["raw"]) == {"doc_type": "llm_fallback", "A": {"b": "c"}}
     plain = parsing.structure(texts, FakeScorer((), "no json")).where("doc_id = 'w'").first()["raw"]
     assert json.loads(plain)["APPLICATION DETAILS"] == {"Raw Content": "short"}
+
+
+def test_folder_to_table(spark, tmp_path):
+    """Files are parsed once; what no layout fits is structured by a model, or tried again."""
+    source, out = tmp_path / "in", str(tmp_path / "out" / "parsed")
+    source.mkdir()
+    (source / "f.pdf").write_bytes(b"f")
+    (source / "w.docx").write_bytes(b"no docx")
+    seen = []
+
+    def parse(generate=None):
+        return {r["doc_id"]: r for r in parsing.parse_folder(spark, str(source), out, generate, decoder, lambda df, name: (seen.append((name, df.count())), df.cache())[1]).collect()}
+
+    first = parse()
+    assert first["f"]["parser"] == "fellowship" and first["w"]["raw"] == "{}"
+    (source / "r.pdf").write_bytes(b"r")
+    seen.clear()
+    again = parse(FakeScorer((), '{"A": {"b": "c"}}'))
+    assert dict(seen)["to_parse"] == 2 and again["r"]["parser"] == "rfpb" and again["f"] == first["f"] and set(again) == {"f", "r", "w"}

@@ -154,3 +154,59 @@ def test_streamed_fold_equals_batch(spark, tmp_path):
         got = last[doc]["subcriteria_beliefs"][sub]
         assert set(got["good"]) <= set(r["good"]) and sorted(got["bad"]) == sorted(r["bad"])
     assert last["e"]["missing_signals"] == ["g.0", "g.2"]
+
+
+def test_sheets_are_written_read_and_appended(spark, tmp_path):
+    path = str(tmp_path / "r.xlsx")
+    a = spark.createDataFrame([("b_after", 2.5, None), ("b_before", 1.0, "x < y & z")], "name string, score double, note string")
+    assert files.append_sheet(a, path, "name") == 2
+    b = spark.createDataFrame([("b_after", 9.0, "other"), ("a_before", 3.0, "new"), ("a_before", 3.0, "new")], "name string, score double, note string")
+    assert (files.append_sheet(b, path, "name"), files.append_sheet(b, path, "name")) == (1, 0)
+    got = [tuple(r) for r in files.read_sheet(spark, path).collect()]
+    assert got == [("b_after", "2.5", None), ("b_before", "1.0", "x < y & z"), ("a_before", "3.0", "new")]
+    (tmp_path / "no.xlsx").write_bytes(b"none")
+    assert files.sheet_rows(spark, str(tmp_path / "no.xlsx")).count() == 0
+    assert files._column("AB12") == 27 and files._letters(27) == "AB"
+    shared = tmp_path / "s.xlsx"
+    with zipfile.ZipFile(shared, "w") as z:
+        m = files.SHEET["m"]
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{m}"><si><t>k</t></si><si><r><t>v</t></r><r><t>w</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{m}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2"><v>7</v></c></row></sheetData></worksheet>')
+    t = files.read_sheet(spark, str(shared))
+    assert t.columns == ["k", "column1", "vw"] and [tuple(r) for r in t.collect()] == [("7", None, None)]
+
+
+def test_uploads_over_http(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from quillspark.streaming import http
+
+    inbox, out, past = (str(tmp_path / x) for x in ("inbox", "out", "past"))
+    web = http.server(spark, inbox, out, past)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{web.server_port}"
+
+    def get(path, data=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url + path, data)) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
+    try:
+        assert get("/progress/0123456789ab")[0] == 404 and get("/nothing")[0] == 404 and get("/upload", b"")[0] == 400
+        status, said = get("/upload", b'{"title": "T"}')
+        job, bad = said["job_id"], get("/upload", b"{")[1]["job_id"]
+        assert status == 202 and len(job) == 12
+        work = lambda df: df.select("job_id", F.lit('{"overall": 1}').alias("result"))
+        service.serve(service.inbox(spark, inbox), out, work, str(tmp_path / "ck")).awaitTermination(120)
+        assert get(f"/progress/{job}")[1]["progress"] == 100 and get(f"/result/{job}") == (200, {"overall": 1})
+        assert get(f"/progress/{bad}")[1]["status"] == "failed" and get(f"/result/{bad}")[0] == 409
+        assert get("/history") == (200, []) and get("/status")[0] == 200
+        (tmp_path / "past").mkdir()
+        (tmp_path / "past" / "0123456789ab.json").write_text('{"title": "T", "overall": {"final_score_0to100": 50}, "features": {"a": 1}}')
+        assert get("/history")[1][0]["overall"] == 50.0 and get("/history/0123456789ab")[1]["title"] == "T" and get("/history/0123456789ac")[0] == 404
+    finally:
+        web.shutdown()
