@@ -42,6 +42,7 @@ RFPB_HEADINGS = (
     "Administrative contact details", "Research & Development office contact", "Research and Development office contact details",
     "Acknowledgement review and submit", "CV - Lead Applicant(s)", "CV - Co-applicants", "Lead Applicant Details", "Research Team Details",
 )
+# Headings of small sections and the sections that they stand for.
 SMALL_HEADINGS = {
     "Scientific Abstract": "Scientific Abstract",
     "Plain English Summary": "Plain English Summary of Research",
@@ -51,6 +52,7 @@ SMALL_HEADINGS = {
     "Patient & Public Involvement": "Patient & Public Involvement",
     "Working with People and Communities Summary": "Patient & Public Involvement",
 }
+# Keys of a summary, the question among them, roles and fields of a team.
 SUMMARY_KEYS = ("Application Title", "Contracting Organisation", "Department", "Start Date", "End Date", "Duration (months)", "Total Cost to NIHR", "NHS Support Costs")
 QUESTION = "Has this application been previously submitted to this or any other funding body?"
 QUESTION_START = "Has this application been"
@@ -237,7 +239,7 @@ def summary_fields(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("t", t).where((t != "") & (t != "Costs") & ~t.startswith("Partner Organisation"))
     tail = F.split(F.regexp_extract("t", f"({QUESTION_START}.*)", 1), r"\s+")
     yes_no = lambda x: F.when(x.isin("Yes", "No"), x)
-    asked = F.contains("t", F.lit(QUESTION_START)) if False else F.col("t").contains(QUESTION_START)
+    asked = F.col("t").contains(QUESTION_START)
     answer = F.coalesce(yes_no(F.get(tail, F.lit(4))), F.when(F.size(tail) >= 5, yes_no(F.try_element_at(tail, F.lit(-1)))), F.lit(""))
     money = lambda prefix: F.coalesce(F.nullif(F.regexp_replace(F.regexp_extract("t", r"(£\s?\d[\d,]*\.\d{2})", 1), " ", ""), F.lit("")), strip(F.substring("t", len(prefix) + 1, 10_000)))
     key = F.when(asked, QUESTION).when(F.col("t") == "Contracting Organisation Department", "Department")

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import text as T
-from ..operators import belief, chunks, citations, repair, retrieval, rollup
-from .registry import F, Tables, long, query
+from ..operators import belief, chunks, citations, evaluate, features, lines, repair, retrieval, rollup
+from .registry import F, Tables, dec, long, query
 from .text_queries import READ_WORDS, SENTENCES, SYLLABLES, _turns
 
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))), lambda x: x <> '' AND len(string_split(x, ' ')) >= 4)"
@@ -209,3 +209,75 @@ def confidence_figures(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_orderkey", "l_linenumber", label.alias("label"))
     return rows.select("l_orderkey", "l_linenumber", "label", rollup.plausibility(score).alias("plausibility"), rollup.evidence_score(score).alias("evidence"))
 
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY page)) AS digest, CAST(sum(length(line)) / any_value(n) AS DECIMAL(18,6))::DOUBLE AS avg_chars FROM p JOIN n USING (doc_id) WHERE page < 5 GROUP BY doc_id
+""")
+def page_texts(t: Tables) -> DataFrame:
+    """Lines as pages: the text of the first five, characters a page over all."""
+    pages = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
+    return lines.page_budget(pages, 5).select("doc_id", F.md5("text").alias("digest"), dec(F.col("avg_chars")).alias("avg_chars"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 7 IN (0, 1, 2, 3, 4) AS is_empty FROM orders")
+def empty_parses(t: Tables) -> DataFrame:
+    """JSON with nothing beside its type, in several ways, and with something."""
+    raw = F.expr("""CASE o_orderkey % 7 WHEN 0 THEN '{"doc_type":"x"}' WHEN 1 THEN '{"doc_type":"x","A":"","B":[],"C":{}}' WHEN 2 THEN '{}' WHEN 3 THEN NULL WHEN 4 THEN '{"A":null,"B":0,"C":false}'
+      WHEN 5 THEN '{"doc_type":"x","A":"' || o_orderkey || '"}' ELSE '{"A":{"b":""}}' END""")
+    return t.orders.select("o_orderkey", lines.is_empty(raw).alias("is_empty"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 1 AS is_form FROM part")
+def form_pages(t: Tables) -> DataFrame:
+    """The form's name counts in the first two lines of a page only."""
+    page = F.expr("CASE p_size % 3 WHEN 0 THEN p_name || '\n' || p_type || '\nRfPB' WHEN 1 THEN p_name || '\nRfPB ' || p_type || '\n' ELSE NULL END")
+    return t.part.select("p_partkey", lines.is_rfpb(page).alias("is_form"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
+def leaf_lengths(t: Tables) -> DataFrame:
+    return lines.text_length(t.conversations.select(F.col("conv_id").cast("string").alias("doc_id"), "text")).select("doc_id", long(F.col("n_chars")).alias("n_chars"))
+
+
+@query("""
+SELECT 'small' AS "group", p_partkey AS name, CAST(p_size AS DOUBLE) AS a_score, CAST(p_size * 2 AS DOUBLE) AS b_score FROM part WHERE p_size < 25 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0
+UNION ALL SELECT 'large', p_partkey, CAST(p_size AS DOUBLE), CAST(p_size * 2 AS DOUBLE) FROM part WHERE p_size >= 25 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0
+""")
+def stacked_groups(t: Tables) -> DataFrame:
+    """Rows of both methods by group, without those that lack a score or are named as left out."""
+
+    def sides(where: str) -> tuple[DataFrame, DataFrame]:
+        rows = t.part.where(where)
+        a = rows.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("name"), F.col("p_size").cast("double").alias("a_score"))
+        return a, rows.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("name"), (F.col("p_size") * 2).cast("double").alias("b_score"))
+
+    out = evaluate.stack_groups({"small": sides("p_size < 25"), "large": sides("p_size >= 25 and p_partkey % 7 <> 0")}, "name", ["a_score", "b_score"])
+    return out.select("group", "name", "a_score", "b_score")
+
+
+@query(rf"""
+WITH c AS (SELECT doc_id, text, {READ_WORDS} AS words, CAST(len(list_filter({SENTENCES}, lambda x: regexp_matches(x, '\S'))) AS DOUBLE) AS s FROM documents),
+n AS (SELECT doc_id, s, CAST(len(words) AS DOUBLE) AS w, CAST(coalesce({SYLLABLES}, 0) AS DOUBLE) AS y, len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS k,
+  len(list_distinct(list_filter(list_transform(words, lambda w: lower(w)), lambda w: greatest(1, len(regexp_extract_all(regexp_replace(regexp_replace(w, '[^a-z]', '', 'g'), 'e$', ''), '[aeiouy]+'))) >= 3))) AS hard FROM c),
+g AS (SELECT *, {_fmt("CASE WHEN s > 0 AND w > 0 THEN 0.39 * (w / s) + 11.8 * (y / w) - 15.59 ELSE 0 END", 2)} AS grade FROM n)
+SELECT doc_id, grade AS flesch_kincaid_grade, CAST(hard AS INTEGER) AS jargon_count, {_fmt("CASE WHEN k > 0 THEN hard / CAST(k AS DOUBLE) * 100 ELSE 0 END", 2)} AS jargon_density, grade BETWEEN 9 AND 12 AS is_grade_level_ok FROM g
+""")
+def plain_english(t: Tables) -> DataFrame:
+    return features.plain_english(t.documents.select("doc_id", "text"))
+
+
+@query("""
+WITH w AS (SELECT o_custkey AS k, count(*) AS works, count(*) FILTER (o_orderkey % 3 <> 0) AS with_doi, min(year(o_orderdate)) AS first FROM orders GROUP BY 1)
+SELECT 'p' || c_custkey AS orcid, coalesce(works, 0) AS works_total, coalesce(with_doi, 0) AS works_with_doi, CAST(coalesce(greatest(1, 2001 - first + 1), 1) AS INTEGER) AS career_years, CAST(0 AS BIGINT) AS funding_total, CAST(2001 AS INTEGER) AS now_year FROM customer LEFT JOIN w ON k = c_custkey
+""")
+def profile_features(t: Tables) -> DataFrame:
+    """The wide row of every person, with or without works; nobody has fundings here."""
+    person = F.concat(F.lit("p"), F.col("c_custkey"))
+    doi = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("10.1/"), "o_orderkey"))
+    works = t.orders.select(F.concat(F.lit("p"), F.col("o_custkey")).alias("orcid"), F.col("o_orderkey").alias("put_code"), F.lit("T").alias("title"), F.year("o_orderdate").alias("year"), F.lit("report").alias("type"), doi.alias("doi"))
+    none = works.limit(0).select("orcid", F.lit("t").alias("title"), F.lit("grant").alias("type"), F.lit("o").alias("org"), F.lit("c").alias("org_city"), F.lit("c").alias("org_country"), F.col("year").alias("start_year"))
+    out = citations.features(t.customer.select(person.alias("orcid")), works, none, None, 2001)
+    return out.select("orcid", long(F.col("works_total")).alias("works_total"), long(F.col("works_with_doi")).alias("works_with_doi"), F.col("career_years").cast("int").alias("career_years"), long(F.col("funding_total")).alias("funding_total"), F.col("now_year").cast("int").alias("now_year"))

@@ -118,6 +118,7 @@ def test_fallbacks(spark):
 
 def test_sums_are_exact_before_a_tie(spark):
     """Added up in any order as doubles, these may come to 46.589999999999996 and 7.76."""
+    # Section scores of a recorded run and the overall score that it gave
     keys = [k for k, _ in rubric.SECTIONS.values()]
     rows = [("d", "", k, 1.0, f"{k}.1", 1.0, True, x, 1, 0, "high_confidence") for k, x in zip(keys, [7.67, 6.77, 8.83, 8.38, 7.11, 7.83], strict=True)]
     sec = rollup.section_scores(sub_rows(spark, rows), carry=("section_weight", "doc_type"))
