@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -203,11 +204,18 @@ def parse_currency(c: Column | str) -> Column:
 
 
 def keyword_count(c: Column | str, keywords: Sequence[str]) -> Column:
-    """Whole-word hits of every keyword, added up; overlapping keywords each count."""
+    """Whole-word hits of every keyword, added up; overlapping keywords each count.
+
+    Single words can't overlap each other, so one pass counts them all; phrases each take one.
+    """
     t = text_or_empty(c)
-    total = F.lit(0)
+    words = [k for k in dict.fromkeys(keywords) if re.fullmatch(r"\w+", k)]
+    total = F.regexp_count(t, F.lit(rf"(?iU)\b(?:{'|'.join(words)})\b")) if words else F.lit(0)
     for k in keywords:
-        total = total + F.regexp_count(t, F.lit(rf"(?iU)\b\Q{k}\E\b"))
+        if k in words:
+            words.remove(k)  # a word that is named again counts again
+        else:
+            total = total + F.regexp_count(t, F.lit(rf"(?iU)\b\Q{k}\E\b"))
     return total.cast("long")
 
 

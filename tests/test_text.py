@@ -107,3 +107,15 @@ def test_recency(spark):
     now = [(2026, 1.0), (2025, 1.0), (2023, 0.7), (2021, 0.4), (2000, 0.2), (None, 0.0)]
     for year, want in now:
         assert one(spark, year, lambda x: T.recency_weight(x, 2026), "int") == want
+
+
+def test_keywords_count_alike_together_and_alone(spark):
+    """One pass over single words counts what a pass for each counts; phrases overlap words."""
+    import random
+
+    rng = random.Random(2)
+    keys = ["lead", "leader", "co-lead", "first author", "author", "£", "pi", "é", "lead", "a_b"]
+    texts = [" ".join(rng.choice(["lead", "Leader", "LEADING", "co-lead", "first author", "authors", "£ 5", "PI", "pie", "é", "a_b", "x-pi."]) for _ in range(30)) for _ in range(50)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string")
+    got = df.select(T.keyword_count("t", keys).alias("n"), *[T.keyword_count("t", [k]).alias(f"k{i}") for i, k in enumerate(keys)]).collect()
+    assert all(r["n"] == sum(r[f"k{i}"] for i in range(len(keys))) for r in got) and sum(r["n"] for r in got) > 100
