@@ -111,8 +111,6 @@ def test_recency(spark):
 
 def test_keywords_count_alike_together_and_alone(spark):
     """One pass over single words counts what a pass for each counts; phrases overlap words."""
-    import random
-
     rng = random.Random(2)
     keys = ["lead", "leader", "co-lead", "first author", "author", "£", "pi", "é", "lead", "a_b"]
     texts = [" ".join(rng.choice(["lead", "Leader", "LEADING", "co-lead", "first author", "authors", "£ 5", "PI", "pie", "é", "a_b", "x-pi."]) for _ in range(30)) for _ in range(50)]
