@@ -4,8 +4,8 @@ Texts are cut by the tokenizer's pattern. The distinct pieces of a segment that
 task hasn't met yet form one symbol sequence; an inverted index leads from each
 merge (by rank) to the positions of its pair. Merges are applied in rank order,
 every occurrence of a merge at once, and each changes only the entries of the
-touched neighbours. Merged pieces are kept for the segments that follow, MEMO of
-them; beyond that the task starts afresh, which changes no result.
+touched neighbours. Merged pieces are kept for the segments that follow; beyond
+MEMO, only those that the last segment had twice or more. This changes no result.
 
 Two pieces of a rank file need care, and get it: a piece that is itself a token
 is that token, and a merge can give rise to a pair of lower rank, in which case
@@ -22,9 +22,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import ship, text_steps, tidy, trim
 
 #: Text bytes of a segment: its distinct pieces are merged together.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Merged pieces that a task keeps, of some 300 bytes each.
-MEMO = 300_000
+MEMO = 100_000
 #: A rank file may have this size; it goes to every executor.
 MOST_BYTES = 64 << 20
-NONE = np.int64(1) << 40
+#: Pairs that are looked up at once.
+RANKED = 1 << 16
+NONE = np.int32(1 << 30)
 
 
 class Merges:
@@ -51,7 +54,7 @@ class Merges:
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.width = max(self.ranks.values()) + 1
-        byte_id = np.full(256, -1, np.int64)
+        byte_id = np.full(256, -1, np.int32)
         for c in range(256):
             byte_id[c] = self.ranks.get(bytes([c]), -1)
         if (byte_id < 0).any():
@@ -65,14 +68,18 @@ class Merges:
                     pairs[a * self.width + b] = rank
         self.keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
         order = np.argsort(self.keys)
-        self.values = np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+        self.values = np.fromiter(pairs.values(), np.int32, len(pairs))[order]
         self.keys = self.keys[order]
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The token that each pair merges to, or NONE."""
-        key = left * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
+        out = np.full(len(left), NONE, np.int32)
+        for a in range(0, len(left), RANKED):  # wide figures of a part at a time
+            key = left[a : a + RANKED].astype(np.int64) * self.width + right[a : a + RANKED]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            out[a : a + RANKED][hit] = self.values[at[hit]]
+        return out
 
     def one_by_one(self, piece: bytes) -> list[int]:
         """The leftmost pair of lowest rank, again and again: a heap of pairs, outdated ones skipped."""
@@ -115,12 +122,12 @@ class Merges:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths)
         starts = ends - lengths
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[starts] = -1
         alive = np.ones(n, bool)
-        now = np.full(n, NONE)  # what the pair that begins here merges to
-        has = np.flatnonzero(after >= 0)
+        now = np.full(n, NONE, np.int32)  # what the pair that begins here merges to
+        has = np.flatnonzero(after >= 0).astype(np.int32)
         now[has] = self.rank(tok[has], tok[has + 1])
         has = has[now[has] < NONE]
         order = has[np.argsort(now[has], kind="stable")]
@@ -194,30 +201,30 @@ class Merges:
 
 
 class Pieces:
-    """The distinct pieces that a task has met, numbered, with their ids, these as text, and the bytes that they decode to."""
-
-    def __init__(self, m: Merges):
-        self.m = m
-        self.clear()
+    """The distinct pieces that a task has met, numbered, each with what of() makes of its ids."""
 
-    def clear(self) -> None:
+    def __init__(self, m: Merges, of: Callable[[list[int]], Any] = lambda ids: ids):
+        self.m, self.of = m, of
         self.number: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.said: list[str] = []
-        self.back: list[bytes] = []
-
-    def add(self, texts: list[bytes]) -> list[list[int]]:
-        """For each text the numbers of its pieces; new ones are merged together."""
-        if len(self.number) > MEMO:
-            self.clear()
-            trim()
+        self.values: list[Any] = []
+
+    def _shrink(self, held: list[list[int]]) -> None:
+        """Go on with the pieces that the last segment had twice or more."""
+        used = np.bincount(np.fromiter(chain.from_iterable(held), np.int64), minlength=len(self.values))
+        keep = [(p, i) for p, i in self.number.items() if used[i] > 1][:MEMO]
+        self.values = [self.values[i] for _, i in keep]
+        self.number = {p: i for i, (p, _) in enumerate(keep)}
+
+    def add(self, texts: list[bytes]) -> Iterator[list[Any]]:
+        """For each text the values of its pieces; new pieces are merged together."""
         number, found, before = self.number, self.m.pattern.findall, len(self.number)
         held = [[number.setdefault(p, len(number)) for p in found(t.decode("utf-8", "replace"))] for t in texts]
-        ids = self.m.replay([p.encode() for p in islice(number, before, None)])
-        self.ids += ids
-        self.said += [",".join(map(str, x)) for x in ids]
-        self.back += [self.m.decode(x) for x in ids]
-        return held
+        self.values += map(self.of, self.m.replay([p.encode() for p in islice(number, before, None)]))
+        values = self.values
+        for h in held:
+            yield [values[i] for i in h]
+        if len(number) > MEMO:
+            self._shrink(held)
 
 
 _known: dict[tuple[str, str], Merges] = {}
@@ -247,8 +254,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         pieces = Pieces(merges(ranks.value, pattern))
         for batch in batches:
             for a, b, texts in text_steps(batch.column(1), SEGMENT_BYTES):
-                held = pieces.add(texts)
-                out = [[i for w in h for i in pieces.ids[w]] for h in held]
+                out = [[i for ids in held for i in ids] for held in pieces.add(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(rows), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -274,18 +280,18 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
     kind, ranks = docs.schema[id_col].dataType.simpleString(), _ranks(docs.sparkSession, vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(merges(ranks.value, pattern))
+        m = merges(ranks.value, pattern)
+        pieces = Pieces(m, lambda ids: (",".join(map(str, ids)), m.decode(ids)))
         for batch in batches:
             for a, b, texts in text_steps(batch.column(1), SEGMENT_BYTES):
                 n, ids_sha, text_sha = [], [], []
-                held = pieces.add(texts)
-                ids, said, back = pieces.ids, pieces.said, pieces.back
-                for h in held:
-                    n.append(sum([len(ids[i]) for i in h]))
-                    ids_sha.append(hashlib.sha256(",".join([said[i] for i in h]).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join([back[i] for i in h])).hexdigest())
+                for held in pieces.add(texts):
+                    said = ",".join([x for x, _ in held])
+                    n.append(said.count(",") + 1 if held else 0)
+                    ids_sha.append(hashlib.sha256(said.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(b"".join([x for _, x in held])).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                held = None
+                held = said = None
                 trim()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(rows), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

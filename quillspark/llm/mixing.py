@@ -176,9 +176,9 @@ def assign(docs: DataFrame, cell: DataFrame, id_col: str = "doc_id", margins: tu
     return docs.join(right, on, "left").drop(*[f"_{m}" for m in margins]).withColumn("kept", draw(F.col(id_col)) < F.col("probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> tuple[DataFrame, DataFrame]:
-    """(documents with tokens, topic, probability, weight, gaps, kept and without their text; the calibrated cells)."""
-    rows = stored(docs.select(id_col, "source", "lang", topic(F.col(text_col)).alias("topic"), n_tokens(F.col(text_col)).alias("tokens")), "tokens")
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, topic_of: Callable[[Column], Column] = topic) -> tuple[DataFrame, DataFrame]:
+    """(documents with tokens, topic, probability, weight, gaps, kept and without their text; the calibrated cells). topic_of: from a text to its topic."""
+    rows = stored(docs.select(id_col, "source", "lang", topic_of(F.col(text_col)).alias("topic"), n_tokens(F.col(text_col)).alias("tokens")), "tokens")
     with scratch() as keep:
         cell = keep(stored(calibrate(rake(cells(rows), targets), rate), "calibrated"))
     return assign(rows, cell, id_col), cell

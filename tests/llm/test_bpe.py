@@ -67,13 +67,13 @@ def test_digests_are_of_the_ids(both, spark):
 def test_what_a_task_keeps_changes_no_result(m, monkeypatch):
     rng = random.Random(8)
     texts = ["".join(rng.choice("abc thé 12\n") for _ in range(rng.randint(0, 80))).encode() for _ in range(400)]
-    want = [[i for w in h for i in one.ids[w]] for t in texts for one in [bpe.Pieces(m)] for h in one.add([t])]
+    flat = lambda held: [i for ids in held for i in ids]
+    want = [flat(next(bpe.Pieces(m).add([t]))) for t in texts]
     for memo in (0, 50, 10**6):
         monkeypatch.setattr(bpe, "MEMO", memo)
         pieces, got = bpe.Pieces(m), []
         for a in range(0, len(texts), 7):
-            held = pieces.add(texts[a : a + 7])
-            got += [[i for w in h for i in pieces.ids[w]] for h in held]
+            got += map(flat, pieces.add(texts[a : a + 7]))
         assert got == want
 
 
