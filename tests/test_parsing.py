@@ -1,6 +1,7 @@
 import json
 
 from quillspark.plans import parsing
+from quillspark.plans.scoring import checkpointed
 from quillspark.sources import pages as P
 from quillspark.sources.scorers import FakeScorer
 
@@ -76,8 +77,13 @@ def test_folder_to_table(spark, tmp_path):
     (source / "w.docx").write_bytes(b"no docx")
     seen = []
 
+    def store(df, name):
+        df = checkpointed(df, name)
+        seen.append((name, df.count()))
+        return df
+
     def parse(generate=None):
-        return {r["doc_id"]: r for r in parsing.parse_folder(spark, str(source), out, generate, decoder, lambda df, name: (seen.append((name, df.count())), df.cache())[1]).collect()}
+        return {r["doc_id"]: r for r in parsing.parse_folder(spark, str(source), out, generate, decoder, store).collect()}
 
     first = parse()
     assert first["f"]["parser"] == "fellowship" and first["w"]["raw"] == "{}"
