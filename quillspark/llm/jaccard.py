@@ -376,17 +376,18 @@ def _in_blocks(centres: DataFrame, others: DataFrame) -> DataFrame:
     return mine.unionByName(theirs).groupBy("level", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def _left_over(rest: DataFrame, texts: DataFrame) -> DataFrame:
+def _left_over(rest: DataFrame, texts: DataFrame, salt: int) -> DataFrame:
     """Candidate pairs (a, b) by node of documents (node, rep, n, sketch, component) that their keys don't cover: step 4."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [x.view(np.int64) for x in column_sets(batch.column(1), WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.list_(pa.int64()))], names=["rep", "s"])
+            s = list(column_sets(batch.column(1), WORDS))
+            node = [node_of(x, salt)[0] if len(x) else None for x in s]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], names=["node", "s"])
 
-    own = texts.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(tidy(shingles), "rep long, s array<long>")
-    # an id may have several texts: a document's is the one of its size
-    own = rest.select("node", "rep", "n").join(own, "rep").where(F.size("s") == F.col("n")).dropDuplicates(["node"])
+    # an id may have several texts, and rows may repeat: one of each node that is left over
+    wanted = stored(rest.select(F.col("rep").alias("id")).distinct(), "wanted")
+    own = texts.join(wanted, "id", "left_semi").mapInArrow(tidy(shingles), "node long, s array<long>").dropDuplicates(["node"]).join(rest.select("node", "n"), "node")
     of = stored(own.select("node", "n", F.explode("s").alias("s")), "left-over-shingles")
     often = stored(of.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > 1), "left-over-counts")
     need = F.ceil(F.col("n") * 4 / 5)
@@ -468,7 +469,7 @@ def _components_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     heavy = mixed.where(F.col("size") > PAIRS).select("node", "level", "times").unionAll(in_list).groupBy("node", "level").agg(F.sum("times").alias("heavy"))
     rest = stored(_uncovered(named, heavy), "uncovered")
     if not rest.isEmpty():
-        pairs = pairs.unionAll(_left_over(rest, texts)).distinct()
+        pairs = pairs.unionAll(_left_over(rest, texts, salt)).distinct()
     more, _ = _exact(_near(pairs, classes), texts, held)
     known = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(known.unionAll(more))
