@@ -62,13 +62,13 @@ PAIRS = 24
 #: Bands up to this one, of at most 2**FINE shingles, have a part for every shingle.
 FINE = 6
 #: Documents of a key in one step of a task from which on they go by their first one; over PAIRS.
-HOT = 256
+HOT = 128
 #: Parts of a band beyond the shingles in which two of its sets can differ.
 SPARE = 1.3
 #: Entries that a task holds before it hands them on.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Bytes of keys and documents that a task of the key join is given.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 24 << 20
 BLOCK = 1024
 
 

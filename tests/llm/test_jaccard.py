@@ -94,7 +94,7 @@ def corpus(seed=5):
     return [(i * 3 + 1, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("pairs", "hot", "held"), [(24, 256, 1 << 19), (2, 256, 1 << 19), (2, 3, 200), (4, 6, 1 << 19)])
+@pytest.mark.parametrize(("pairs", "hot", "held"), [(24, 128, 1 << 18), (2, 128, 1 << 18), (2, 3, 200), (4, 6, 1 << 18)])
 def test_equals_brute_force(spark, monkeypatch, pairs, hot, held):
     """With small limits too, which send keys through lists of their first documents and documents to the last step."""
     for name, value in (("PAIRS", pairs), ("HOT", hot), ("HELD", held)):
