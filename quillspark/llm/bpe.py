@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import ship, text_steps, tidy, trim
 
 #: Text bytes of a segment: its distinct pieces are merged together.
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 3 << 20
 #: Merged pieces that a task keeps, of some 300 bytes each.
-MEMO = 100_000
+MEMO = 150_000
 #: A rank file may have this size; it goes to every executor.
 MOST_BYTES = 64 << 20
 #: Pairs that are looked up at once.
@@ -73,13 +73,11 @@ class Merges:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The token that each pair merges to, or NONE."""
-        out = np.full(len(left), NONE, np.int32)
-        for a in range(0, len(left), RANKED):  # wide figures of a part at a time
-            key = left[a : a + RANKED].astype(np.int64) * self.width + right[a : a + RANKED]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            out[a : a + RANKED][hit] = self.values[at[hit]]
-        return out
+        if len(left) > RANKED:  # wide figures of a part at a time
+            return np.concatenate([self.rank(left[a : a + RANKED], right[a : a + RANKED]) for a in range(0, len(left), RANKED)])
+        key = left.astype(np.int64) * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], NONE)
 
     def one_by_one(self, piece: bytes) -> list[int]:
         """The leftmost pair of lowest rank, again and again: a heap of pairs, outdated ones skipped."""
@@ -201,28 +199,30 @@ class Merges:
 
 
 class Pieces:
-    """The distinct pieces that a task has met, numbered, each with what of() makes of its ids."""
+    """The distinct pieces that a task has met, numbered, with lists of what each function of makes of their ids."""
 
-    def __init__(self, m: Merges, of: Callable[[list[int]], Any] = lambda ids: ids):
-        self.m, self.of = m, of
+    def __init__(self, m: Merges, *of: Callable[[list[int]], Any]):
+        self.m, self.of = m, of or (lambda ids: ids,)
         self.number: dict[str, int] = {}
-        self.values: list[Any] = []
+        self.made: list[list[Any]] = [[] for _ in self.of]
 
     def _shrink(self, held: list[list[int]]) -> None:
         """Go on with the pieces that the last segment had twice or more."""
-        used = np.bincount(np.fromiter(chain.from_iterable(held), np.int64), minlength=len(self.values))
+        used = np.bincount(np.fromiter(chain.from_iterable(held), np.int32), minlength=len(self.number))
         keep = [(p, i) for p, i in self.number.items() if used[i] > 1][:MEMO]
-        self.values = [self.values[i] for _, i in keep]
+        self.made = [[x[i] for _, i in keep] for x in self.made]
         self.number = {p: i for i, (p, _) in enumerate(keep)}
 
-    def add(self, texts: list[bytes]) -> Iterator[list[Any]]:
-        """For each text the values of its pieces; new pieces are merged together."""
+    def add(self, texts: list[bytes]) -> Iterator[list[list[Any]]]:
+        """For each text, what the functions make of its pieces; new pieces are merged together."""
         number, found, before = self.number, self.m.pattern.findall, len(self.number)
         held = [[number.setdefault(p, len(number)) for p in found(t.decode("utf-8", "replace"))] for t in texts]
-        self.values += map(self.of, self.m.replay([p.encode() for p in islice(number, before, None)]))
-        values = self.values
+        ids = self.m.replay([p.encode() for p in islice(number, before, None)])
+        for x, f in zip(self.made, self.of, strict=True):
+            x += map(f, ids)
+        ids = None
         for h in held:
-            yield [values[i] for i in h]
+            yield [[x[i] for i in h] for x in self.made]
         if len(number) > MEMO:
             self._shrink(held)
 
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         pieces = Pieces(merges(ranks.value, pattern))
         for batch in batches:
             for a, b, texts in text_steps(batch.column(1), SEGMENT_BYTES):
-                out = [[i for ids in held for i in ids] for held in pieces.add(texts)]
+                out = [list(chain.from_iterable(held)) for (held,) in pieces.add(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(rows), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -281,17 +281,17 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merges(ranks.value, pattern)
-        pieces = Pieces(m, lambda ids: (",".join(map(str, ids)), m.decode(ids)))
+        pieces = Pieces(m, lambda ids: ",".join(map(str, ids)), m.decode)
         for batch in batches:
             for a, b, texts in text_steps(batch.column(1), SEGMENT_BYTES):
                 n, ids_sha, text_sha = [], [], []
-                for held in pieces.add(texts):
-                    said = ",".join([x for x, _ in held])
-                    n.append(said.count(",") + 1 if held else 0)
-                    ids_sha.append(hashlib.sha256(said.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join([x for _, x in held])).hexdigest())
+                for said, back in pieces.add(texts):
+                    whole = ",".join(said)
+                    n.append(whole.count(",") + 1 if said else 0)
+                    ids_sha.append(hashlib.sha256(whole.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(b"".join(back)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                held = said = None
+                said = back = whole = None
                 trim()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(rows), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -67,7 +67,7 @@ def test_digests_are_of_the_ids(both, spark):
 def test_what_a_task_keeps_changes_no_result(m, monkeypatch):
     rng = random.Random(8)
     texts = ["".join(rng.choice("abc thé 12\n") for _ in range(rng.randint(0, 80))).encode() for _ in range(400)]
-    flat = lambda held: [i for ids in held for i in ids]
+    flat = lambda made: [i for ids in made[0] for i in ids]
     want = [flat(next(bpe.Pieces(m).add([t]))) for t in texts]
     for memo in (0, 50, 10**6):
         monkeypatch.setattr(bpe, "MEMO", memo)
