@@ -10,11 +10,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..cluster import scratch, ship, stored
 
-__all__ = ["SPACE_CLASS", "STEP_BYTES", "binary_views", "byte_texts", "char_offset", "partitions", "scratch", "sha", "ship", "steps", "stored", "table", "text_steps", "tidy", "trim"]
+__all__ = ["SPACE_CLASS", "STEP_BYTES", "binary_views", "byte_texts", "char_offset", "join_by_key", "partitions", "scratch", "sha", "ship", "steps", "stored", "table", "text_steps", "tidy", "trim"]
 
 #: Text bytes that one vectorised step takes; bounds a Python worker's memory.
 STEP_BYTES = 2 << 20
@@ -97,3 +97,26 @@ def sha(text: bytes) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+#: A key is hot from this part of all rows on; so there are no more hot keys than this.
+HOT = 1000
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, copies: str, made: Callable[[DataFrame], DataFrame] = lambda t: t) -> DataFrame:
+    """rows, and of the fact with a row's key the columns that made gives, or nulls.
+
+    facts has one row a key, a SHA-256 as binary, and a column of how many rows share it. Facts of hot keys, HOT of
+    them at most, are broadcast. Rows that meet one go on under a number of their own, so no key of the second join
+    has more than a HOT-th of the rows. There the planner broadcasts the rest of facts if it is small.
+    """
+    (total,) = facts.agg(F.coalesce(F.sum(copies), F.lit(0))).first()
+    is_hot = F.col(copies) * HOT >= F.lit(total)
+    parts = {name: made(facts.where(c)) for name, c in (("few", is_hot), ("many", ~is_hot))}
+    others = [c for c in parts["few"].columns if c != key]
+    few, many = (t.select(F.col(key).alias(f"{name}_key"), F.struct(*others).alias(name)) for name, t in parts.items())
+    own = F.unhex(F.hex(F.xxhash64(F.monotonically_increasing_id())))  # shorter than a SHA-256
+    out = rows.join(F.broadcast(few), F.col(key) == F.col("few_key"), "left")
+    out = out.withColumn("many_at", F.when(F.col("few").isNull(), F.col(key)).otherwise(own))
+    out = out.join(many, F.col("many_at") == F.col("many_key"), "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col("few").getField(c), F.col("many").getField(c)).alias(c) for c in others])
