@@ -72,12 +72,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one. What is written there goes when the interpreter ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quillspark-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and the planner learns its size. It goes when the interpreter ends, or by forget()."""
+    """Write df to the shared folder and read it back: cuts lineage, and the planner learns its size. Goes as folder()'s, or by forget()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillspark-{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     for held in getattr(_local, "scratch", [])[-1:]:
