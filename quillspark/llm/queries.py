@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, fim, jaccard, langid, licenses, mixing, preference, quality, resample, rules, secret_scan
+from . import ann, bpe, fim, jaccard, langid, licenses, mixing, preference, quality, resample, rules, secret_scan, warc
 from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,15 +80,19 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_ngram_jaccard_join, op2_license_scan, op3_preference_format, op4_quality_rules, op5_nearest_neighbours, op6_mixing, op7_quality_classifier,
-            op8_language_id, op9_secret_scan, op10_byte_bpe, op11_fill_in_middle, op12_importance_resampling,
+            op8_language_id, op9_secret_scan, op10_byte_bpe, op11_fill_in_middle, op12_importance_resampling, op13_warc_round_trip,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference_format": preference.SWAPPED_SQL, "op11_fill_in_middle": fim.DIGESTS_SQL, "op12_importance_resampling": resample.RESAMPLE_SQL}
+    return {"op3_preference_format": preference.SWAPPED_SQL, "op11_fill_in_middle": fim.DIGESTS_SQL, "op12_importance_resampling": resample.RESAMPLE_SQL, "op13_warc_round_trip": warc.ROUND_TRIP_SQL}
