@@ -156,7 +156,7 @@ def typed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return join_by_key(rows, repeated, "digest", "copies", lambda t: t.select("digest", "first")).withColumn("refers_to", first).drop("first")
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = LEVEL) -> DataFrame:
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = LEVEL, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Archives of pages in folder. Returns the written index: page_id, record_type, archive, offset and length of each record."""
     spark = pages.sparkSession
     ship(spark)
@@ -177,7 +177,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             found: list[tuple] = []
             for i in range(batch.num_rows):
                 page_id, url, payload, digest, refers_to = (c[i].as_py() for c in batch.columns)
-                if archive and archive.seen >= ARCHIVE_BYTES:
+                if archive and archive.seen >= archive_bytes:
                     found += archive.close()
                     archive = None
                 if not archive:
