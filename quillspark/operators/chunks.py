@@ -110,11 +110,43 @@ def _letter(i: Column) -> Column:
     return F.when(code < 128, F.char(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
+def _allocated(named: Column) -> Column:
+    """Sections (pos, parser_section, base, nth) of one root in order -> (parser_section, slug): base, or base and the least number from 2 on that no section before has.
+
+    nth counts the sections of the same base so far. Those before hold the first nth - 1 names of the base at least,
+    so the search begins there and ends after as many names as sections of other bases can hold.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<parser_section:string,slug:string>>").alias("out"))
+
+    def step(held: Column, x: Column) -> Column:
+        others = F.size(F.filter(named, lambda y: y["base"] != x["base"]))
+        numbers = F.sequence(F.greatest(x["nth"], F.lit(2)), F.greatest(x["nth"], F.lit(2)) + others)
+        free = lambda: F.get(F.filter(F.transform(numbers, lambda k: F.concat(x["base"], k.cast("string"))), lambda c: ~F.array_contains(held["used"], c)), F.lit(0))
+        slug = F.when(F.array_contains(held["used"], x["base"]), free()).otherwise(x["base"])
+        return let(slug, lambda c: F.struct(F.array_append(held["used"], c).alias("used"), F.array_append(held["out"], F.struct(x["parser_section"].alias("parser_section"), c.alias("slug"))).alias("out")))
+
+    return F.aggregate(named, start, step, lambda held: held["out"])
+
+
 def slugs(sections: DataFrame) -> DataFrame:
-    """(doc_id, parser_section, pos) -> with slug: initials, and a number from the second section of the same initials on."""
+    """(doc_id, parser_section, pos) -> with slug: initials, then a number where another section has that name already.
+
+    Names go out in order of pos. A numbered name may be the initials of another section ("A 2"), which then goes on
+    to the next. Only sections whose initials are alike but for digits at the end can meet, so a document is cut into
+    these; those of one kind of initials alone are numbered without a fold.
+    """
     base = sections.withColumn("base", initials(F.col("parser_section")))
     nth = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("pos"))
-    return base.withColumn("slug", F.when(nth == 1, F.col("base")).otherwise(F.concat("base", nth.cast("string")))).drop("base")
+    named = base.withColumn("nth", nth).withColumn("root", F.regexp_replace("base", "[0-9]+$", ""))
+    kinds = F.size(F.collect_set("base").over(Window.partitionBy("doc_id", "root")))
+    named = named.withColumn("kinds", kinds)
+    alone = named.where("kinds = 1").withColumn("slug", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.col("nth").cast("string"))))
+    one = F.struct("pos", "parser_section", "base", "nth")
+    meeting = named.where("kinds > 1").groupBy("doc_id", "root").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    given = meeting.select("doc_id", F.explode(_allocated(F.col("all"))).alias("x")).select("doc_id", "x.parser_section", "x.slug")
+    met = named.where("kinds > 1").join(given, ["doc_id", "parser_section"])
+    keep = [*sections.columns, "slug"]
+    return alone.select(keep).unionByName(met.select(keep))
 
 
 def named_sections(entries: DataFrame) -> DataFrame:
@@ -150,16 +182,77 @@ def section_texts(chunk: DataFrame) -> DataFrame:
     return chunk.groupBy("doc_id", "parser_section").agg(F.min("chunk_pos").alias("section_pos"), F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["text"]), "\n\n").alias("text"))
 
 
+#: Documents of up to this many sections have all their pairs scored; larger ones go through the index.
+ALL_PAIRS = 64
+#: Words in up to this many sections make the first pairs, which tell how good the best are.
+RARE = 4
+
+
+def _scored(pairs: DataFrame, words: DataFrame, at_least: float) -> DataFrame:
+    """Pairs (doc_id, pos_a, pos_b) with names and score, of at_least or more."""
+    a, b = (words.select("doc_id", F.col("section_pos").alias(f"pos_{x}"), F.col("parser_section").alias(f"section_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
+    both = pairs.join(a, ["doc_id", "pos_a"]).join(b, ["doc_id", "pos_b"])
+    score = py_round(T.jaccard(F.col("words_a"), F.col("words_b")), 3)
+    return both.select("doc_id", "pos_a", "pos_b", "section_a", "section_b", score.alias("score")).where(F.col("score") >= at_least)
+
+
+def _best(scored: DataFrame, top: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos_a", "pos_b"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def postings(words: DataFrame) -> DataFrame:
+    """(doc_id, word, df, pos, n, left): the words that sections of a document share.
+
+    n is the size of a section's set, left how many of its words, the rarest first, come from this one on. So two sets
+    whose first common word this is have the lesser left in common at most.
+    """
+    index = words.select("doc_id", F.col("section_pos").alias("pos"), F.size("words").alias("n"), F.explode("words").alias("word"))
+    shared = index.groupBy("doc_id", "word").agg(F.count("*").alias("df")).where("df > 1")
+    rows = index.join(shared, ["doc_id", "word"])
+    listed = rows.groupBy("doc_id", "pos", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("all"))
+    return listed.select("doc_id", "pos", "n", F.size("all").alias("shared"), F.posexplode("all").alias("i", "x")).select("doc_id", "x.word", "x.df", "pos", "n", (F.col("shared") - F.col("i")).alias("left"))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(doc_id, pos_a, pos_b) of postings with least (a score), that can reach it: by size, and by what is left from the first common word on."""
+    t = F.col("least")
+    a, b = (rows.where(F.col("left") >= t * F.col("n")).select("doc_id", "word", "least", *[F.col(c).alias(f"{c}_{x}") for c in ("pos", "n", "left")]) for x in "ab")
+    both = a.join(b.drop("least"), ["doc_id", "word"]).where("pos_a < pos_b")
+    sized = both.where(F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b"))
+    return sized.where(F.least("left_a", "left_b") * (1 + t) >= t * (F.col("n_a") + F.col("n_b"))).select("doc_id", "pos_a", "pos_b").distinct()
+
+
+def _indexed(words: DataFrame, at_least: float, top: int) -> DataFrame:
+    """The best pairs of large documents: the top-th score of pairs that share a rare word bounds what is looked for."""
+    rows = stored(postings(words), "overlap-postings")
+    low = F.lit(at_least - 0.000501)  # scores are rounded
+    first = _best(_scored(candidates(rows.where(F.col("df") <= RARE).withColumn("least", low)), words, at_least), top)
+    reached = first.where(F.col("rank") == top).select("doc_id", (F.col("score") - 0.000501).alias("reached"))
+    bounded = rows.join(reached, "doc_id", "left").withColumn("least", F.greatest(F.coalesce("reached", low), low)).drop("reached")
+    return _best(_scored(candidates(bounded), words, at_least), top)
+
+
 def overlaps(sections: DataFrame, at_least: float = OVERLAP_AT_LEAST, top: int = OVERLAP_TOP) -> DataFrame:
-    """(doc_id, section_a, section_b, score, rank): word overlap of the sections of a document, the best first.
+    """(doc_id, section_a, section_b, score, rank): word overlap of the sections of a document, the best first. at_least is over 0.
 
-    The pairs of one document only; word sets are computed once a section.
+    Word sets are computed once a section. A large document's pairs come from an index of its words, spread by
+    document and word; that there is one is looked up first, so the plan of others stays short.
     """
     words = sections.select("doc_id", "section_pos", "parser_section", T.overlap_words("text").alias("words"))
+    large = sections.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > ALL_PAIRS).select("doc_id")
+    out = ["doc_id", "section_a", "section_b", "score", "rank"]
+    if large.isEmpty():
+        return _best(_all_pairs(words, at_least), top).select(out)
+    words, large = stored(words, "overlap-words"), stored(large, "overlap-large")
+    few, many = _all_pairs(words.join(large, "doc_id", "left_anti"), at_least), words.join(large, "doc_id", "left_semi")
+    return _best(few, top).select(out).unionByName(_indexed(many, at_least, top).select(out))
+
+
+def _all_pairs(words: DataFrame, at_least: float) -> DataFrame:
     a, b = (words.select("doc_id", F.col("section_pos").alias(f"pos_{x}"), F.col("parser_section").alias(f"section_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
-    pairs = a.join(b, "doc_id").where("pos_a < pos_b").withColumn("score", py_round(T.jaccard(F.col("words_a"), F.col("words_b")), 3)).where(F.col("score") >= at_least)
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos_a", "pos_b"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= top).select("doc_id", "section_a", "section_b", "score", "rank")
+    score = py_round(T.jaccard(F.col("words_a"), F.col("words_b")), 3)
+    return a.join(b, "doc_id").where("pos_a < pos_b").withColumn("score", score).where(F.col("score") >= at_least)
 
 
 def _number(x: Column) -> Column:

@@ -12,22 +12,73 @@ from ..cluster import stored
 from ..functions.columns import py_round
 
 MOMENTS = ("count", "mean", "std", "var", "min", "max", "median")
+#: Values of a group that a task may hold; medians of larger groups come from ranges.
+HELD = 100_000
+#: Parts that a sketch cuts a range into, and its sharpness: a mark is off by one in so many ranks at most.
+PARTS, SHARP = 128, 10_000
 
 
 def _moments(c: str) -> dict[str, Column]:
-    return {"count": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "var": F.var_samp(c), "min": F.min(c), "max": F.max(c), "median": F.percentile(c, 0.5)}
+    return {"count": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "var": F.var_samp(c), "min": F.min(c), "max": F.max(c)}
 
 
-def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(metric, mean, std, var, min, max, median): a row a column, from one pass."""
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "metric", "value")
-    m = _moments("value")
-    return long.groupBy("metric").agg(*[m[k].alias(k) for k in MOMENTS if k != "count"])
+def medians(rows: DataFrame, held: int = HELD) -> DataFrame:
+    """(g, median) of rows (g, v), exact; no task holds more than held values of a group.
 
-
-def group_summary(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
-    """One wide row a group: <column>_<moment>."""
-    return df.groupBy(by).agg(*[e.alias(f"{c}_{k}") for c in columns for k, e in _moments(c).items()])
+    A group's middle lies between two of its values, with known counts up to the lower one and strictly between them.
+    Where too many lie between, a sketch of these gives two that are nearer, and one pass counts again: a round leaves
+    about three of PARTS. A value that fills the middle becomes a bound itself, so ties end the search.
+    """
+    rows = rows.where("v is not null")
+
+    def within(bounds: DataFrame) -> DataFrame:
+        return rows.join(bounds.withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of"))).drop("of")
+
+    def counted(bounds: DataFrame) -> DataFrame:
+        between = (F.col("v") > F.col("low")) & (F.col("v") < F.col("high"))
+        keys = ("g", "n", "k", "l", "low", "high")
+        return within(bounds).groupBy(*keys).agg(F.count_if(F.col("v") <= F.col("low")).alias("upto"), F.count_if(between).alias("between"))
+
+    ends = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    known = stored(counted(ends.select("g", "n", F.expr("(n - 1) div 2").alias("k"), F.expr("n div 2").alias("l"), "low", "high")), "median-bounds")
+    inside = (F.col("l") >= F.col("upto")) & (F.col("k") < F.col("upto") + F.col("between"))
+    wide = inside & (F.col("between") > max(held, 1))  # of one value neither bound could come nearer
+    middle = (F.col("v") > F.col("low")) & (F.col("v") < F.col("high"))
+    while not known.where(wide).isEmpty():
+        keys = [c for c in known.columns]
+        marks = within(known.where(wide)).where(middle).groupBy(*keys).agg(F.percentile_approx("v", [i / PARTS for i in range(PARTS + 1)], SHARP).alias("marks"))
+        part = lambda rank: F.floor((F.col(rank) - F.col("upto")) * PARTS / F.col("between")).cast("int")
+        low = F.when(part("k") > 0, F.get("marks", F.greatest(part("k") - 1, F.lit(0)))).otherwise(F.col("low"))
+        high = F.when(part("l") < PARTS - 1, F.get("marks", F.least(part("l") + 2, F.lit(PARTS)))).otherwise(F.col("high"))
+        nearer = marks.select("g", "n", "k", "l", low.alias("low"), high.alias("high"))
+        known = stored(known.where(~wide).unionByName(counted(nearer)), "median-bounds")
+    listed = within(known.where(inside)).where(middle).groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    rest = known.join(listed.withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of")), "left")
+    at = lambda rank: F.when(F.col(rank) < F.col("upto"), F.col("low")).when(F.col(rank) >= F.col("upto") + F.col("between"), F.col("high")).otherwise(F.get("values", (F.col(rank) - F.col("upto")).cast("int")))
+    return rest.select("g", F.when(F.col("k") == F.col("l"), at("k")).otherwise(0.5 * at("k") + 0.5 * at("l")).alias("median"))
+
+
+def _summaries(long: DataFrame, held: int) -> DataFrame:
+    """(g, and the moments) of rows (g, v): one pass, and medians by ranges if a group is larger than held."""
+    if not (long.groupBy("g").count().agg(F.max("count")).first()[0] or 0) > held:
+        return long.groupBy("g").agg(*[e.alias(k) for k, e in _moments("v").items()], F.percentile("v", 0.5).alias("median"))
+    rest = long.groupBy("g").agg(*[e.alias(k) for k, e in _moments("v").items()])
+    return rest.join(medians(long, held).withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def column_summary(df: DataFrame, columns: Sequence[str], held: int = HELD) -> DataFrame:
+    """(metric, mean, std, var, min, max, median): a row a column."""
+    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "g", "v")
+    return _summaries(long, held).select(F.col("g").alias("metric"), *[k for k in MOMENTS if k != "count"])
+
+
+def group_summary(df: DataFrame, by: str, columns: Sequence[str], held: int = HELD) -> DataFrame:
+    """One wide row a group: <column>_<moment>. Values are taken as doubles."""
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(F.col(by).alias("by"), F.explode(values).alias("x")).select(F.struct("by", "x.column").alias("g"), "x.v")
+    rows = _summaries(long, held).select("g.by", "g.column", F.struct(*MOMENTS).alias("m"))
+    of = {c: F.first(F.when(F.col("column") == c, F.col("m")), ignorenulls=True).alias(c) for c in columns}
+    return rows.groupBy("by").agg(*[of[c] for c in columns]).select(F.col("by").alias(by), *[F.col(c).getField(k).alias(f"{c}_{k}") for c in columns for k in MOMENTS])
 
 
 def flatten_results(overall: DataFrame, sections: DataFrame, metrics: Sequence[str], keys: Sequence[str]) -> DataFrame:

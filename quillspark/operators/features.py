@@ -95,15 +95,23 @@ def plain_english(rows: DataFrame) -> DataFrame:
 
 
 def token_depths(heads: Column) -> Column:
-    """Steps of every token to its root, of an array of head positions from 0; a root is its own head. Bounded by the sentence's length."""
+    """Steps of every token to its root, of an array of head positions from 0; a root is its own head. In a circle, the sentence's length.
+
+    By doubling: after k rounds a token knows its ancestor 2^k steps up and how many steps of these go to another
+    token, so a sentence of n tokens takes log n rounds. A head that is no token gives null.
+    """
     size = F.size(heads)
-    start = F.struct(F.transform(heads, lambda h, i: i).alias("at"), F.transform(heads, lambda h: F.lit(0)).alias("d"))
+    start = F.struct(heads.alias("at"), F.transform(heads, lambda h, i: (h != i).cast("int")).alias("d"))
+
+    def capped(d: Column) -> Column:
+        return F.when(d <= size, d).when(d > size, size)
 
-    def up(a: Column, _: Column) -> Column:
-        nxt = F.transform(a["at"], lambda x: F.get(heads, x))
-        return F.struct(nxt.alias("at"), F.zip_with(a["d"], F.zip_with(a["at"], nxt, lambda x, y: (x != y).cast("int")), lambda d, s: d + s).alias("d"))
+    def doubled(a: Column, _: Column) -> Column:
+        further = F.transform(a["at"], lambda x: F.get(a["at"], x))
+        return F.struct(further.alias("at"), F.zip_with(a["d"], a["at"], lambda d, x: capped(d + F.get(a["d"], x))).alias("d"))
 
-    return F.when(size == 0, F.array().cast("array<int>")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), start, up, lambda a: a["d"]))
+    rounds = F.ceil(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int") + 1
+    return F.when(size == 0, F.array().cast("array<int>")).otherwise(F.aggregate(F.sequence(F.lit(1), rounds), start, doubled, lambda a: a["d"]))
 
 
 def dependency_depth(parsed: DataFrame) -> DataFrame:

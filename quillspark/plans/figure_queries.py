@@ -56,6 +56,19 @@ def turn_overlaps(t: Tables) -> DataFrame:
     return chunks.overlaps(sections, 0.05)
 
 
+@query(f"""
+WITH w AS (SELECT conv_id // 25 AS doc, conv_id * 1000 + turn AS pos, {_OVERLAP} AS x FROM conversations),
+p AS (SELECT a.doc, a.pos AS pa, b.pos AS pb, {_fmt(_JACCARD.format(a="a.x", b="b.x"), 3)} AS score FROM w a JOIN w b ON a.doc = b.doc AND a.pos < b.pos),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, pa, pb) AS rank FROM p WHERE score >= 0.1)
+SELECT CAST(doc AS VARCHAR) AS doc_id, 't' || pa AS section_a, 't' || pb AS section_b, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8
+""")
+def thread_overlaps(t: Tables) -> DataFrame:
+    """Documents of many sections: the turns of 25 conversations each, found through the index of words."""
+    pos = F.col("conv_id") * 1000 + F.col("turn")
+    sections = t.conversations.select(F.floor(F.col("conv_id") / 25).cast("string").alias("doc_id"), pos.cast("int").alias("section_pos"), F.concat(F.lit("t"), pos).alias("parser_section"), "text")
+    return chunks.overlaps(sections, 0.1)
+
+
 def _talks(t: Tables) -> DataFrame:
     """Sections of a conversation: what users say is its plain summary, what assistants say its plan."""
     name = F.when(F.col("role") == "user", chunks.PLAIN_SECTIONS[0]).when(F.col("role") == "assistant", chunks.PLAN_SECTION).otherwise(F.col("role"))

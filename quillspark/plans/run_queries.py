@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import evaluate as E
 from ..sources import files
+from . import scoring
 from .registry import F, Tables, dec, long, query
 
 _MOMENTS_SQL = "count({0}) AS n, CAST(avg({0}) AS DECIMAL(18,6))::DOUBLE AS mean, CAST(stddev_samp({0}) AS DECIMAL(18,6))::DOUBLE AS std, CAST(min({0}) AS DECIMAL(18,6))::DOUBLE AS low, CAST(max({0}) AS DECIMAL(18,6))::DOUBLE AS high, CAST(quantile_cont({0}, 0.5) AS DECIMAL(18,6))::DOUBLE AS median"
@@ -17,6 +18,26 @@ def group_moments(t: Tables) -> DataFrame:
     return o.select("event_type", F.col("value_count").alias("n"), *[dec(F.col(f"value_{k}")).alias(n) for k, n in (("mean", "mean"), ("std", "std"), ("min", "low"), ("max", "high"), ("median", "median"))])
 
 
+@query("""
+SELECT l_returnflag, CAST(quantile_cont(l_extendedprice, 0.5) AS DECIMAL(18,6))::DOUBLE AS price, CAST(quantile_cont(l_quantity, 0.5) AS DECIMAL(18,6))::DOUBLE AS quantity, count(l_tax) AS n FROM lineitem GROUP BY 1
+""")
+def group_medians(t: Tables) -> DataFrame:
+    """Medians by ranges: no task holds more than a hundred values of a group."""
+    o = E.group_summary(t.lineitem, "l_returnflag", ["l_extendedprice", "l_quantity", "l_tax"], held=100)
+    return o.select("l_returnflag", dec(F.col("l_extendedprice_median")).alias("price"), dec(F.col("l_quantity_median")).alias("quantity"), F.col("l_tax_count").alias("n"))
+
+
+@query("""
+SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN '#run' ELSE ' ' END || p_size AS pdf_name, CAST(p_size AS INTEGER) AS run_idx FROM part
+""")
+def run_names(t: Tables) -> DataFrame:
+    """Ids of runs taken apart again, of names that look like ids of runs."""
+    name = F.concat(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.lit("#run")).otherwise(F.lit(" ")), F.col("p_size").cast("string"))
+    rows = t.part.select("p_partkey", scoring.run_id(name, F.col("p_size")).alias("doc_id"))
+    back, run = scoring.run_parts(F.col("doc_id"))
+    return rows.select("p_partkey", back.alias("pdf_name"), run.alias("run_idx"))
+
+
 @query("""
 SELECT metric, CAST(avg(v) AS DECIMAL(18,4))::DOUBLE AS mean, CAST(min(v) AS DECIMAL(18,4))::DOUBLE AS low, CAST(max(v) AS DECIMAL(18,4))::DOUBLE AS high, CAST(quantile_cont(v, 0.5) AS DECIMAL(18,4))::DOUBLE AS median
 FROM (SELECT 'l_quantity' AS metric, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY metric

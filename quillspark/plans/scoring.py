@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..cluster import is_complete, ship, stored
 from ..functions import text as T
@@ -171,12 +171,22 @@ def baseline(applications: DataFrame, rubric: DataFrame, generate: Generate, sto
     return Scored(chunk, none, none, none, raw, signals, sub, sections, overall, rollup.nested(overall, sections, sub), failed)
 
 
+def run_id(name: Column, run: Column) -> Column:
+    """The id under which one of many runs of a document goes: the run first, so that no name can be mistaken for it."""
+    return F.concat_ws("#", run.cast("string"), name.cast("string"))
+
+
+def run_parts(doc_id: Column) -> tuple[Column, Column]:
+    """(name, run) of a run_id()."""
+    run = F.substring_index(doc_id, "#", 1)
+    return F.substring(doc_id, F.length(run) + 2, F.length(doc_id)), run.cast("int")
+
+
 def repeated(applications: DataFrame, rubric: DataFrame, generate: Generate, runs: int, group: str | None = None) -> DataFrame:
     """Rows of runs (pdf_name, run_idx, group, overall figures, pool_size) of the same applications scored over and over."""
     numbered = applications.select(F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run_idx"), F.col("doc_id").alias("pdf_name"), "raw")
-    many = numbered.select(F.concat_ws("#run", "pdf_name", F.col("run_idx").cast("string")).alias("doc_id"), "raw")
-    s = score(many, rubric, generate)
+    s = score(numbered.select(run_id(F.col("pdf_name"), F.col("run_idx")).alias("doc_id"), "raw"), rubric, generate)
     size = s.chunks.groupBy("doc_id").agg(F.count("*").alias("pool_size"))
     rows = s.overall.join(size, "doc_id").join(rollup.mean_signal(s.signals), "doc_id")
-    parts = F.split("doc_id", "#run")
-    return rows.select(F.get(parts, F.lit(0)).alias("pdf_name"), F.get(parts, F.lit(1)).cast("int").alias("run_idx"), F.lit(group).cast("string").alias("group"), F.col("final_score_0to100").alias("overall_score_100"), "coverage_score_0to100", "avg_signal_score_0to5", "total_items", "signal_count", "good_items", "positive_items", "pool_size")
+    name, run = run_parts(F.col("doc_id"))
+    return rows.select(name.alias("pdf_name"), run.alias("run_idx"), F.lit(group).cast("string").alias("group"), F.col("final_score_0to100").alias("overall_score_100"), "coverage_score_0to100", "avg_signal_score_0to5", "total_items", "signal_count", "good_items", "positive_items", "pool_size")

@@ -187,6 +187,23 @@ def section_slugs(t: Tables) -> DataFrame:
     return chunks.slugs(s).drop("pos")
 
 
+@query(r"""
+WITH RECURSIVE s AS (SELECT p_brand AS doc, concat_ws(' ', p_name, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 5 END) AS section, min(p_partkey) AS pos FROM part GROUP BY 1, 2),
+b AS (SELECT *, 'sec' || array_to_string(list_transform(regexp_extract_all(lower(section), '[a-z0-9]+'), lambda x: x[1]), '') AS base, row_number() OVER (PARTITION BY doc ORDER BY pos) AS i FROM s),
+f AS (
+  SELECT doc, section, base AS slug, i, [base] AS used FROM b WHERE i = 1 UNION ALL
+  SELECT doc, section, slug, i, list_append(used, slug) FROM (
+    SELECT b.doc, b.section, b.i, used, CASE WHEN list_contains(used, base) THEN base || list_filter(range(2, len(used) + 3), lambda k: NOT list_contains(used, base || k))[1] ELSE base END AS slug
+    FROM f JOIN b ON b.doc = f.doc AND b.i = f.i + 1))
+SELECT doc AS doc_id, section AS parser_section, slug FROM f
+""")
+def colliding_slugs(t: Tables) -> DataFrame:
+    """Sections whose initials may end in a digit, so that numbered names meet other initials."""
+    number = F.when(F.col("p_partkey") % 3 > 0, (F.col("p_partkey") % 5).cast("string"))
+    s = t.part.groupBy(F.col("p_brand").alias("doc_id"), F.concat_ws(" ", "p_name", number).alias("parser_section")).agg(F.min("p_partkey").alias("pos"))
+    return chunks.slugs(s).drop("pos")
+
+
 def _turns(t: Tables) -> DataFrame:
     """Conversations as chunks: roles are sections, turns positions."""
     return t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chunk_pos"), F.concat_ws("_", F.lit("t"), "turn").alias("chunk_id"), F.col("role").alias("parser_section"), F.col("role").alias("source_path"), "text")

@@ -1,4 +1,7 @@
 import json
+import random
+import re
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +91,44 @@ def test_derived_names_beside_sections_of_the_same(spark):
     got = chunks.pool(df).orderBy("chunk_pos").collect()
     assert [r["chunk_id"] for r in got] == ["secpes__001", "secpena__001", "secpena__002", "secafa__001", "secpena__003", "secafa2__001"]
     assert [r["chunk_pos"] for r in got] == list(range(6))
+
+
+def test_names_that_meet_other_initials(spark):
+    """A numbered name may be another section's initials; that one goes on to the next number, as sections come."""
+    rng = random.Random(4)
+    names = ["Aim", "Also", "A 2", "A", "A 2 2", "B", "b 2", "A 22", "2 2", "2", "Alpha Beta", "a b", "a b 2", "!", "?", "x", "a3", "A 3", "Sum 2 3"]
+    rows = [("d", n, i) for i, n in enumerate(("Aim", "Also", "A 2"))]
+    for d in range(20):
+        some = dict.fromkeys(rng.sample(names, rng.randint(3, len(names))) + [f"A{i}" for i in range(rng.randint(0, 5))])
+        rows += [(f"d{d}", n, i) for i, n in enumerate(some)]
+    want: dict = {}
+    for doc, name, _ in rows:  # in order of position
+        parts = re.findall("[a-z0-9]+", name.lower())
+        base = "sec" + ("".join(p[0] for p in parts) or "x")
+        used = {s for (d, _), s in want.items() if d == doc}
+        want[doc, name] = next(c for c in (base, *(f"{base}{k}" for k in range(2, 99))) if c not in used)
+    got = chunks.slugs(spark.createDataFrame(rows, "doc_id string, parser_section string, pos int")).collect()
+    assert {(r.doc_id, r.parser_section): r.slug for r in got} == want and len(got) == len(rows)
+    assert [want["d", n] for n in ("Aim", "Also", "A 2")] == ["seca", "seca2", "seca22"]
+
+
+def test_best_pairs_of_many_sections(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(300)]
+    rows = [(d, i, f"S{i}", " ".join(rng.choice(words[: 40 if i % 7 == 0 else 300]) for _ in range(rng.randint(0, 50)))) for d, n in (("small", 10), ("large", 90)) for i in range(n)]
+    rows += [("large", 900, "same", rows[40][3]), ("large", 901, "same again", rows[40][3])]
+    df = spark.createDataFrame(rows, "doc_id string, section_pos int, parser_section string, text string")
+    for least, top in ((0.18, 8), (0.05, 300)):
+        want = []
+        for doc in ("small", "large"):
+            sets = [(p, n, set(t.split())) for d, p, n, t in rows if d == doc]
+            pairs = sorted((-round(len(a & b) / len(a | b), 3), p, q, n, m) for (p, n, a), (q, m, b) in combinations(sets, 2) if a and b)
+            want += [(doc, n, m, -s, k + 1) for k, (s, _, _, n, m) in enumerate([x for x in pairs if -x[0] >= least][:top])]
+        assert sorted(map(tuple, chunks.overlaps(df, least, top).collect())) == sorted(want)
+
+
+def test_sections_without_common_words_make_no_pairs(spark):
+    word = lambda c: F.translate(F.concat(F.lit(f"{c}xx"), F.col("id").cast("string")), "0123456789", "abcdefghij")
+    many = spark.range(5000).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("section_pos"), F.col("id").cast("string").alias("parser_section"), F.concat_ws(" ", *map(word, "abcdefgh")).alias("text"))
+    sets = many.select("doc_id", "section_pos", chunks.T.overlap_words("text").alias("words"))
+    assert chunks.postings(sets).isEmpty() and chunks.overlaps(many).isEmpty()

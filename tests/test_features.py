@@ -1,5 +1,7 @@
 import json
 import math
+import random
+import statistics
 from fractions import Fraction
 
 import pytest
@@ -179,3 +181,37 @@ def test_ks_goes_by_ranges(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.splitlines() if "Window [" in x and "v#" in x and "specifiedwindowframe" in x]
     assert windows and all("part#" in x for x in windows)
+
+
+def test_depths_by_doubling(spark):
+    rng = random.Random(6)
+    heads = [[0], [0, 0, 1], [1, 2, 3, 3], [1, 0], [1, 2, 0, 0], [], [rng.randrange(50) for _ in range(50)], *[[max(0, i - rng.randint(0, 3)) for i in range(n)] for n in (2, 3, 17, 64, 65)]]
+
+    def depth(h, i):
+        d = 0
+        while h[i] != i and d < len(h):
+            i, d = h[i], d + 1
+        return d
+
+    df = spark.createDataFrame(list(enumerate(heads)), "i int, heads array<int>")
+    got = {r.i: r.d for r in df.select("i", features.token_depths(F.col("heads")).alias("d")).collect()}
+    assert got == {n: [depth(h, i) for i in range(len(h))] for n, h in enumerate(heads)}
+    chain = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda i: F.greatest(i - 1, F.lit(0))).alias("heads"))
+    assert chain.select(features.token_depths(F.col("heads")).alias("d")).first().d == list(range(20_000))
+
+
+def test_medians_by_ranges(spark):
+    rng = random.Random(7)
+    data = [(9, None)]
+    for g, n in enumerate((1, 2, 5, 100, 1001, 900)):
+        pick = [lambda: rng.choice([1.0, 2.0, 2.0, 2.0, 3.0]), lambda: rng.lognormvariate(0, 3), lambda: rng.choice([0.5, -7.25, 1e9, rng.random()])]
+        data += [(None if g == 5 else g, pick[g % 3]()) for _ in range(n)]
+    df = spark.createDataFrame(data, "g int, v double").repartition(4)
+    groups = {g for g, v in data if v is not None}
+    want = {g: statistics.median([v for h, v in data if h == g and v is not None]) for g in groups}
+    for held in (1, 40):
+        assert {r.g: r.median for r in evaluate.medians(df, held).collect()} == want
+    few, many = (evaluate.group_summary(df, "g", ["v"], held).orderBy("g").collect() for held in (10_000, 10))
+    assert [r.v_median for r in few] == [r.v_median for r in many] and [r.v_count for r in few] == [r.v_count for r in many]
+    few, many = (evaluate.column_summary(df, ["g", "v"], held).orderBy("metric").collect() for held in (10_000, 10))
+    assert [(r.metric, r.median, r["max"]) for r in few] == [(r.metric, r.median, r["max"]) for r in many]
