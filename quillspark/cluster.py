@@ -64,10 +64,24 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder, by name; none if it isn't there. What Spark hides (names that begin with _ or a dot) is left out."""
+    p, fs = _at(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [f.getPath().toString() for f in fs.listStatus(p)]
+    return sorted(f for f in found if not f.rpartition("/")[2].startswith(("_", ".")))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder and all in it."""
+    p, fs = _at(spark, path)
+    fs.delete(p, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        p, fs = _at(spark, path)
-        fs.delete(p, True)
+        remove(spark, path)
     except Exception:  # the session may have ended before the interpreter
         pass
 

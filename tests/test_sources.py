@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quillspark.sources import files, pages, profiles
 from quillspark.sources.scorers import FakeScorer, HttpScorer, call, recorded
-from quillspark.streaming import service
 
 
 def test_folder_and_docx(spark, tmp_path):
@@ -106,56 +105,6 @@ def test_scorers(spark):
     assert body["stream"] is False and body["options"]["num_predict"] == 5
 
 
-def test_service(spark, tmp_path):
-    inbox, out = tmp_path / "in", str(tmp_path / "out")
-    inbox.mkdir()
-    (inbox / "a.json").write_text('{"x": 1}')
-    (inbox / "b.json").write_text("nonsense")
-    work = lambda df: df.select("job_id", F.to_json(F.struct("path")).alias("result"))
-
-    def broken(df):
-        raise RuntimeError("no features")
-
-    service.serve(service.inbox(spark, str(inbox)), out, work, str(tmp_path / "cp"), broken).awaitTermination(120)
-    jobs = service.jobs(spark, out).collect()
-    assert sorted(r["status"] for r in jobs) == ["done", "failed"]
-    done = next(r["job_id"] for r in jobs if r["status"] == "done")
-    assert len(done) == 12 and service.result(spark, out, done)[0] == 200 and service.result(spark, out, "nope")[0] == 404
-    (inbox / "c.json").write_text('{"x": 3}')
-    service.serve(service.inbox(spark, str(inbox)), out, work, str(tmp_path / "cp")).awaitTermination(120)
-    assert service.jobs(spark, out).count() == 3
-
-
-def test_history(spark, tmp_path):
-    (tmp_path / "0123456789ab.json").write_text('{"title": "T", "overall": {"final_score_0to100": 50}, "features": {"a": 1}}')
-    (tmp_path / "0123456789ac.json").write_text("{")
-    (tmp_path / "other.json").write_text("{}")
-    got = service.history(spark, str(tmp_path)).collect()
-    assert [(r["job_id"], r["overall"], r["n_sections"]) for r in got] == [("0123456789ab", 50.0, 1)]
-
-
-def test_streamed_fold_equals_batch(spark, tmp_path):
-    from quillspark.operators import belief
-
-    schema = "doc_id string, section_pos int, section_name string, finding_pos int, sub_id string, good array<string>, bad array<string>, implication string"
-    rows = [("d", i, f"S{i % 3}", 0, f"g.{i % 2}", [f"c{i % 4}"], [], f"S: {i % 3}") for i in range(8)] + [("e", 0, "S", 0, "g.1", [], ["c"], "")]
-    src = str(tmp_path / "src")
-    for part in (rows[:4], rows[4:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-    q = service.fold_beliefs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), ["g.0", "g.1", "g.2"]).writeStream.outputMode("update").format("memory").queryName("folded").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    last = {}
-    for r in spark.sql("SELECT * FROM folded").collect():
-        s = json.loads(r["state"])
-        if len(s["missing_signals"]) <= len(last.get(r["doc_id"], s)["missing_signals"]):
-            last[r["doc_id"]] = s
-    batch = {(r["doc_id"], r["sub_id"]): r for r in belief.beliefs(spark.createDataFrame(rows, schema)).collect()}
-    for (doc, sub), r in batch.items():
-        got = last[doc]["subcriteria_beliefs"][sub]
-        assert set(got["good"]) <= set(r["good"]) and sorted(got["bad"]) == sorted(r["bad"])
-    assert last["e"]["missing_signals"] == ["g.0", "g.2"]
-
-
 def test_sheets_are_written_read_and_appended(spark, tmp_path):
     path = str(tmp_path / "r.xlsx")
     a = spark.createDataFrame([("b_after", 2.5, None), ("b_before", 1.0, "x < y & z")], "name string, score double, note string")
@@ -174,39 +123,3 @@ def test_sheets_are_written_read_and_appended(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{m}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2"><v>7</v></c></row></sheetData></worksheet>')
     t = files.read_sheet(spark, str(shared))
     assert t.columns == ["k", "column1", "vw"] and [tuple(r) for r in t.collect()] == [("7", None, None)]
-
-
-def test_uploads_over_http(spark, tmp_path):
-    import threading
-    import urllib.error
-    import urllib.request
-
-    from quillspark.streaming import http
-
-    inbox, out, past = (str(tmp_path / x) for x in ("inbox", "out", "past"))
-    web = http.server(spark, inbox, out, past)
-    threading.Thread(target=web.serve_forever, daemon=True).start()
-    url = f"http://127.0.0.1:{web.server_port}"
-
-    def get(path, data=None):
-        try:
-            with urllib.request.urlopen(urllib.request.Request(url + path, data)) as r:
-                return r.status, json.load(r)
-        except urllib.error.HTTPError as e:
-            return e.code, json.load(e)
-
-    try:
-        assert get("/progress/0123456789ab")[0] == 404 and get("/nothing")[0] == 404 and get("/upload", b"")[0] == 400
-        status, said = get("/upload", b'{"title": "T"}')
-        job, bad = said["job_id"], get("/upload", b"{")[1]["job_id"]
-        assert status == 202 and len(job) == 12
-        work = lambda df: df.select("job_id", F.lit('{"overall": 1}').alias("result"))
-        service.serve(service.inbox(spark, inbox), out, work, str(tmp_path / "ck")).awaitTermination(120)
-        assert get(f"/progress/{job}")[1]["progress"] == 100 and get(f"/result/{job}") == (200, {"overall": 1})
-        assert get(f"/progress/{bad}")[1]["status"] == "failed" and get(f"/result/{bad}")[0] == 409
-        assert get("/history") == (200, []) and get("/status")[0] == 200
-        (tmp_path / "past").mkdir()
-        (tmp_path / "past" / "0123456789ab.json").write_text('{"title": "T", "overall": {"final_score_0to100": 50}, "features": {"a": 1}}')
-        assert get("/history")[1][0]["overall"] == 50.0 and get("/history/0123456789ab")[1]["title"] == "T" and get("/history/0123456789ac")[0] == 404
-    finally:
-        web.shutdown()
