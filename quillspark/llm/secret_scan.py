@@ -4,11 +4,14 @@ Entropy spans: a candidate is a maximal run of ``[A-Za-z0-9+/_=-]`` of MIN_RUN
 characters or more. A window of WINDOW characters slides over it; counts change
 by one character in and one out, and the window's Shannon entropy is compared
 with the threshold of the character class that the window falls in (hex of
-either case, alphanumeric, full). Windows over the threshold merge to a span. Allow-listed
-candidates are dropped, and of longer ones the values between separators that hold
-a placeholder; what stands beside these is a candidate of its own. A span that
-patterns' spans cover is dropped; one that reaches beyond them stays whole. A window
-without a digit has no class and is not flagged: words and paths would be.
+either case, alphanumeric, full, or letters that change their case again and
+again). Windows over the threshold merge to a span, and a span widens to the ends of
+the values between separators that it touches, and over slashes to what looks no
+more like a word, so no end of a secret stays outside. Allow-listed candidates are
+dropped, and of longer ones the values between separators that hold a placeholder;
+what stands beside these is a candidate of its own. A span that patterns' spans cover
+is dropped; one that reaches beyond them stays whole. Words, paths and names in camel
+case have no class: windows of letters alone need CHANGES of case.
 
 Null text counts as empty: no spans, the hash of the empty string. Repeated rows
 and ids, and null ids, each give a row. An empty table gives no rows. Very long
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +36,9 @@ from .common import sha, ship, steps, text_steps, tidy
 WINDOW = 20
 MIN_RUN = 20
 #: Bits a character that a window must exceed, by class.
-THRESHOLD = {"hex": 2.9, "alnum": 3.6, "full": 3.7}
+THRESHOLD = {"hex": 2.9, "alnum": 3.6, "full": 3.7, "letters": 3.7}
+#: In a window without a digit: letters of either case, and neighbours of different case, at least.
+OF_EITHER_CASE, CHANGES = 7, 7
 KINDS = ("assign", "access", "hex", "entropy")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -48,13 +54,15 @@ ALLOW = tuple(
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
         r"\d{4}-\d{2}-\d{2}[T_]?[\d-]*",  # dates and times
         r"[\d+/=_-]+",  # figures alone
-        r"[A-Za-z+/=_-]+",  # letters alone: long words, paths
     )
 )
 #: A value between separators that holds one of these is not a secret.
 PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|lorem|xxxx|0123456789|abcdefgh")
 SEPARATORS = "/=_-"
 VALUE = re.compile(r"[^/=_-]+")
+PADDING = re.compile(r"={1,2}\Z")
+#: A part of a path, over which a span doesn't widen.
+WORD = re.compile(r"[a-z]{3,}|[A-Z][a-z]{2,}|\d{1,4}")
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RUN_BYTE = np.zeros(256, bool)
@@ -70,18 +78,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
-def _window_class(digits: int, lower: int, upper: int, other: int, hexes: int) -> str | None:
+def _window_class(digits: int, lower: int, upper: int, other: int, hexes: int, changes: int) -> str | None:
     if hexes == WINDOW and digits:
         return "hex"
     if digits and (lower or upper):
         return "full" if other else "alnum"
+    if not digits and min(lower, upper) >= OF_EITHER_CASE and changes >= CHANGES:
+        return "letters"
     return None
 
 
 def entropy_spans(run: str) -> list[tuple[int, int]]:
     """Merged windows of a candidate whose entropy exceeds the threshold of their class."""
     counts: dict[str, int] = {}
-    tally = [0, 0, 0, 0, 0]  # digits, lower, upper, other, hex digits
+    tally = [0, 0, 0, 0, 0, 0]  # digits, lower, upper, other, hex digits, changes of case
     weight = 0.0  # sum of c log2 c
     out: list[tuple[int, int]] = []
 
@@ -92,12 +102,16 @@ def entropy_spans(run: str) -> list[tuple[int, int]]:
             return (1 if c.islower() else 2, 4)
         return (1,) if c.islower() else (2,) if c.isupper() else (3,)
 
+    def changed(i: int) -> bool:
+        return run[i - 1].isalpha() and run[i].isalpha() and run[i - 1].islower() != run[i].islower()
+
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         weight += _CLOG[n + 1] - _CLOG[n]
         counts[c] = n + 1
         for k in kinds(c):
             tally[k] += 1
+        tally[5] += i > 0 and changed(i)
         if i >= WINDOW:
             gone = run[i - WINDOW]
             n = counts[gone]
@@ -105,6 +119,7 @@ def entropy_spans(run: str) -> list[tuple[int, int]]:
             counts[gone] = n - 1
             for k in kinds(gone):
                 tally[k] -= 1
+            tally[5] -= changed(i - WINDOW + 1)
         if i >= WINDOW - 1:
             kind = _window_class(*tally)
             if kind and math.log2(WINDOW) - weight / WINDOW > THRESHOLD[kind]:
@@ -116,6 +131,38 @@ def entropy_spans(run: str) -> list[tuple[int, int]]:
     return out
 
 
+def flagged(part: str) -> list[tuple[int, int]]:
+    """entropy_spans() of a candidate, each widened to whole values; spans that then meet are one."""
+    found = entropy_spans(part)
+    if not found:
+        return []
+    values = [m.span() for m in VALUE.finditer(part)]
+    starts, ends = [s for s, _ in values], [e for _, e in values]
+
+    def joins(i: int, j: int) -> bool:
+        """Whether the value j goes on from its neighbour i: over one slash, and no word."""
+        left, right = min(i, j), max(i, j)
+        return starts[right] == ends[left] + 1 and part[ends[left]] == "/" and not WORD.fullmatch(part, starts[j], ends[j])
+
+    out: list[tuple[int, int]] = []
+    for s, e in found:
+        if out and e <= out[-1][1]:
+            continue
+        i, j = bisect_right(ends, s), bisect_left(starts, e) - 1  # the first and the last value that it touches
+        while i > 0 and (not out or starts[i] > out[-1][1]) and joins(i, i - 1):
+            i -= 1
+        while j + 1 < len(values) and joins(j, j + 1):
+            j += 1
+        s, e = min(s, starts[i]), max(e, ends[j])
+        if PADDING.match(part, e):  # what fills up base64
+            e = len(part)
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], e)
+        else:
+            out.append((s, e))
+    return out
+
+
 def candidates(run: str) -> Iterator[tuple[int, str]]:
     """(start, text) of what is to be tested of a run: all of it, or what stands between its placeholders."""
     at = 0
@@ -154,7 +201,7 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
         if allowed(m.group()):
             continue
         for at, part in candidates(m.group()):
-            for s, e in entropy_spans(part):
+            for s, e in flagged(part):
                 s, e = s + at + m.start(), e + at + m.start()
                 while i < len(stretches) and stretches[i][1] < e:
                     i += 1

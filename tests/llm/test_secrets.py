@@ -125,7 +125,7 @@ def test_entropy_spans_that_patterns_cover_go():
     found = 0
     for t in filter(None, texts()):
         base, spans = S.all_spans(t)
-        every = [(s + at + m.start(), e + at + m.start()) for m in S.RUN.finditer(t) if not S.allowed(m.group()) for at, part in S.candidates(m.group()) for s, e in S.entropy_spans(part)]
+        every = [(s + at + m.start(), e + at + m.start()) for m in S.RUN.finditer(t) if not S.allowed(m.group()) for at, part in S.candidates(m.group()) for s, e in S.flagged(part)]
         assert [(s, e) for s, e, k in spans if k == "entropy"] == [x for x in every if not covered(*x, base)]
         found += len(every) - sum(k == "entropy" for *_, k in spans)
     assert found
@@ -151,3 +151,57 @@ def test_ids_and_clashing_columns(spark):
     got = sorted(((r["doc_id"], r["n_assign"], r["spans"]) for r in S.scan(df).collect()), key=str)
     assert got == sorted([(None, 1, "assign:0:16"), (3, 1, "assign:0:16"), (3, 1, "assign:0:16"), (3, 0, "")], key=str)
     assert S.redact(df).columns == df.columns and S.redact(df).where("text = '[SECRET]'").count() == 3
+
+
+def random_value(rng, n, alphabet):
+    """With upper and lower case in it, and no more than two of a kind of letters in a row at the ends."""
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_no_end_of_a_secret_stays(spark):
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzKLMNOPQR"
+    said = [f'aws_secret_access_key = "{value}"', f"key is {value}", f"key is {value}==", f"id={value}", f"{value} and {value}", f"({value}),"]
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    tails = ["", "abcde", "NOPQR", "/abQ", "xyzzyx"]
+    values = [random_value(rng, rng.randint(24, 60), letters + "0123456789") + rng.choice(tails) for _ in range(300)]
+    values = [v for v in values if S.entropy_spans(v)]
+    assert len(values) > 280
+    rows = said + [f"the key {v} end" for v in values] + [f"https://host/path/{v}/index" for v in values[:40]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in S.redact(df).collect()}
+    assert [got[i] for i in range(len(said))] == ['aws_secret_access_key = "[SECRET]"', "key is [SECRET]", "key is [SECRET]", "[SECRET]", "[SECRET] and [SECRET]", "([SECRET]),"]
+    for i, v in enumerate(values):
+        assert got[len(said) + i] == "the key [SECRET] end", v
+    for i in range(40):
+        assert got[len(said) + len(values) + i] == "https://host/path/[SECRET]/index"
+
+
+def test_letters_of_either_case_without_digits():
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    values = [random_value(rng, 28, letters) for _ in range(400)]
+    found = [S.all_spans(f"key {v} end")[1] for v in values]
+    assert sum(x == [(4, 32, "entropy")] for x in found) >= 0.95 * len(values)
+    names = ["getUserAccountBalanceForCustomer", "AbstractSingletonProxyFactoryBeanImpl", "HTTPSConnectionURLParserFactory", "internationalizationAndLocalization", "XMLHttpRequestEventTargetConstructor", "Donaudampfschifffahrtsgesellschaft", "SELECT_ALL_FROM_TABLE_WHERE", "some/long/path/To/a/File/Name/Here", "thisIsAVeryLongVariableNameInCamelCase", "--------------------------------", "WindowsNTServerResourceKitToolsDVD"]
+    assert [x for x in names if S.all_spans(f"see {x} here")[1]] == []
+
+
+def test_words_beside_a_secret_stay():
+    key = "Zx9Qw3RtB7Yu1IoH5Pa8Sd2Fg6"
+    assert S.all_spans(f"see documents/{key}/reports here")[1] == [(14, 14 + len(key), "entropy")]
+    (span,) = S.all_spans(f"see id-{key}-name_of here")[1]
+    assert span[0] <= 7 and span[1] >= 7 + len(key)
+
+
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    key = "Zx9Qw3RtB7Yu1IoH5Pa8Sd2Fg6"
+    took = []
+    for n in (500, 5_000):
+        text = f"{key}/aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa/" * n
+        began = time.process_time()
+        assert len(S.all_spans(text)[1]) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0]
