@@ -6,8 +6,8 @@ by one character in and one out, and the window's Shannon entropy is compared
 with the threshold of the character class that the window falls in (hex of
 either case, alphanumeric, full, or letters that change their case again and
 again). Windows over the threshold merge to a span, and a span widens to the ends of
-the values between separators that it touches, and over slashes to what looks no
-more like a word, so no end of a secret stays outside. Allow-listed candidates are
+the values between separators that it touches, and over slashes to what doesn't look
+like a word, so no end of a secret stays outside; words at its ends are left out. Allow-listed candidates are
 dropped, and of longer ones the values between separators that hold a placeholder;
 what stands beside these is a candidate of its own. A span that patterns' spans cover
 is dropped; one that reaches beyond them stays whole. Words, paths and names in camel
@@ -67,7 +67,7 @@ WORD = re.compile(r"[a-z]{3,}|[A-Z][a-z]{2,}|\d{1,4}")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RUN_BYTE = np.zeros(256, bool)
 _RUN_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
-_CLOG = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+_CLOG = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]  # one character comes before one goes
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -132,7 +132,7 @@ def entropy_spans(run: str) -> list[tuple[int, int]]:
 
 
 def flagged(part: str) -> list[tuple[int, int]]:
-    """entropy_spans() of a candidate, each widened to whole values; spans that then meet are one."""
+    """entropy_spans() of a candidate, each widened to whole values, without words at its ends; spans that then meet are one."""
     found = entropy_spans(part)
     if not found:
         return []
@@ -153,7 +153,12 @@ def flagged(part: str) -> list[tuple[int, int]]:
             i -= 1
         while j + 1 < len(values) and joins(j, j + 1):
             j += 1
-        s, e = min(s, starts[i]), max(e, ends[j])
+        word = lambda k: WORD.fullmatch(part, starts[k], ends[k])
+        while i < j and word(i):  # a window begins in the path before a secret
+            i += 1
+        while i < j and word(j):
+            j -= 1
+        s, e = starts[i], ends[j]
         if PADDING.match(part, e):  # what fills up base64
             e = len(part)
         if out and s <= out[-1][1]:
