@@ -139,25 +139,27 @@ def flagged(part: str) -> list[tuple[int, int]]:
     values = [m.span() for m in VALUE.finditer(part)]
     starts, ends = [s for s, _ in values], [e for _, e in values]
 
+    def word(i: int) -> bool:
+        return WORD.fullmatch(part, starts[i], ends[i]) is not None
+
     def joins(i: int, j: int) -> bool:
         """Whether the value j goes on from its neighbour i: over one slash, and no word."""
         left, right = min(i, j), max(i, j)
-        return starts[right] == ends[left] + 1 and part[ends[left]] == "/" and not WORD.fullmatch(part, starts[j], ends[j])
+        return starts[right] == ends[left] + 1 and part[ends[left]] == "/" and not word(j)
 
     out: list[tuple[int, int]] = []
     for s, e in found:
         if out and e <= out[-1][1]:
             continue
         i, j = bisect_right(ends, s), bisect_left(starts, e) - 1  # the first and the last value that it touches
-        while i > 0 and (not out or starts[i] > out[-1][1]) and joins(i, i - 1):
-            i -= 1
-        while j + 1 < len(values) and joins(j, j + 1):
-            j += 1
-        word = lambda k: WORD.fullmatch(part, starts[k], ends[k])
         while i < j and word(i):  # a window begins in the path before a secret
             i += 1
         while i < j and word(j):
             j -= 1
+        while i > 0 and (not out or starts[i] > out[-1][1]) and joins(i, i - 1):
+            i -= 1
+        while j + 1 < len(values) and joins(j, j + 1):
+            j += 1
         s, e = starts[i], ends[j]
         if PADDING.match(part, e):  # what fills up base64
             e = len(part)
