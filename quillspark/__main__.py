@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession, functions as F
 from .operators import chunks, citations, rubric
 from .plans import parsing, scoring
 from .sources import files, profiles
+from .sources.ledger import Ledger
 from .sources.scorers import HttpScorer
 
 
@@ -53,7 +54,7 @@ def main(args: list[str] | None = None) -> None:
         chunks.index_text(pool).write.mode("overwrite").parquet(f"{o.out}/index")
         return
     table = rubric.read(spark, o.criteria) if o.criteria else rubric.load(spark)
-    done = scoring.score(applications, table, HttpScorer(o.url, o.model), scoring.store_in(o.out))
+    done = scoring.score(applications, table, HttpScorer(o.url, o.model), scoring.store_in(o.out), ledger=Ledger(f"{o.out}/ledger", o.model))
     done.results.write.mode("overwrite").parquet(f"{o.out}/results")
     done.failures.write.mode("overwrite").parquet(f"{o.out}/failures")
 

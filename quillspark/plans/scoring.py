@@ -3,44 +3,50 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..cluster import is_complete, ship, stored
+from ..cluster import folder, is_complete, ship, stored
 from ..functions import text as T
 from ..operators import belief, chunks, repair, retrieval, rollup, rubric as R
-from ..sources.scorers import Generate, call, first_object
+from ..sources.ledger import Ledger
+from ..sources.scorers import Generate, first_object
 
 #: Stands for a document's chunk ids in a section's schema.
 CHUNK_IDS = "@chunk_ids@"
 
-Store = Callable[[DataFrame, str], DataFrame]
+#: Takes a table, or what makes it, and its name; gives the table back, kept.
+Store = Callable[[DataFrame | Callable[[], DataFrame], str], DataFrame]
 
 
-def keep_in_memory(df: DataFrame, _name: str) -> DataFrame:
-    """For small trials: an executor that is lost has its model calls made again."""
-    return df.persist()
+def _made(df: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    return df() if callable(df) else df
 
 
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """Cut the plan with a table in the folder of spark.checkpoint.dir: a lost executor costs no model call twice."""
-    return stored(df, name)
+def keep_in_memory(df: DataFrame | Callable[[], DataFrame], _name: str) -> DataFrame:
+    """For small trials: an executor that is lost has its tables made again."""
+    return _made(df).persist()
 
 
-def store_in(folder: str) -> Store:
-    """Write what a run makes once to tables under folder, and go on from them: model calls happen once, and a stopped run resumes.
+def checkpointed(df: DataFrame | Callable[[], DataFrame], name: str) -> DataFrame:
+    """Cut the plan with a table in the folder of spark.checkpoint.dir."""
+    return stored(_made(df), name)
+
+
+def store_in(path: str) -> Store:
+    """Write what a run makes once to tables under path, and go on from them: a stopped run resumes.
 
     A table counts as made if its write came to an end; what a stopped write left is written again.
     """
 
-    def put(df: DataFrame, name: str) -> DataFrame:
-        spark, path = df.sparkSession, f"{folder.rstrip('/')}/{name}"
-        if not is_complete(spark, path):
-            df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    def put(df: DataFrame | Callable[[], DataFrame], name: str) -> DataFrame:
+        spark, to = SparkSession.getActiveSession(), f"{path.rstrip('/')}/{name}"
+        if not is_complete(spark, to):
+            _made(df).write.mode("overwrite").parquet(to)
+        return spark.read.parquet(to) if callable(df) else spark.read.schema(df.schema).parquet(to)
 
     return put
 
@@ -60,40 +66,57 @@ class Scored:
     failures: DataFrame
 
 
-def stage1(inputs: DataFrame, criteria_json: str, sub_ids: list[str], generate: Generate, tokens: int = 8192, retries: int = 1) -> DataFrame:
-    """(doc_id, section_pos, section_name, raw, ok, attempts, error): sections of a document one after the other, each seeing the state so far.
+ANSWERED = "doc_id string, section_pos int, section_name string, raw string, ok boolean, attempts int, error string"
 
-    Documents run in parallel; the order within one is the method's own. An answer that fails ends its document's run there.
-    """
 
-    ship(inputs.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, seen, known = [], [], []
-        for r in pdf.sort_values("section_pos").itertuples():
-            state, chunk_ids = json.dumps(belief.running_view(seen, known, sub_ids), ensure_ascii=False), list(json.loads(r.content))
-            messages = retrieval.stage1_request(r.section_name, r.content, criteria_json, state)
-            schema = json.dumps(R.evidence_schema(sub_ids, chunk_ids))
-            raw, ok, error, attempt = "", False, None, 0
-            for attempt in range(1, retries + 2):
-                try:
-                    raw = generate(messages, schema, tokens)
-                except Exception as e:
-                    error = repr(e)[:300]
-                    break
-                try:
-                    found, ok, error = first_object(raw), True, None
-                    break
-                except ValueError as e:
-                    error = f"malformed: {e}"[:300]
-            out.append((r.doc_id, r.section_pos, r.section_name, raw, ok, attempt, error))
-            if not ok:
-                break
-            seen.append(r.section_name)
-            known.append(belief.section_findings(found, r.section_name, sub_ids, chunk_ids))
-        return pd.DataFrame(out, columns=["doc_id", "section_pos", "section_name", "raw", "ok", "attempts", "error"])
-
-    return inputs.groupBy("doc_id").applyInPandas(run, "doc_id string, section_pos int, section_name string, raw string, ok boolean, attempts int, error string")
+def stage1(inputs: DataFrame, criteria_json: str, sub_ids: list[str], generate: Generate, ledger: Ledger, tokens: int = 8192, retries: int = 1) -> DataFrame:
+    """(doc_id, section_pos, section_name, raw, ok, attempts, error): the nth sections of all documents in the nth step, each seeing the state of its document so far.
+
+    Documents run side by side; the order within one is the method's own, so there are as many steps as the longest
+    document has sections. Each step's answers are in the ledger before the next begins. What a document carries from
+    step to step are the names of its sections and what was found in them. An answer that fails ends its document's
+    run there. inputs are read once a step: give a written table.
+    """
+    spark = inputs.sparkSession
+    ship(spark)
+    begin = json.dumps({"seen": [], "known": []})
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            messages, schemas = [], []
+            for name, content, held in zip(pdf["section_name"], pdf["content"], pdf["held"], strict=True):
+                state = json.loads(held)
+                view = json.dumps(belief.running_view(state["seen"], state["known"], sub_ids), ensure_ascii=False)
+                messages.append(retrieval.stage1_request(name, content, criteria_json, view))
+                schemas.append(json.dumps(R.evidence_schema(sub_ids, list(json.loads(content)))))
+            yield pdf.assign(messages=messages, schema=schemas)
+
+    def after(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, name, content, held, raw in zip(pdf["doc_id"], pdf["section_name"], pdf["content"], pdf["held"], pdf["raw"], strict=True):
+                state = json.loads(held)
+                state["seen"].append(name)
+                state["known"].append(belief.section_findings(first_object(raw), name, sub_ids, list(json.loads(content))))
+                out.append((doc, json.dumps(state, ensure_ascii=False)))
+            yield pd.DataFrame(out, columns=["doc_id", "held"])
+
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_pos"))
+    rows = stored(inputs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("section_pos").cast("int").alias("section_pos"), "section_name", "content").withColumn("nth", nth), "stage1-sections")
+    kinds = "doc_id string, section_pos int, section_name string, content string, held string"
+    states, answered = None, []
+    for n in range(1, (rows.agg(F.max("nth")).first()[0] or 0) + 1):
+        mine = rows.where(F.col("nth") == n).drop("nth")
+        mine = mine.withColumn("held", F.lit(begin)) if states is None else mine.join(states, "doc_id")
+        requests = stored(mine.select("doc_id", "section_pos", "section_name", "content", "held").mapInPandas(asked, f"{kinds}, messages string, schema string"), "stage1-requests")
+        said = stored(ledger.ask(f"stage1-{n:04d}", requests, generate, ("doc_id", "section_pos", "section_name"), tokens, retries), "stage1-answers")
+        answered.append(said)
+        good = requests.select("doc_id", "section_pos", "section_name", "content", "held").join(said.where("ok").select("doc_id", "section_pos", "raw"), ["doc_id", "section_pos"])
+        states = stored(good.mapInPandas(after, "doc_id string, held string"), "stage1-states")
+    out = spark.createDataFrame([], ANSWERED)
+    for t in answered:
+        out = out.unionByName(t)
+    return out
 
 
 def stage2_requests(chunk: DataFrame, beliefs: DataFrame, rubric: DataFrame) -> DataFrame:
@@ -129,19 +152,24 @@ def roll_up(responses: DataFrame, chunk: DataFrame, rubric: DataFrame, doc_types
     return signals, subs, sections, overall
 
 
-def score(applications: DataFrame, rubric: DataFrame, generate: Generate, store: Store = checkpointed, evidence_cap: int | None = None, retries: int = 1) -> Scored:
-    """Applications (doc_id, raw) to scored results, by the given model."""
+def score(applications: DataFrame, rubric: DataFrame, generate: Generate, store: Store = checkpointed, evidence_cap: int | None = None, retries: int = 1, ledger: Ledger | None = None) -> Scored:
+    """Applications (doc_id, raw) to scored results, by the given model.
+
+    With a ledger in a folder that lasts, a run that was stopped anywhere asks again only for what it lacks.
+    """
+    ledger = ledger or Ledger(folder(applications.sparkSession, "ledger"))
     chunk = store(chunks.pool(applications), "chunks")
     types = store(applications.select(F.col("doc_id").cast("string").alias("doc_id"), F.lower(F.coalesce(F.get_json_object("raw", "$.doc_type"), F.lit(""))).alias("doc_type")), "doc_types")
-    inputs = retrieval.section_inputs(chunk)
+    inputs = store(retrieval.section_inputs(chunk), "section_inputs")
     view = R.stage1_view(rubric).orderBy("section_pos", "sub_pos", "signal_pos").select("sid", "sub_id", "sub_name", "section_name", "text").collect()  # a rubric's few hundred rows
     subs = list(dict.fromkeys(r["sub_id"] for r in view))
-    raw1 = store(stage1(inputs, json.dumps({"signals": [r.asDict() for r in view]}), subs, generate, retries=retries), "stage1_raw")
+    raw1 = store(lambda: stage1(inputs, json.dumps({"signals": [r.asDict() for r in view]}), subs, generate, ledger, retries=retries), "stage1_raw")
     sub_table = R.subs(rubric)
     valid = chunks.section_ids(chunk).withColumnRenamed("parser_section", "section_name")
     findings = store(belief.normalize(raw1.where("ok"), valid, sub_table.where("section_key <> 'application_form'")), "findings")
     state = store(belief.state(raw1.where("ok").select("doc_id", "section_pos", "section_name"), findings, sub_table), "belief_state")
-    raw2 = store(call(stage2_requests(chunk, belief.beliefs(findings), rubric), generate, ("doc_id", "section_key"), 80_000, retries), "stage2_raw")
+    asked = store(stage2_requests(chunk, belief.beliefs(findings), rubric), "stage2_requests")
+    raw2 = store(lambda: ledger.ask("stage2", asked, generate, ("doc_id", "section_key"), 80_000, retries), "stage2_raw")
     failed = raw1.where("not ok").select("doc_id", F.lit("stage1").alias("stage"), F.col("section_name").alias("part"), "raw", "attempts", "error").unionByName(raw2.where("not ok").select("doc_id", F.lit("stage2").alias("stage"), F.col("section_key").alias("part"), "raw", "attempts", "error"))
     good = raw2.join(failed.select("doc_id").distinct(), "doc_id", "left_anti")
     signals, sub, sections, overall = roll_up(good, chunk, rubric, types, evidence_cap)
@@ -149,16 +177,17 @@ def score(applications: DataFrame, rubric: DataFrame, generate: Generate, store:
     return Scored(chunk, raw1, findings, state, raw2, signals, sub, sections, overall, rollup.nested(overall, sections, sub), failed)
 
 
-def baseline(applications: DataFrame, rubric: DataFrame, generate: Generate, store: Store = checkpointed, evidence_cap: int | None = None, retries: int = 1) -> Scored:
+def baseline(applications: DataFrame, rubric: DataFrame, generate: Generate, store: Store = checkpointed, evidence_cap: int | None = None, retries: int = 1, ledger: Ledger | None = None) -> Scored:
     """The one-shot baseline: one request a document for all signals, then the same repair and roll-up as of the run.
 
     An answer holds sub-criteria at its top or by section; each section of the rubric takes its own from it.
     """
+    ledger = ledger or Ledger(folder(applications.sparkSession, "ledger"))
     chunk = store(chunks.pool(applications), "baseline_chunks")
     types = store(applications.select(F.col("doc_id").cast("string").alias("doc_id"), F.lower(F.coalesce(F.get_json_object("raw", "$.doc_type"), F.lit(""))).alias("doc_type")), "baseline_doc_types")
     view = R.stage1_view(rubric).orderBy("section_pos", "sub_pos", "signal_pos").select("sid", "sub_id", "sub_name", "section_name", "text").collect()  # a rubric's few hundred rows
-    asked = retrieval.baseline_messages(chunk, json.dumps({"signals": [r.asDict() for r in view]}))
-    raw = store(call(asked, generate, ("doc_id",), 80_000, retries), "baseline_raw")
+    asked = store(retrieval.baseline_messages(chunk, json.dumps({"signals": [r.asDict() for r in view]})), "baseline_requests")
+    raw = store(lambda: ledger.ask("baseline", asked, generate, ("doc_id",), 80_000, retries), "baseline_raw")
     failed = raw.where("not ok").select("doc_id", F.lit("baseline").alias("stage"), F.lit("").alias("part"), "raw", "attempts", "error")
     keys = sorted({r["section_key"] for r in R.subs(rubric).select("section_key").distinct().collect()})  # a rubric's few sections
     by_section = raw.where("ok").withColumn("section_key", F.explode(F.array(*map(F.lit, keys))))

@@ -1,10 +1,13 @@
 import json
+import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import belief, repair, retrieval, rollup, rubric
 from quillspark.plans import scoring
+from quillspark.sources.ledger import Ledger
 from quillspark.sources.scorers import FakeScorer, call, first_object
 
 
@@ -207,7 +210,7 @@ def test_requests_hold_the_state_and_the_schema(spark, rub, tmp_path):
         return json.dumps(first if user.startswith("Section: A") else {"findings": []})
 
     inputs = spark.createDataFrame([("d", 0, "A", '{"a__1": "x"}'), ("d", 1, "B", '{"b__1": "y"}')], "doc_id string, section_pos int, section_name string, content string")
-    raw = scoring.stage1(inputs, "{}", ["g.1", "pr.1"], generate).cache()
+    raw = scoring.stage1(inputs, "{}", ["g.1", "pr.1"], generate, Ledger(str(tmp_path / "ledger")))
     assert raw.count() == 2
     state = json.loads((asked / "B").read_text().split("State:\n")[1])
     assert state == {"processed_sections": ["A"], "processed_section_count": 1, "missing_signals": ["g.1"], "resolved_signals": ["pr.1"], "signal_implications": [{"sub_id": "pr.1", "implications": ["A: dear"]}]}
@@ -224,3 +227,53 @@ def test_requests_hold_the_state_and_the_schema(spark, rub, tmp_path):
         want.setdefault(r["section_key"], {}).setdefault(r["sub_id"], []).append(r["sid"])
     ids = [r["chunk_id"] for r in chunk.where("doc_id = 'd'").orderBy("chunk_pos").collect()]
     assert asks == {k: rubric.scoring_schema(list(x.items()), ids) for k, x in want.items()}
+
+
+class Counting:
+    """Answers, and leaves a file a call; stops for good after some calls."""
+
+    def __init__(self, folder, most=None):
+        self.folder, self.most = str(folder), most
+
+    def __call__(self, messages, schema, tokens):
+        import hashlib
+        import uuid
+
+        if self.most is not None and len(os.listdir(self.folder)) >= self.most:
+            raise SystemExit("killed")
+        open(f"{self.folder}/{hashlib.sha256(messages.encode()).hexdigest()[:16]}-{uuid.uuid4().hex}", "w").close()
+        return json.dumps({"findings": [finding("g.1", ["a__1"])]}) if "Section: S1" in messages else '{"findings": []}'
+
+
+def test_a_stopped_run_asks_only_for_what_it_lacks(spark, tmp_path):
+    """Killed in its second step, a run doesn't repeat the first; equal requests are asked once."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    rows = [(f"d{d}", i, f"S{i}", json.dumps({"a__1": f"text {d}"})) for d in range(6) for i in range(3)]
+    rows += [("twin", i, f"S{i}", json.dumps({"a__1": "text 0"})) for i in range(3)]
+    inputs = spark.createDataFrame(rows, "doc_id string, section_pos int, section_name string, content string")
+    ledger = Ledger(str(tmp_path / "ledger"), batch=3)
+    with pytest.raises(Exception):  # noqa: B017
+        scoring.stage1(inputs, "{}", ["g.1"], Counting(calls, 9), ledger).collect()
+    first = Counter(n[:16] for n in os.listdir(calls))
+    done = {r.request_id for r in spark.read.parquet(str(tmp_path / "ledger" / "step=stage1-0001")).collect()}
+    assert len(done) == 6  # of seven documents two are alike
+    got = scoring.stage1(inputs, "{}", ["g.1"], Counting(calls), ledger).collect()
+    assert len(got) == len(rows) and all(r.ok for r in got)
+    every = Counter(n[:16] for n in os.listdir(calls))
+    assert len(every) == 18 and sum(every.values()) <= 18 + ledger.batch  # one batch may be asked again
+    assert sum((every - first).values()) <= 18 - len(done)
+    before = sum(every.values())
+    again = scoring.stage1(inputs, "{}", ["g.1"], Counting(calls), ledger).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got)) and len(os.listdir(calls)) == before
+
+
+def test_failed_answers_are_asked_again(spark, tmp_path):
+    asked = spark.createDataFrame([("a", "[1]"), ("b", "[2]")], "doc_id string, messages string")
+    ledger = Ledger(str(tmp_path))
+    bad = {r.doc_id: r for r in ledger.ask("s", asked, FakeScorer((("2", "broken"),), '{"x": 1}'), ("doc_id",)).collect()}
+    assert bad["a"].ok and not bad["b"].ok and bad["b"].attempts == 2
+    good = {r.doc_id: r for r in ledger.ask("s", asked, FakeScorer((), '{"y": 2}'), ("doc_id",)).collect()}
+    assert (good["a"].raw, good["b"].raw) == ('{"x": 1}', '{"y": 2}') and all(r.ok for r in good.values())
+    other = Ledger(str(tmp_path), model="other").ask("s", asked, FakeScorer((), '{"z": 3}'), ("doc_id",)).collect()
+    assert {r.raw for r in other} == {'{"z": 3}'}
