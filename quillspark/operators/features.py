@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -73,10 +75,53 @@ def merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_pos", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
+# Abbreviations whose full stop belongs to them, in any case of their first letter.
+ABBREVIATIONS = (
+    "adm", "al", "approx", "bros", "ca", "cf", "co", "corp", "dept", "dr", "ed", "eds", "e.g", "eq", "est", "etc",
+    "fig", "figs", "gen", "gov", "i.e", "inc", "jr", "lt", "ltd", "messrs", "mr", "mrs", "ms", "mt", "no", "nos",
+    "p.m", "a.m", "ph.d", "pp", "prof", "ref", "refs", "rep", "rev", "sen", "sr", "st", "v.s", "viz", "vol", "vs",
+    "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec",
+)
+# Abbreviations that are words as well, or stand at the end of a sentence as often as within one.
+NO_STOP_AT_END = ("al", "co", "etc", "inc", "ltd", "no", "nos", "mar", "sen", "est", "ed", "a.m", "p.m", "ca", "ms", "gen", "rep")
+# Marks that end a sentence beside the full stop.
+ENDS = "!?։؟۔。！？｡"
+#: Stands for a full stop that ends nothing, and for a sentence's end.
+_HELD, _CUT = "\u0002", "\u0001"
+
+
+def abbreviations() -> tuple[str, str]:
+    """Patterns of those that never end a sentence, and of those that may."""
+    either = lambda some: "|".join(f"[{a[0]}{a[0].upper()}]{re.escape(a[1:])}" for a in sorted(some, key=lambda a: (-len(a), a)))
+    return either(set(ABBREVIATIONS) - set(NO_STOP_AT_END)), either(NO_STOP_AT_END)
+
+
+def _held_stops(c: Column) -> Column:
+    """Full stops of abbreviations and of single letters (initials, list marks, "U.S.") put aside."""
+    first, last = abbreviations()
+    before = r"(?<![\p{L}\p{N}.])"
+    c = F.regexp_replace(c, rf"{before}({first})\.", f"$1{_HELD}")
+    # these end a sentence too: held only where a figure or a small letter goes on
+    c = F.regexp_replace(c, rf"{before}({last})\.(?= [\p{{Ll}}\p{{N}}])", f"$1{_HELD}")
+    return F.regexp_replace(c, r"(?<![\p{L}\p{N}.])([\p{L}])\.(?!\.)", f"$1{_HELD}")
+
+
 def sentences(c: Column | str) -> Column:
-    """Sentences of a squeezed text, cut after ., ! or ? (with closing marks); a native stand-in for a rule sentencizer."""
-    marked = F.regexp_replace(squeeze(T.text_or_empty(c)), r"([.!?…。？！]+[\"'”’)\]]*)\s+", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.btrim(s)), lambda s: s != "")
+    """Sentences of a text, white space squeezed.
+
+    A token ends a sentence if it is one of ENDS at the end of a word, or a full stop: at the end of a word after a
+    small letter, a figure, a closing mark or two capitals; or between a small letter and a capital. Stops of
+    abbreviations, of initials, inside numbers and in rows of dots end nothing. The next sentence begins with the next
+    token that is no punctuation, so quotes and brackets that follow stay with the one before. Null gives none.
+    """
+    text = _held_stops(squeeze(T.text_or_empty(c)))
+    last = r"(?=\p{P}*(?: |$))"
+    stop = rf"(?<!\.)\.(?!\.)(?:(?<=[\p{{Ll}}\p{{Lo}}\p{{N}}\p{{Pe}}\p{{Pf}}\p{{M}}%²°\"'”’\u0002]\.)|(?<=\p{{Lu}}\p{{Lu}}\.)){last}"
+    between = r"(?<=[\p{Ll}\"'”’])\.(?=[\p{Lu}“‘])"
+    after = r"(?:[\p{P}&&[^-]]|-(?![\p{L}\p{N}])| )*"
+    marked = F.regexp_replace(text, rf"((?:{stop}|{between}|[{ENDS}]{last}){after})", f"$1{_CUT}")
+    parts = F.transform(F.split(marked, _CUT), lambda s: F.translate(F.btrim(s), _HELD, "."))
+    return F.filter(parts, lambda s: s != "")
 
 
 def sentence_metrics(rows: DataFrame) -> DataFrame:

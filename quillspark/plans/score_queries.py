@@ -314,8 +314,16 @@ def dependency_depth(t: Tables) -> DataFrame:
     return out.select("doc_id", F.col("max_dependency_depth").alias("max_depth"), F.col("avg_dependency_depth").alias("avg_depth"))
 
 
-@query(r"""
-WITH s AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), '\x01'), lambda x: x <> '') AS x FROM conversations),
+# single letters and abbreviations that may end a sentence keep their full stops: as there are no lookarounds, in two passes
+_MAY_END = rf"'(^|[^\p{{L}}\p{{N}}.])({features.abbreviations()[1]})\.( [\p{{Ll}}\p{{N}}])', '\1\2' || chr(2) || '\3', 'g'"
+_ONE_LETTER = r"'(^|[^\p{L}\p{N}.])(\p{L})\.([^.]|$)', '\1\2' || chr(2) || '\3', 'g'"
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '(^|[^\p{{L}}\p{{N}}.])({features.abbreviations()[0]})\.', '\1\2' || chr(2), 'g') AS x FROM conversations),
+u AS (SELECT conv_id, turn, regexp_replace(regexp_replace(x, {_MAY_END}), {_MAY_END}) AS x FROM t),
+v AS (SELECT conv_id, turn, regexp_replace(regexp_replace(x, {_ONE_LETTER}), {_ONE_LETTER}) AS x FROM u),
+s AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(x, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS x FROM v),
 n AS (SELECT conv_id, turn, list_transform(x, lambda y: len(string_split(y, ' '))) AS n FROM s)
 SELECT conv_id * 1000 + turn AS doc_id, CAST(len(n) AS BIGINT) AS total_sentences, CAST(printf('%.2f', CASE WHEN len(n) > 0 THEN list_sum(n) / CAST(len(n) AS DOUBLE) ELSE 0.0 END) AS DOUBLE) AS avg_sentence_length,
   CAST(printf('%.4f', CASE WHEN len(n) > 0 THEN len(list_filter(n, lambda x: x >= 30)) / CAST(len(n) AS DOUBLE) ELSE 0.0 END) AS DOUBLE) AS long_sentence_ratio FROM n

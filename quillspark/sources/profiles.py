@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..cluster import ship
 from ..functions import text as T
@@ -75,23 +79,73 @@ def _outcome(status: int) -> str:
     return "ok" if status == 200 else "unavailable" if status in AGAIN else "missing"
 
 
-def _spread(rows: DataFrame, parallel: int | None) -> DataFrame:
-    """Tasks as the rows ask for, or as many as a service can bear."""
-    return rows if parallel is None else rows.repartition(parallel)
+class Pace:
+    """Lets calls of all threads through one by one, rate a second at most; without a rate, at once."""
 
+    def __init__(self, rate: float | None):
+        self.gap, self.free_at, self.lock = 1 / rate if rate else 0.0, 0.0, threading.Lock()
 
-def cited_by(dois: DataFrame, url: str, get: Get = http_get, parallel: int | None = None, retries: int = 2, backoff: float = 0.4) -> DataFrame:
+    def wait(self) -> None:
+        if self.gap:
+            with self.lock:
+                at = max(time.monotonic(), self.free_at)
+                self.free_at = at + self.gap
+            time.sleep(max(0.0, at - time.monotonic()))
+
+
+@dataclass(frozen=True)
+class Ask:
+    """How a service is asked: in_flight calls at once a task, rate calls a second by all tasks together, and again where it says "later".
+
+    parallel is the number of tasks; with a rate, by default as many as the cluster has cores. Each task keeps to its
+    part of the rate, retries included, so the whole is kept however many tasks run at once.
+    """
+
+    get: Get = http_get
+    in_flight: int = 8
+    rate: float | None = None
+    parallel: int | None = None
+    retries: int = 2
+    backoff: float = 0.4
+
+    def tasks(self, spark: SparkSession) -> int | None:
+        return self.parallel or (spark.sparkContext.defaultParallelism if self.rate else None)
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        n = self.tasks(rows.sparkSession)
+        return rows if n is None else rows.repartition(n)
+
+    def answers(self, urls: Iterable[str], tasks: int | None) -> Iterator[tuple[int, str]]:
+        """(status, body) of each URL, in their order; no more than 2 * in_flight are held."""
+        pace = Pace(self.rate / (tasks or 1) if self.rate else None)
+
+        def paced(url: str) -> tuple[int, str]:
+            pace.wait()
+            return self.get(url)
+
+        with ThreadPoolExecutor(max(1, self.in_flight)) as pool:
+            waiting: deque[Future] = deque()
+            for url in urls:
+                if len(waiting) >= 2 * max(1, self.in_flight):
+                    yield waiting.popleft().result()
+                waiting.append(pool.submit(_asked, url, paced, self.retries, self.backoff))
+            while waiting:
+                yield waiting.popleft().result()
+
+
+def cited_by(dois: DataFrame, url: str, ask: Ask = Ask()) -> DataFrame:  # noqa: B008
     """(doi, cited_by, status) of distinct DOIs: ok, missing (the service doesn't know it) or unavailable (it didn't answer); cited_by is null but for ok.
 
-    parallel: how many tasks may ask at once; by default as many as the plan has. Write the result before using it twice.
+    Write the result before using it twice.
     """
     ship(dois.sparkSession)
+    tasks = ask.tasks(dois.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doi in pdf["doi"]:
-                status, body = _asked(f"{url}/https://doi.org/{doi}", get, retries, backoff)
+            said = ask.answers((f"{url}/https://doi.org/{doi}" for doi in pdf["doi"]), tasks)
+            for doi, (status, body) in zip(pdf["doi"], said, strict=True):
                 found, n = _outcome(status), None
                 if found == "ok":
                     try:
@@ -102,31 +156,31 @@ def cited_by(dois: DataFrame, url: str, get: Get = http_get, parallel: int | Non
             yield pd.DataFrame(out, columns=["doi", "cited_by", "status"]).astype({"cited_by": "Int64"})
 
     wanted = dois.select(T.normalize_doi("doi").alias("doi")).where("doi <> ''").distinct()
-    return _spread(wanted, parallel).mapInPandas(run, "doi string, cited_by long, status string")
+    return ask.spread(wanted).mapInPandas(run, "doi string, cited_by long, status string")
 
 
 #: What a registry of researchers is asked for.
 RECORDS = ("person", "works", "fundings")
 
 
-def fetch(ids: DataFrame, url: str, get: Get = http_get, records: tuple[str, ...] = RECORDS, parallel: int | None = None, retries: int = 2, backoff: float = 0.4) -> DataFrame:
+def fetch(ids: DataFrame, url: str, ask: Ask = Ask(), records: tuple[str, ...] = RECORDS) -> DataFrame:  # noqa: B008
     """(orcid, record, raw, status): the answers for distinct researchers (orcid), to be read by persons(), works() and fundings().
 
     raw is null but for ok. Write the result before using it twice.
     """
     ship(ids.sparkSession)
+    tasks = ask.tasks(ids.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for orcid, record in zip(pdf["orcid"], pdf["record"], strict=True):
-                status, body = _asked(f"{url}/{orcid}/{record}", get, retries, backoff)
-                out.append((orcid, record, body if status == 200 else None, _outcome(status)))
+            asked = list(zip(pdf["orcid"], pdf["record"], strict=True))
+            said = ask.answers((f"{url}/{orcid}/{record}" for orcid, record in asked), tasks)
+            out = [(*key, body if status == 200 else None, _outcome(status)) for key, (status, body) in zip(asked, said, strict=True)]
             yield pd.DataFrame(out, columns=["orcid", "record", "raw", "status"])
 
     wanted = ids.select(F.btrim("orcid").alias("orcid")).where("orcid <> ''").distinct()
     wanted = wanted.select("orcid", F.explode(F.array(*map(F.lit, records))).alias("record"))
-    return _spread(wanted, parallel).mapInPandas(run, "orcid string, record string, raw string, status string")
+    return ask.spread(wanted).mapInPandas(run, "orcid string, record string, raw string, status string")
 
 
 def record(fetched: DataFrame, name: str) -> DataFrame:

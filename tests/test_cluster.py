@@ -27,7 +27,7 @@ print("chunks", chunks.pool(apps).count())
 print("scored", scoring.score(apps, rubric.load(spark), FakeScorer(())).overall.count())
 files = spark.createDataFrame([("f", bytearray(b"x"))], "stem string, content binary")
 print("pages", pages.decode(files).first()["error"] is not None)
-print("asked", profiles.cited_by(spark.createDataFrame([("10.1/a",)], "doi string"), "http://127.0.0.1:9", retries=0).first()["status"])
+print("asked", profiles.cited_by(spark.createDataFrame([("10.1/a",)], "doi string"), "http://127.0.0.1:9", profiles.Ask(retries=0)).first()["status"])
 """
 
 

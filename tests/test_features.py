@@ -215,3 +215,35 @@ def test_medians_by_ranges(spark):
     assert [r.v_median for r in few] == [r.v_median for r in many] and [r.v_count for r in few] == [r.v_count for r in many]
     few, many = (evaluate.column_summary(df, ["g", "v"], held).orderBy("metric").collect() for held in (10_000, 10))
     assert [(r.metric, r.median, r["max"]) for r in few] == [(r.metric, r.median, r["max"]) for r in many]
+
+
+SENTENCES = [
+    ("One two. Three four! Five? Six", ["One two.", "Three four!", "Five?", "Six"]),
+    ("Dr. Smith met Prof. Jones, e.g. on Fig. 3. They spoke.", ["Dr. Smith met Prof. Jones, e.g. on Fig. 3.", "They spoke."]),
+    ("It cost 3.5 million. In 2020. Then 5%. Done.", ["It cost 3.5 million.", "In 2020.", "Then 5%.", "Done."]),
+    ("J. R. Brown of the U.S. Army came.", ["J. R. Brown of the U.S. Army came."]),
+    ("The NHS. It works.", ["The NHS.", "It works."]),
+    ('He left. "Go now." She went (at last). Why?', ['He left. "', 'Go now."', "She went (at last).", "Why?"]),
+    ("Wait... what? Yes.", ["Wait... what?", "Yes."]),
+    ("end.Next one", ["end.", "Next one"]),
+    ("see www.host.org now. Next", ["see www.host.org now.", "Next"]),
+    ("Apples, pears, etc. are here. Apples etc. Then more.", ["Apples, pears, etc. are here.", "Apples etc.", "Then more."]),
+    ("Really?! Yes!!! No", ["Really?!", "Yes!!!", "No"]),
+    ("Smith et al. 2020 showed it. Number no. 5 is no. It is.", ["Smith et al. 2020 showed it.", "Number no. 5 is no.", "It is."]),
+    ("A list: a. first b. second. End", ["A list: a. first b. second.", "End"]),
+    ("Line one.\n\nLine two.\tTabbed", ["Line one.", "Line two.", "Tabbed"]),
+    ("日本語。次の文。 終", ["日本語。次の文。", "終"]),
+    ("Étude finie. Élan", ["Étude finie.", "Élan"]),
+    ("At 5 p.m. we met. It was 5 p.m. We left.", ["At 5 p.m. we met.", "It was 5 p.m.", "We left."]),
+    ("Hm - yes. - No. -5 degrees", ["Hm - yes. -", "No.", "-5 degrees"]),
+    ("", []),
+    (None, []),
+    (" . ", ["."]),
+    ("no end", ["no end"]),
+]
+
+
+def test_sentences_by_rules(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SENTENCES)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", features.sentences("t").alias("s")).collect()}
+    assert [(SENTENCES[i][0], got[i]) for i in sorted(got)] == SENTENCES

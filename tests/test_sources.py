@@ -72,7 +72,7 @@ def test_citation_lookup_retries(spark):
         return (200, '{"cited_by_count": 5}') if url.endswith("10.1/a") else (404, "") if url.endswith("10.1/b") else (503, "")
 
     df = spark.createDataFrame([("https://doi.org/10.1/A",), ("10.1/a",), ("10.1/b",), ("10.1/c",), ("",)], "doi string")
-    assert sorted(tuple(r) for r in profiles.cited_by(df, "http://x", get, 2, 1, 0.0).collect()) == [("10.1/a", 5, "ok"), ("10.1/b", None, "missing"), ("10.1/c", None, "unavailable")]
+    assert sorted(tuple(r) for r in profiles.cited_by(df, "http://x", profiles.Ask(get, parallel=2, retries=1, backoff=0.0)).collect()) == [("10.1/a", 5, "ok"), ("10.1/b", None, "missing"), ("10.1/c", None, "unavailable")]
 
 
 def test_profiles_are_fetched(spark):
@@ -80,7 +80,7 @@ def test_profiles_are_fetched(spark):
         return (404, "") if "/gone/" in url else (200, json.dumps({"group": []})) if url.endswith("works") else (500, "")
 
     ids = spark.createDataFrame([("a ",), ("a",), ("gone",), ("",), (None,)], "orcid string")
-    got = profiles.fetch(ids, "http://x", get, ("works", "person"), retries=1, backoff=0.0).cache()
+    got = profiles.fetch(ids, "http://x", profiles.Ask(get, retries=1, backoff=0.0), ("works", "person")).cache()
     assert {(r["orcid"], r["record"], r["status"]) for r in got.collect()} == {("a", "works", "ok"), ("a", "person", "unavailable"), ("gone", "works", "missing"), ("gone", "person", "missing")}
     assert [r["orcid"] for r in profiles.record(got, "works").collect()] == ["a"]
 
@@ -123,3 +123,51 @@ def test_sheets_are_written_read_and_appended(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{m}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2"><v>7</v></c></row></sheetData></worksheet>')
     t = files.read_sheet(spark, str(shared))
     assert t.columns == ["k", "column1", "vw"] and [tuple(r) for r in t.collect()] == [("7", None, None)]
+
+
+def test_calls_overlap_in_order_and_keep_the_rate():
+    import threading
+    import time
+
+    now, most, starts, lock = [0], [0], [], threading.Lock()
+
+    def get(url):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            starts.append(time.monotonic())
+        time.sleep(0.05 + 0.03 * (int(url) % 3))  # later ones may be done sooner
+        with lock:
+            now[0] -= 1
+        return 200, url
+
+    urls = [str(i) for i in range(64)]
+    began = time.monotonic()
+    assert [b for _, b in profiles.Ask(get, in_flight=8).answers(iter(urls), None)] == urls
+    assert time.monotonic() - began < 64 * 0.05 / 3 and 4 <= most[0] <= 8
+    starts.clear()
+    began = time.monotonic()
+    list(profiles.Ask(get, in_flight=8, rate=80).answers(iter(urls[:40]), 2))  # this task's part is 40 a second
+    assert time.monotonic() - began >= 39 / 40
+    assert all(starts[i + 10] - starts[i] >= 0.2 for i in range(0, 30))  # ten calls take a quarter of a second
+    one = profiles.Ask(get, in_flight=1)
+    most[0] = 0
+    assert [b for _, b in one.answers(iter(urls[:5]), None)] == urls[:5] and most[0] == 1
+
+
+def test_look_up_overlaps_in_tasks(spark):
+    import time
+
+    def slow(url):
+        time.sleep(0.05)
+        return 200, json.dumps({"cited_by_count": len(url)})
+
+    df = spark.createDataFrame([(f"10.1/{i:03d}",) for i in range(160)], "doi string")
+    took = {}
+    for n in (1, 16):
+        began = time.monotonic()
+        got = profiles.cited_by(df, "http://x", profiles.Ask(slow, in_flight=n, parallel=1)).collect()
+        took[n] = time.monotonic() - began
+        assert len(got) == 160 and {r["status"] for r in got} == {"ok"}
+    assert took[1] > 8 and took[16] < took[1] / 3
+    assert profiles.Ask(rate=5).tasks(spark) == spark.sparkContext.defaultParallelism
