@@ -18,6 +18,16 @@ def group_moments(t: Tables) -> DataFrame:
     return o.select("event_type", F.col("value_count").alias("n"), *[dec(F.col(f"value_{k}")).alias(n) for k, n in (("mean", "mean"), ("std", "std"), ("min", "low"), ("max", "high"), ("median", "median"))])
 
 
+@query("""
+SELECT metric, CAST(avg(v) AS DECIMAL(18,4))::DOUBLE AS mean, max(v) AS high
+FROM (SELECT 'quantity_score_100' AS metric, l_quantity::DOUBLE AS v FROM lineitem UNION ALL SELECT 'tax_score_100', l_tax::DOUBLE FROM lineitem) GROUP BY metric
+""")
+def score_summary(t: Tables) -> DataFrame:
+    """The columns of a wide table that are scores, picked by their names, and summed up."""
+    wide = t.lineitem.select(F.col("l_quantity").alias("quantity_score_100"), "l_orderkey", F.col("l_tax").alias("tax_score_100"), F.col("l_discount").alias("score_100_discount"))
+    return E.column_summary(wide, E.score_columns(wide)).select("metric", F.col("mean").cast("decimal(18,4)").cast("double").alias("mean"), F.col("max").alias("high"))
+
+
 @query("""
 SELECT l_returnflag, CAST(quantile_cont(l_extendedprice, 0.5) AS DECIMAL(18,6))::DOUBLE AS price, CAST(quantile_cont(l_quantity, 0.5) AS DECIMAL(18,6))::DOUBLE AS quantity, count(l_tax) AS n FROM lineitem GROUP BY 1
 """)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..functions import text as T
 from ..functions.columns import py_round
 from ..operators import chunks, lines, retrieval
+from ..sources.ledger import request_id
 from .registry import F, Tables, dec, long, query
 
 # SQL for the words of readability: runs of letters A-Z joined by ' or -, no part of another word.
@@ -220,6 +221,31 @@ def chunk_ids(t: Tables) -> DataFrame:
     return chunks.identify(e, 300).select("doc_id", "chunk_pos", "chunk_id", "parser_section", F.md5("text").alias("digest"))
 
 
+@query("""
+SELECT CAST(conv_id AS VARCHAR) AS doc_id, role AS parser_section, string_agg('t_' || turn, ' ' ORDER BY turn) AS chunk_ids FROM conversations GROUP BY 1, 2
+""")
+def section_chunk_ids(t: Tables) -> DataFrame:
+    """The index of a document's sections, chunks in order."""
+    return chunks.section_ids(_turns(t)).select(F.col("doc_id").cast("string").alias("doc_id"), "parser_section", F.array_join("chunk_ids", " ").alias("chunk_ids"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN event_type ELSE NULL END AS value FROM events
+""")
+def unwrapped_values(t: Tables) -> DataFrame:
+    """Values that stand alone, are wrapped in an object, or are missing from it."""
+    raw = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.col("event_type").alias("value")))).otherwise(F.col("props"))
+    return t.events.select("event_id", T.json_value(raw).alias("value"))
+
+
+@query("""
+SELECT conv_id, turn, sha256('m' || chr(1) || coalesce(text, '') || chr(1) || '{}' || chr(1) || turn) AS request_id FROM conversations
+""")
+def request_ids(t: Tables) -> DataFrame:
+    """The hash under which the ledger keeps a model's answer."""
+    return t.conversations.select("conv_id", "turn", request_id(T.text_or_empty("text"), F.lit("{}"), F.col("turn"), "m").alias("request_id"))
+
+
 @query("""
 SELECT CAST(conv_id AS VARCHAR) AS doc_id, md5(string_agg(role || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id
 """)
