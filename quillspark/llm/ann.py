@@ -189,7 +189,7 @@ def search(df: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id", v
     first = F.sum(F.ceil(F.col("n") / BLOCK)).over(Window.orderBy("d")) - F.ceil(F.col("n") / BLOCK)
     blocks = stored(sizes.select("d", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"), first.cast("int").alias("first")), "blocks")
     rows = rows.join(blocks, "d")
-    data = rows.select((F.col("first") + F.pmod(F.xxhash64("id", F.lit("block")), F.col("n_blocks"))).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "v")
+    data = rows.select((F.col("first") + F.pmod(F.xxhash64("id", "v", F.lit("block")), F.col("n_blocks"))).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "v")
     asked = rows.where(is_query).groupBy("id").agg(F.min(F.struct("d", "v", "first", "n_blocks")).alias("q")).select("id", "q.*")
     asked = asked.select(F.explode(F.sequence("first", F.col("first") + F.col("n_blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "id", "v")
     n = max(1, min(int(r["blocks"] or 1), MOST_TASKS))

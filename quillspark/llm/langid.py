@@ -3,14 +3,14 @@
 Filters of several widths run over the bytes; max pooling over a window of WINDOW
 positions and a softmax layer give a distribution over the learned languages. The
 network is trained in numpy on the driver, on a bounded sample: PER_LANG labelled
-documents of a language and SAMPLE in all, in expectation, chosen by a hash, of
-each TAKE windows. No language is left out; where there are more than SAMPLE /
+documents of a language, on average, and SAMPLE in all at most, chosen by a hash, of
+each TAKE windows. Up to SAMPLE languages none is left out; where there are more than SAMPLE /
 PER_LANG, each has fewer documents. Prediction covers every window of a whole text,
 however long; a window counts by the bytes of text in it.
 
 Null text, and text without a letter, gives ``und`` with score 0. Without
 labelled rows, and on an empty table, every text does. A null id has no remainder:
-it isn't held out. Repeated rows and ids each give a row; extra columns, of any
+it isn't held out, so such rows are learned from. Repeated rows and ids each give a row; extra columns, of any
 name, are not read.
 """
 
@@ -142,18 +142,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_lang: int = PER_LANG, sample: int = SAMPLE) -> Net | None:
-    """Learn from docs, a bounded sample of them; None if no row has a label and a letter."""
+    """Learn from docs, a sample of them of per_lang a language and sample in all at most; None if no row has a label and a letter.
+
+    Rows draw by id and text, so rows of one id, or without one, are not drawn together; equal rows are. Of more than
+    sample languages some are left out.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("y")).where("y is not null and t is not null")
     counts = stored(rows.groupBy("y").agg(F.count("*").alias("n")), "languages")  # written, so that the planner knows its size
     n_langs = counts.count()
     if not n_langs:
         return None
-    draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("id", "t", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     places = [F.substring("t", F.greatest(F.lit(1), F.floor((F.length("t") - WINDOW) * (k / max(1, TAKE - 1)))).cast("int"), WINDOW + PAD) for k in range(TAKE)]
     share = counts.select(F.col("y").alias("_y"), (min(per_lang, sample / n_langs) / F.col("n")).alias("share"))
-    near = rows.join(share, rows["y"] == share["_y"]).where(F.col("share") > draw)
-    got = near.where(F.col("t").rlike(r"\p{L}")).select("id", "y", F.array(*places).alias("parts")).collect()
+    near = rows.join(share, rows["y"] == share["_y"]).where(F.col("share") > draw).where(F.col("t").rlike(r"\p{L}"))
+    # a share is met on average only: of what is drawn beyond the sample, the last of each language go
+    got = near.select("id", "y", F.array(*places).alias("parts"), (draw / F.col("share")).alias("place")).orderBy("place").limit(sample).collect()
     got.sort(key=lambda r: (r["id"] is None, r["id"] or 0, r["y"], r["parts"]))
     if not got:
         return None
