@@ -22,12 +22,15 @@ def _moments(c: str) -> dict[str, Column]:
     return {"count": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "var": F.var_samp(c), "min": F.min(c), "max": F.max(c)}
 
 
-def medians(rows: DataFrame, held: int = HELD) -> DataFrame:
+def medians(rows: DataFrame, held: int = HELD, ends: DataFrame | None = None) -> DataFrame:
     """(g, median) of rows (g, v), exact; no task holds more than held values of a group.
 
     A group's middle lies between two of its values, with known counts up to the lower one and strictly between them.
     Where too many lie between, a sketch of these gives two that are nearer, and one pass counts again: a round leaves
     about three of PARTS. A value that fills the middle becomes a bound itself, so ties end the search.
+
+    Bounds are written before rows meet them, so the planner knows that they are few and sends them to the rows; else
+    it would send all rows of a group to one task. ends: (g, n, low, high), if they are written already.
     """
     rows = rows.where("v is not null")
 
@@ -39,7 +42,8 @@ def medians(rows: DataFrame, held: int = HELD) -> DataFrame:
         keys = ("g", "n", "k", "l", "low", "high")
         return within(bounds).groupBy(*keys).agg(F.count_if(F.col("v") <= F.col("low")).alias("upto"), F.count_if(between).alias("between"))
 
-    ends = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    if ends is None:
+        ends = stored(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "median-ends")
     known = stored(counted(ends.select("g", "n", F.expr("(n - 1) div 2").alias("k"), F.expr("n div 2").alias("l"), "low", "high")), "median-bounds")
     inside = (F.col("l") >= F.col("upto")) & (F.col("k") < F.col("upto") + F.col("between"))
     wide = inside & (F.col("between") > max(held, 1))  # of one value neither bound could come nearer
@@ -50,9 +54,9 @@ def medians(rows: DataFrame, held: int = HELD) -> DataFrame:
         part = lambda rank: F.floor((F.col(rank) - F.col("upto")) * PARTS / F.col("between")).cast("int")
         low = F.when(part("k") > 0, F.get("marks", F.greatest(part("k") - 1, F.lit(0)))).otherwise(F.col("low"))
         high = F.when(part("l") < PARTS - 1, F.get("marks", F.least(part("l") + 2, F.lit(PARTS)))).otherwise(F.col("high"))
-        nearer = marks.select("g", "n", "k", "l", low.alias("low"), high.alias("high"))
+        nearer = stored(marks.select("g", "n", "k", "l", low.alias("low"), high.alias("high")), "median-nearer")
         known = stored(known.where(~wide).unionByName(counted(nearer)), "median-bounds")
-    listed = within(known.where(inside)).where(middle).groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    listed = stored(within(known.where(inside)).where(middle).groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("values")), "median-values")
     rest = known.join(listed.withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of")), "left")
     at = lambda rank: F.when(F.col(rank) < F.col("upto"), F.col("low")).when(F.col(rank) >= F.col("upto") + F.col("between"), F.col("high")).otherwise(F.get("values", (F.col(rank) - F.col("upto")).cast("int")))
     return rest.select("g", F.when(F.col("k") == F.col("l"), at("k")).otherwise(0.5 * at("k") + 0.5 * at("l")).alias("median"))
@@ -62,8 +66,9 @@ def _summaries(long: DataFrame, held: int) -> DataFrame:
     """(g, and the moments) of rows (g, v): one pass, and medians by ranges if a group is larger than held."""
     if not (long.groupBy("g").count().agg(F.max("count")).first()[0] or 0) > held:
         return long.groupBy("g").agg(*[e.alias(k) for k, e in _moments("v").items()], F.percentile("v", 0.5).alias("median"))
-    rest = long.groupBy("g").agg(*[e.alias(k) for k, e in _moments("v").items()])
-    return rest.join(medians(long, held).withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of")), "left").drop("of")
+    rest = stored(long.groupBy("g").agg(*[e.alias(k) for k, e in _moments("v").items()]), "moments")
+    ends = rest.where("count > 0").select("g", F.col("count").alias("n"), F.col("min").alias("low"), F.col("max").alias("high"))
+    return rest.join(medians(long, held, ends).withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def column_summary(df: DataFrame, columns: Sequence[str], held: int = HELD) -> DataFrame:

@@ -217,6 +217,25 @@ def test_medians_by_ranges(spark):
     assert [(r.metric, r.median, r["max"]) for r in few] == [(r.metric, r.median, r["max"]) for r in many]
 
 
+def test_medians_send_bounds_to_rows(spark, monkeypatch):
+    plans, write = [], evaluate.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(evaluate, "stored", seen)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50k")
+    try:
+        rows = spark.createDataFrame([(i % 2, float(i % 997)) for i in range(20_000)], "g int, v double")
+        got = {r.g: r.v_median for r in evaluate.group_summary(rows, "g", ["v"], held=50).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == {g: statistics.median([float(i % 997) for i in range(g, 20_000, 2)]) for g in (0, 1)}
+    assert len(plans) > 2 and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+
+
 SENTENCES = [
     ("One two. Three four! Five? Six", ["One two.", "Three four!", "Five?", "Six"]),
     ("Dr. Smith met Prof. Jones, e.g. on Fig. 3. They spoke.", ["Dr. Smith met Prof. Jones, e.g. on Fig. 3.", "They spoke."]),
