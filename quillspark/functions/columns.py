@@ -43,10 +43,14 @@ def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
 def py_round(x: Column, digits: int) -> Column:
     """Round the exact binary value half to even, as Python does, for |x| * 10**digits below 2**52.
 
-    The product's rounding error is recovered by splitting x, so that ties are seen exactly.
+    The product's rounding error is recovered by splitting x, so that ties are seen exactly. That names x some twenty
+    times, so it is bound first.
     """
+    return let(x.cast("double"), lambda v: _rounded(v, digits))
+
+
+def _rounded(x: Column, digits: int) -> Column:
     scale = F.lit(float(10**digits))
-    x = x.cast("double")
     product = x * scale
     wide = x * F.lit(134217729.0)
     high = wide - (wide - x)

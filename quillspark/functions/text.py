@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -105,12 +105,15 @@ def overlap_words(c: Column | str) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct words, not rounded; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(ratio(both, F.size(a) + F.size(b) - both))
+    def share(n: Column) -> Column:
+        a, b, both = n["a"], n["b"], n["both"]
+        return F.when((a == 0) | (b == 0), 0.0).otherwise(ratio(both, a + b - both))
+
+    return let(F.struct(F.size(a).alias("a"), F.size(b).alias("b"), F.size(F.array_intersect(a, b)).alias("both")), share)
 
 
 def jaccard_similarity(a: Column, b: Column) -> Column:
-    return py_round(jaccard(overlap_words(a), overlap_words(b)), 3)
+    return py_round(let(F.struct(overlap_words(a).alias("a"), overlap_words(b).alias("b")), lambda w: jaccard(w["a"], w["b"])), 3)
 
 
 def read_sentences(c: Column | str) -> Column:
@@ -123,7 +126,7 @@ def read_words(c: Column | str) -> Column:
 
 def syllables(word: Column) -> Column:
     bare = F.regexp_replace(F.lower(F.coalesce(word, F.lit(""))), "[^a-z]", "")
-    return F.when(bare == "", 0).otherwise(F.greatest(F.lit(1), F.regexp_count(F.regexp_replace(bare, "e$", ""), F.lit("[aeiouy]+"))))
+    return let(bare, lambda w: F.when(w == "", 0).otherwise(F.greatest(F.lit(1), F.regexp_count(F.regexp_replace(w, "e$", ""), F.lit("[aeiouy]+")))))
 
 
 def syllable_sum(words: Column) -> Column:
@@ -132,15 +135,19 @@ def syllable_sum(words: Column) -> Column:
     return let(text, lambda t: F.regexp_count(t, F.lit("[aeiouy]+")) + F.size(words) - F.regexp_count(t, F.lit("[^aeiouy ]*[aeiouy][^ ]*")))
 
 
+def _of_counts(sentences: Column, words: Column, syllable_count: Column, use: Callable[[Column, Column, Column], Column]) -> Column:
+    """use(the counts), each counted once; 0 without sentences or words."""
+    held = F.struct(sentences.alias("s"), words.alias("w"), syllable_count.alias("y"))
+    return let(held, lambda n: F.when((n["s"] > 0) & (n["w"] > 0), use(n["s"], n["w"], n["y"])).otherwise(0.0))
+
+
 def flesch_kincaid(sentences: Column, words: Column, syllable_count: Column) -> Column:
     """Grade from counts, not rounded; 0 without sentences or words."""
-    grade = 0.39 * (words / sentences) + 11.8 * (syllable_count / words) - 15.59
-    return F.when((sentences > 0) & (words > 0), grade).otherwise(0.0)
+    return _of_counts(sentences, words, syllable_count, lambda s, w, y: 0.39 * (w / s) + 11.8 * (y / w) - 15.59)
 
 
 def reading_ease(sentences: Column, words: Column, syllable_count: Column) -> Column:
-    ease = 206.835 - 1.015 * (words / sentences) - 84.6 * (syllable_count / words)
-    return F.when((sentences > 0) & (words > 0), ease).otherwise(0.0)
+    return _of_counts(sentences, words, syllable_count, lambda s, w, y: 206.835 - 1.015 * (w / s) - 84.6 * (y / w))
 
 
 def flesch_kincaid_grade(c: Column | str) -> Column:

@@ -133,7 +133,8 @@ def sentence_metrics(rows: DataFrame) -> DataFrame:
 
 def plain_english(rows: DataFrame) -> DataFrame:
     """(doc_id, flesch_kincaid_grade, jargon_count, jargon_density, is_grade_level_ok): difficult words are those of three syllables or more, once each."""
-    difficult = F.array_distinct(F.filter(F.transform(T.read_words("text"), F.lower), lambda w: T.syllables(w) >= 3))
+    # each word once; three groups of vowels take five letters
+    difficult = F.filter(F.array_distinct(F.transform(T.read_words("text"), F.lower)), lambda w: (F.length(w) >= 5) & (T.syllables(w) >= 3))
     words = F.size(F.filter(F.split(squeeze("text"), " "), lambda w: w != ""))
     out = rows.select("doc_id", T.flesch_kincaid_grade("text").alias("flesch_kincaid_grade"), F.size(difficult).alias("jargon_count"), words.alias("n"))
     return out.select("doc_id", "flesch_kincaid_grade", "jargon_count", py_round(ratio(F.col("jargon_count"), F.col("n")) * 100, 2).alias("jargon_density"), F.col("flesch_kincaid_grade").between(9, 12).alias("is_grade_level_ok"))

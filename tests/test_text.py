@@ -117,3 +117,12 @@ def test_keywords_count_alike_together_and_alone(spark):
     df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string")
     got = df.select(T.keyword_count("t", keys).alias("n"), *[T.keyword_count("t", [k]).alias(f"k{i}") for i, k in enumerate(keys)]).collect()
     assert all(r["n"] == sum(r[f"k{i}"] for i in range(len(keys))) for r in got) and sum(r["n"] for r in got) > 100
+
+
+def test_values_are_named_once(spark):
+    """A rounded figure names its text no more than a few times, wherever the planner moves it: each name is an evaluation."""
+    df = spark.range(1).select(F.concat(F.lit("probe "), F.col("id").cast("string")).alias("t"))
+    named = lambda c: df.select(c.alias("x")).where("x >= 0")._jdf.queryExecution().optimizedPlan().toString().count("probe")
+    assert named(py_round(F.sqrt(F.length("t")), 2)) <= 2
+    for c in (T.flesch_kincaid_grade("t"), T.flesch_reading_ease("t"), T.jaccard_similarity(F.col("t"), F.lit("a probe"))):
+        assert named(c) <= 6
