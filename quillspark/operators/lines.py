@@ -87,9 +87,23 @@ def wide_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.where(F.col("fill") & (F.col("width") >= BOX_WIDTH * F.col("page_width")))
 
 
+def covered(boxes: DataFrame) -> DataFrame:
+    """(doc_id, page, top, bottom): the stretches of a page that boxes cover, apart from each other; a box whose top lies under its bottom stays as it is."""
+    rows = boxes.where("top is not null and bottom is not null").select("doc_id", "page", "top", "bottom").distinct().withColumn("odd", F.col("top") > F.col("bottom"))
+    w = Window.partitionBy("doc_id", "page", "odd").orderBy("top", "bottom")
+    reach = F.max("bottom").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("first", F.col("odd") | reach.isNull() | (F.col("top") > reach))
+    rows = rows.withColumn("nth", F.sum(F.col("first").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.groupBy("doc_id", "page", "odd", "nth").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom")).drop("odd", "nth")
+
+
 def mark_in_box(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """lines with in_box: whether they overlap a wide filled box of their page; a range join on equal pages."""
-    b = wide_boxes(boxes).groupBy("doc_id", "page").agg(F.collect_list(F.struct("top", "bottom")).alias("boxes"))
+    """lines (top at or over bottom) with in_box: whether they overlap a wide filled box of their page.
+
+    A range join on equal pages with the stretches that boxes cover, not with each box: a page has room for few of
+    these however many boxes it has.
+    """
+    b = covered(wide_boxes(boxes)).groupBy("doc_id", "page").agg(F.collect_list(F.struct("top", "bottom")).alias("boxes"))
     hit = F.exists("boxes", lambda x: (F.col("top") <= x["bottom"]) & (F.col("bottom") >= x["top"]))
     return lines.join(b, ["doc_id", "page"], "left").withColumn("in_box", F.coalesce(hit, F.lit(False))).drop("boxes")
 

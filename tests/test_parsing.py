@@ -1,5 +1,9 @@
 import json
+import random
 
+from pyspark.sql import functions as F
+
+from quillspark.operators import lines as L
 from quillspark.plans import parsing
 from quillspark.plans.scoring import checkpointed
 from quillspark.sources import pages as P
@@ -91,3 +95,16 @@ def test_folder_to_table(spark, tmp_path):
     seen.clear()
     again = parse(FakeScorer((), '{"A": {"b": "c"}}'))
     assert dict(seen)["to_parse"] == 2 and again["r"]["parser"] == "rfpb" and again["f"] == first["f"] and set(again) == {"f", "r", "w"}
+
+
+def test_boxes_of_a_page_become_stretches(spark):
+    rng = random.Random(5)
+    boxes = [(d, 0, float(a), float(a + rng.choice([3, 3, 8]))) for d in (0, 1) for a in (rng.randrange(40 + 400 * d) for _ in range(300))] + [(0, 1, 9.0, 2.0), (0, 1, None, 5.0), (0, 1, 30.0, None)]
+    rows = [(d, p, float(a), float(a + h)) for d in (0, 1, 2) for p in (0, 1) for a in range(0, 500, 3) for h in (0, 2)] + [(0, 0, None, 5.0), (0, 1, 0.0, 10.0)]
+    box = spark.createDataFrame(boxes, "doc_id int, page int, top double, bottom double")
+    wide = box.select("*", F.lit(True).alias("fill"), F.lit(90.0).alias("width"), F.lit(100.0).alias("page_width"))
+    line = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, doc_id int, page int, top double, bottom double")
+    got = {r.i: r.in_box for r in L.mark_in_box(line, wide).collect()}
+    over = lambda r, b: r[:2] == b[:2] and None not in r + b and r[2] <= b[3] and r[3] >= b[2]
+    assert got == {i: any(over(r, b) for b in boxes) for i, r in enumerate(rows)}
+    assert L.covered(box.where("doc_id = 0 and page = 0")).count() < 12
