@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 #: White space as Python's str methods see it, for Java patterns.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The same one by one, to trim by.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def col(c: Column | str) -> Column:
@@ -20,7 +22,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def squeeze(c: Column | str) -> Column:

@@ -184,18 +184,28 @@ def strip_think(c: Column | str) -> Column:
 
 def outer_object(c: Column | str) -> Column:
     """From the first { to the last }; the text itself if there is no such pair."""
-    return let(text_or_empty(c), lambda t: F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit("")), t))
+    found = lambda t: let(F.regexp_extract(t, r"(?s)\{.*\}", 0), lambda x: F.when(x != "", x).otherwise(t))
+    return let(text_or_empty(c), lambda t: F.when(F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}")), t).otherwise(found(t)))
+
+
+def _bare(t: Column) -> Column:
+    """A trimmed text without a code fence around it."""
+    return F.when(t.startswith("```"), strip(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?[^\n]*\n?", ""), r"```$", ""))).otherwise(t)
 
 
 def strip_fence(c: Column | str) -> Column:
     """Without a code fence around it."""
-    bare = lambda t: strip(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?[^\n]*\n?", ""), r"```$", ""))
-    return let(strip(text_or_empty(c)), lambda t: F.when(t.startswith("```"), bare(t)).otherwise(t))
+    return let(strip(text_or_empty(c)), _bare)
+
+
+def outer_text(c: Column | str) -> Column:
+    """What may be the JSON object in a model's answer."""
+    return outer_object(let(strip_think(c), _bare))
 
 
 def json_object(c: Column | str) -> Column:
     """The JSON object in a model's answer, or null if there is none."""
-    return let(outer_object(strip_fence(strip_think(c))), lambda t: F.when(F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull(), t))
+    return let(outer_text(c), lambda t: F.when(F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull(), t))
 
 
 def parse_percent(c: Column | str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
@@ -15,28 +18,47 @@ def coerce_score(value: Column) -> Column:
     return F.coalesce(F.when(number.isin(*range(6)), number.cast("int")), F.lit(0))
 
 
-def _present(raw: Column, *names: str) -> Column:
-    """The trimmed text under the first of names that the object has; null if that is no text or blank."""
-    keys, v = F.json_object_keys(raw), F.try_parse_json(raw)
+_KEYS = ["doc_id", "section_key", "sub_id"]
+_PRO, _CON = ("pros", "strengths", "advantages"), ("drawbacks", "rationale")
+
+
+def _present(*names: str) -> Column:
+    """The trimmed text under the first of names that a part's fields have; null if that is no text or blank."""
     out = F.lit(None).cast("string")
     for n in reversed(names):
-        at = F.try_variant_get(v, f"$.{n}", "variant")
-        out = F.when(F.array_contains(keys, n), F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(v, f"$.{n}", "string"))).otherwise(out)
+        at = F.try_element_at("fields", F.lit(n))
+        out = F.when(F.map_contains_key("fields", n), F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(at, "$", "string"))).otherwise(out)
     return F.nullif(strip(out), F.lit(""))
 
 
-def sources(responses: DataFrame, subs: DataFrame) -> DataFrame:
-    """(doc_id, section_key, sub_id, pos, raw): parts of answers that belong to a sub-criterion, by its id or one below it.
+def sources(responses: DataFrame, subs: DataFrame, only: Column | None = None) -> DataFrame:
+    """(doc_id, section_key, sub_id, key, fields, answer, order): parts of answers that belong to a sub-criterion, by its id or one below it.
 
-    responses: (doc_id, section_key, raw).
+    responses: (doc_id, section_key, raw). fields: a part's map of VARIANT, null if it is a text that begins like an
+    object and is none. order: the answer's keys in their order. only: which responses to parse.
+
+    An answer is parsed once, into maps of maps, which forget the order. Parts that are texts are taken from a second
+    parsing, done only for answers that have any.
     """
-    rows = responses.select("doc_id", "section_key", F.posexplode(F.map_entries(F.from_json(T.json_object("raw"), "map<string,string>"))).alias("pos", "e"))
-    rows = rows.select("doc_id", "section_key", "pos", F.col("e.value").alias("raw"), F.explode(F.array_distinct(F.array(F.col("e.key"), F.regexp_replace("e.key", r"\.[^.]*$", "")))).alias("sub_id"))
-    rows = rows.where(F.startswith(F.btrim("raw"), F.lit("{")))
+    fields = "map<string,variant>"
+    rows = responses if only is None else responses.where(only)
+    rows = rows.select("doc_id", "section_key", T.outer_text("raw").alias("answer"))
+    rows = rows.select("*", F.when(F.startswith("answer", F.lit("{")), F.try_variant_get(F.try_parse_json("answer"), "$", f"map<string,{fields}>")).alias("parts"))
+    texts = F.when(F.exists(F.map_values("parts"), lambda p: p.isNull()), F.from_json("answer", "map<string,string>"))
+    rows = rows.select("doc_id", "section_key", "answer", texts.alias("texts"), F.json_object_keys("answer").alias("order"), F.explode(F.map_entries("parts")).alias("e"))
+    text = F.try_element_at("texts", F.col("e.key"))
+    rows = rows.where(F.col("e.value").isNotNull() | F.startswith(F.btrim(text), F.lit("{")))
+    rows = rows.select("doc_id", "section_key", "answer", "order", F.col("e.key").alias("key"), F.coalesce("e.value", F.try_variant_get(F.try_parse_json(text), "$", fields)).alias("fields"), F.explode(F.array_distinct(F.array(F.col("e.key"), F.regexp_replace("e.key", r"\.[^.]*$", "")))).alias("sub_id"))
     return rows.join(F.broadcast(subs.select("section_key", "sub_id")), ["section_key", "sub_id"], "left_semi")
 
 
-_PART = "array<struct<pos:int,ids:array<string>,pro:string,con:string,scores:array<struct<sid:string,score:int>>>>"
+def _merged(parts: DataFrame) -> DataFrame:
+    """(doc_id, section_key, sub_id, all): what the parts of a sub-criterion tell, in the answer's order."""
+    listed = F.try_element_at("fields", F.lit("used_chunk_ids"))
+    text = F.try_element_at(F.from_json("answer", "map<string,string>"), "key")  # as it stands, if it is no list of texts
+    ids = F.when(F.col("fields").isNotNull() & listed.isNull(), F.array().cast("array<string>")).when(F.schema_of_variant(listed).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(listed, "$", "array<string>")).otherwise(F.from_json(F.get_json_object(text, "$.used_chunk_ids"), "array<string>"))
+    told = F.struct(F.array_position("order", F.col("key")).alias("pos"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), _present(*_PRO).alias("pro"), _present(*_CON).alias("con"))
+    return parts.select(*_KEYS, told.alias("part")).groupBy(*_KEYS).agg(F.sort_array(F.collect_list("part")).alias("all"))
 
 
 def normalize(responses: DataFrame, rubric: DataFrame, valid_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,43 +67,35 @@ def normalize(responses: DataFrame, rubric: DataFrame, valid_ids: DataFrame) ->
     signals: doc_id, section_key, sub_id, sid, score; subs: used_chunk_ids, evidence_status,
     pros, drawbacks, missing_evidence. valid_ids: (doc_id, chunk_ids).
 
-    One row a sub-criterion from one grouped pass: its parts of the answer, merged, scored and capped in the row.
+    One pass of small rows by signal: a zero for every signal of the rubric, the scores found, and the caveats. Texts
+    meet by sub-criterion only where parts tell any.
     """
-    keys = ["doc_id", "section_key", "sub_id"]
-    sub_rows = rubric.groupBy("section_key", "sub_id").agg(F.sort_array(F.collect_list(F.struct("signal_pos", "sid"))).alias("sids"))  # a rubric's few hundred rows
-    one = F.array(F.struct("pos", F.coalesce(F.from_json(F.get_json_object("raw", "$.used_chunk_ids"), "array<string>"), F.array().cast("array<string>")).alias("ids"), _present(F.col("raw"), "pros", "strengths", "advantages").alias("pro"), _present(F.col("raw"), "drawbacks", "rationale").alias("con"), _scores(F.col("raw")).alias("scores")))
-    parts = sources(responses, sub_rows).select(*keys, one.cast(_PART).alias("part"))
-    # a row without parts for every sub-criterion of a section that was answered
-    none = responses.select("doc_id", "section_key").distinct().join(F.broadcast(sub_rows.select("section_key", "sub_id")), "section_key").select(*keys, F.array().cast(_PART).alias("part"))
-    rows = parts.unionByName(none).groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("all"))
-    rows = rows.join(F.broadcast(sub_rows), ["section_key", "sub_id"]).join(valid_ids, "doc_id", "left")
-    told = lambda n: F.array_join(F.array_distinct(F.filter(F.transform("all", lambda x: x[n]), lambda x: x.isNotNull())), " ")
-    score = lambda sid: F.coalesce(F.array_max(F.transform(F.filter(F.flatten(F.transform("all", lambda x: x["scores"])), lambda e: e["sid"] == sid), lambda e: e["score"])), F.lit(0))
+    signal_rows = rubric.select("section_key", "sub_id", "sid", "signal_pos")  # a rubric's few hundred rows
+    sub_rows = signal_rows.groupBy("section_key", "sub_id").agg(F.collect_list(F.struct("sid", "signal_pos")).alias("sids"))
+    told = lambda n: F.array_join(F.array_distinct(F.filter(F.transform("all", lambda x: x[n]), lambda x: x.isNotNull())), " ").alias(n)
+    # a key that is written without a backslash stands in the answer as it is
+    with_con = reduce(or_, [F.contains("raw", F.lit(n)) for n in (*_CON, "\\")])
+    zeros = responses.select("doc_id", "section_key").distinct().join(F.broadcast(signal_rows), "section_key").withColumn("score", F.lit(0))
+    found = sources(responses, sub_rows).select(*_KEYS, F.explode(F.map_entries(F.try_variant_get(F.try_element_at("fields", F.lit("signals")), "$", "map<string,variant>"))).alias("e"))
+    found = found.select(*_KEYS, F.col("e.key").alias("sid"), coerce_score(F.col("e.value")).alias("score")).join(F.broadcast(signal_rows), ["section_key", "sub_id", "sid"])
+    doubts = _merged(sources(responses, sub_rows, with_con).where(_present(*_CON).isNotNull())).select(*_KEYS, told("con")).join(F.broadcast(sub_rows), ["section_key", "sub_id"])
+    doubts = doubts.select(*_KEYS, "con", F.exists("sids", lambda s: T.mentions(F.col("con"), s["sid"])).alias("some"), F.inline("sids"))
+    doubts = doubts.select(*_KEYS, "sid", "signal_pos", _doubted(F.col("con"), F.col("sid"), F.col("some"), T.mentions(F.col("con"), F.col("sid"))).alias("cut"))
+    rows = zeros.unionByName(found).withColumn("cut", F.lit(False)).unionByName(doubts.withColumn("score", F.lit(0)))
+    rows = rows.groupBy(*_KEYS, "sid", "signal_pos").agg(F.max("score").alias("score"), F.bool_or("cut").alias("cut"))
+    signals = rows.select(*_KEYS, "sid", "signal_pos", F.when((F.col("score") == 5) & F.col("cut"), 4).otherwise(F.col("score")).alias("score"))
+    every = rows.groupBy(*_KEYS).agg(F.max("score").alias("top")).join(_merged(sources(responses, sub_rows)), _KEYS, "left").join(valid_ids, "doc_id", "left")
     valid = F.coalesce("chunk_ids", F.array().cast("array<string>"))
-    rows = rows.select(
-        *keys,
-        F.array_distinct(F.filter(F.flatten(F.transform("all", lambda x: x["ids"])), lambda i: F.array_contains(valid, i))).alias("used_chunk_ids"),
-        told("pro").alias("pros"),
-        told("con").alias("drawbacks"),
-        F.transform("sids", lambda s: F.struct(s["sid"].alias("sid"), s["signal_pos"].alias("signal_pos"), score(s["sid"]).alias("score"))).alias("signals"),
-    )
-    some = F.exists("signals", lambda s: T.mentions(F.col("drawbacks"), s["sid"]))
-    rows = rows.withColumn("missing_evidence", F.exists("signals", lambda s: s["score"] > 0) & (F.size("used_chunk_ids") == 0)).withColumn("some", some)
-    capped = F.transform("signals", lambda s: F.struct(s["sid"].alias("sid"), s["signal_pos"].alias("signal_pos"), F.when(_is_cut(s["score"], F.col("drawbacks"), s["sid"], F.col("some"), T.mentions(F.col("drawbacks"), s["sid"])), 4).otherwise(s["score"]).alias("score")))
-    signals = rows.select(*keys, F.explode(capped).alias("s")).select(*keys, "s.sid", "s.signal_pos", "s.score")
+    used = F.array_distinct(F.filter(F.flatten(F.transform("all", lambda x: x["ids"])), lambda i: F.array_contains(valid, i)))
+    subs = every.select(*_KEYS, "top", F.coalesce(used, F.array().cast("array<string>")).alias("used_chunk_ids"), *[F.coalesce(told(n), F.lit("")).alias(to) for n, to in (("pro", "pros"), ("con", "drawbacks"))])
+    subs = subs.withColumn("missing_evidence", (F.col("top") > 0) & (F.size("used_chunk_ids") == 0))
     status = F.when(F.col("missing_evidence"), "invalid_evidence").when(F.size("used_chunk_ids") == 1, "sparse_evidence").otherwise("ok")
-    return signals, rows.select(*keys, "used_chunk_ids", "pros", "drawbacks", "missing_evidence", status.alias("evidence_status"))
-
-
-def _scores(raw: Column) -> Column:
-    """A part's signals as entries of id and score; none if it has no object of them."""
-    found = F.map_entries(F.try_variant_get(F.try_parse_json(raw), "$.signals", "map<string,variant>"))
-    return F.coalesce(F.transform(found, lambda e: F.struct(e["key"].alias("sid"), coerce_score(e["value"]).alias("score"))), F.array().cast("array<struct<sid:string,score:int>>"))
+    return signals, subs.select(*_KEYS, "used_chunk_ids", "pros", "drawbacks", "missing_evidence", status.alias("evidence_status"))
 
 
-def _is_cut(score: Column, drawbacks: Column, sid: Column, some_named: Column, named: Column) -> Column:
-    """Whether a perfect score falls to a caveat."""
-    return (score == 5) & (F.coalesce(drawbacks, F.lit("")) != "") & T.has_caveat(drawbacks) & F.when(some_named, named & T.caveat_about(drawbacks, sid)).otherwise(F.lit(True))
+def _doubted(drawbacks: Column, sid: Column, some_named: Column, named: Column) -> Column:
+    """Whether drawbacks hold a caveat to a signal: any if they name no signal, else one in a sentence with its name."""
+    return (F.coalesce(drawbacks, F.lit("")) != "") & T.has_caveat(drawbacks) & F.when(some_named, named & T.caveat_about(drawbacks, sid)).otherwise(F.lit(True))
 
 
 def cap_perfect(signals: DataFrame, keys: tuple[str, ...] = ("doc_id", "section_key", "sub_id")) -> DataFrame:
@@ -92,7 +106,7 @@ def cap_perfect(signals: DataFrame, keys: tuple[str, ...] = ("doc_id", "section_
     named = signals.withColumn("named", T.mentions(F.col("drawbacks"), F.col("sid")))
     some = named.groupBy(*keys).agg(F.bool_or("named").alias("some_named"))
     rows = named.join(some, list(keys))
-    cut = _is_cut(F.col("score"), F.col("drawbacks"), F.col("sid"), F.col("some_named"), F.col("named"))
+    cut = (F.col("score") == 5) & _doubted(F.col("drawbacks"), F.col("sid"), F.col("some_named"), F.col("named"))
     return rows.withColumn("uncapped", F.col("score")).withColumn("score", F.when(cut, 4).otherwise(F.col("score"))).drop("named", "some_named")
 
 

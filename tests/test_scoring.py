@@ -86,6 +86,21 @@ def test_scores_are_repaired(spark):
     assert repaired(spark, {})[0] == [0, 0, 0]
 
 
+def test_parts_as_texts_and_odd_ids(spark):
+    inner = json.dumps({"signals": {"g.1.a": 3}, "used_chunk_ids": ["c2"], "rationale": "later"})
+    s, sub = repaired(spark, {"g.1.z": " " + inner, "g.1": {"signals": {"g.1.b": 2}, "used_chunk_ids": [7, "c1"], "drawbacks": "first"}, "g.1.q": "{no", "g.1.a": [inner]})
+    assert s == [3, 2, 0] and sub["used_chunk_ids"] == ["c2", "c1"] and sub["drawbacks"] == "later first"
+
+
+def test_scores_read_no_more_than_they_need(spark):
+    r = spark.createDataFrame([("d", "general", "{}")], "doc_id string, section_key string, raw string")
+    rb = spark.createDataFrame([(k, "g.1", s, i) for k, s, i in RUB3], "section_key string, sub_id string, sid string, signal_pos int")
+    signals, _ = repair.normalize(r, rb, r.select("doc_id", F.array(F.lit("c1")).alias("chunk_ids")))
+    plan = signals._jdf.queryExecution().optimizedPlan().toString()
+    # scores go by rows; keys in their order, for texts that meet, are read only from answers that may have drawbacks
+    assert plan.count("jsonObjectKeys") == 1 and "Contains(raw" in plan
+
+
 def test_perfect_scores_are_capped(spark):
     five = {"g.1.a": 5, "g.1.b": 5, "g.1.c": 3}
     score = lambda text: repaired(spark, {"g.1": {"signals": five, "used_chunk_ids": ["c1"], "pros": "", "drawbacks": text}})[0]
