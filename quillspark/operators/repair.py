@@ -13,9 +13,9 @@ from ..functions.columns import strip
 
 def coerce_score(value: Column) -> Column:
     """A VARIANT as a score: whole numbers from 0 to 5; anything else, booleans and texts too, is 0."""
-    kind = F.schema_of_variant(value)
-    number = F.when(kind.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
-    return F.coalesce(F.when(number.isin(*range(6)), number.cast("int")), F.lit(0))
+    number = F.to_json(value).try_cast("double")  # in JSON a text keeps its quotes, so only numbers can be cast
+    place = F.array_position(F.array(*[F.lit(float(n)) for n in range(6)]), number)  # names number once; 0 if it is none of them
+    return F.greatest(F.coalesce(place, F.lit(0)) - 1, F.lit(0)).cast("int")
 
 
 _KEYS = ["doc_id", "section_key", "sub_id"]
@@ -31,27 +31,42 @@ def _present(*names: str) -> Column:
     return F.nullif(strip(out), F.lit(""))
 
 
-def sources(responses: DataFrame, subs: DataFrame, only: Column | None = None) -> DataFrame:
-    """(doc_id, section_key, sub_id, key, fields, answer, order): parts of answers that belong to a sub-criterion, by its id or one below it.
-
-    responses: (doc_id, section_key, raw). fields: a part's map of VARIANT, null if it is a text that begins like an
-    object and is none. order: the answer's keys in their order. only: which responses to parse.
+def _parts(responses: DataFrame, fields: str) -> DataFrame:
+    """(doc_id, section_key, key, fields, answer, order): parts of answers by their keys, with fields of the type given.
 
-    An answer is parsed once, into maps of maps, which forget the order. Parts that are texts are taken from a second
-    parsing, done only for answers that have any.
+    An answer is parsed once, into a map, which forgets the order. Parts that are texts are taken from a second parsing,
+    done only for answers that have any. What is of the answer is computed before parts become rows, not for each of
+    them; a map is exploded by its entries, as else the planner parses twice, first to drop those without any.
     """
-    fields = "map<string,variant>"
-    rows = responses if only is None else responses.where(only)
-    rows = rows.select("doc_id", "section_key", T.outer_text("raw").alias("answer"))
+    rows = responses.select("doc_id", "section_key", T.outer_text("raw").alias("answer"))
     rows = rows.select("*", F.when(F.startswith("answer", F.lit("{")), F.try_variant_get(F.try_parse_json("answer"), "$", f"map<string,{fields}>")).alias("parts"))
     texts = F.when(F.exists(F.map_values("parts"), lambda p: p.isNull()), F.from_json("answer", "map<string,string>"))
-    rows = rows.select("doc_id", "section_key", "answer", texts.alias("texts"), F.json_object_keys("answer").alias("order"), F.explode(F.map_entries("parts")).alias("e"))
+    rows = rows.select("*", texts.alias("texts"), F.json_object_keys("answer").alias("order"))
+    rows = rows.select("doc_id", "section_key", "answer", "texts", "order", F.explode(F.map_entries("parts")).alias("e"))
     text = F.try_element_at("texts", F.col("e.key"))
     rows = rows.where(F.col("e.value").isNotNull() | F.startswith(F.btrim(text), F.lit("{")))
-    rows = rows.select("doc_id", "section_key", "answer", "order", F.col("e.key").alias("key"), F.coalesce("e.value", F.try_variant_get(F.try_parse_json(text), "$", fields)).alias("fields"), F.explode(F.array_distinct(F.array(F.col("e.key"), F.regexp_replace("e.key", r"\.[^.]*$", "")))).alias("sub_id"))
+    return rows.select("doc_id", "section_key", "answer", "order", F.col("e.key").alias("key"), F.coalesce("e.value", F.try_variant_get(F.try_parse_json(text), "$", fields)).alias("fields"))
+
+
+def sources(responses: DataFrame, subs: DataFrame, only: Column | None = None) -> DataFrame:
+    """(doc_id, section_key, sub_id, key, fields, answer, order): parts of answers that belong to a sub-criterion, by its id or one below it.
+
+    responses: (doc_id, section_key, raw). fields: a part's map of VARIANT, null if it is a text that begins like an
+    object and is none. order: the answer's keys in their order. only: which responses to parse.
+    """
+    rows = _parts(responses if only is None else responses.where(only), "map<string,variant>")
+    rows = rows.select("*", F.explode(F.array_distinct(F.array("key", F.regexp_replace("key", r"\.[^.]*$", "")))).alias("sub_id"))
     return rows.join(F.broadcast(subs.select("section_key", "sub_id")), ["section_key", "sub_id"], "left_semi")
 
 
+def _scores(responses: DataFrame, signal_rows: DataFrame) -> DataFrame:
+    """(doc_id, section_key, sub_id, sid, signal_pos, score): every score that a part tells of a signal of its sub-criterion."""
+    rows = _parts(responses, "struct<signals:map<string,variant>>").select("doc_id", "section_key", "key", F.explode("fields.signals").alias("sid", "value"))
+    below = F.concat("sub_id", F.lit("."), F.substring_index("key", ".", -1))
+    rows = rows.join(F.broadcast(signal_rows), ["section_key", "sid"]).where((F.col("key") == F.col("sub_id")) | (F.col("key") == below))
+    return rows.select(*_KEYS, "sid", "signal_pos", coerce_score(F.col("value")).alias("score"))
+
+
 def _merged(parts: DataFrame) -> DataFrame:
     """(doc_id, section_key, sub_id, all): what the parts of a sub-criterion tell, in the answer's order."""
     listed = F.try_element_at("fields", F.lit("used_chunk_ids"))
@@ -75,9 +90,8 @@ def normalize(responses: DataFrame, rubric: DataFrame, valid_ids: DataFrame) ->
     told = lambda n: F.array_join(F.array_distinct(F.filter(F.transform("all", lambda x: x[n]), lambda x: x.isNotNull())), " ").alias(n)
     # a key that is written without a backslash stands in the answer as it is
     with_con = reduce(or_, [F.contains("raw", F.lit(n)) for n in (*_CON, "\\")])
-    zeros = responses.select("doc_id", "section_key").distinct().join(F.broadcast(signal_rows), "section_key").withColumn("score", F.lit(0))
-    found = sources(responses, sub_rows).select(*_KEYS, F.explode(F.map_entries(F.try_variant_get(F.try_element_at("fields", F.lit("signals")), "$", "map<string,variant>"))).alias("e"))
-    found = found.select(*_KEYS, F.col("e.key").alias("sid"), coerce_score(F.col("e.value")).alias("score")).join(F.broadcast(signal_rows), ["section_key", "sub_id", "sid"])
+    zeros = responses.select("doc_id", "section_key").join(F.broadcast(signal_rows), "section_key").withColumn("score", F.lit(0))
+    found = _scores(responses, signal_rows)
     doubts = _merged(sources(responses, sub_rows, with_con).where(_present(*_CON).isNotNull())).select(*_KEYS, told("con")).join(F.broadcast(sub_rows), ["section_key", "sub_id"])
     doubts = doubts.select(*_KEYS, "con", F.exists("sids", lambda s: T.mentions(F.col("con"), s["sid"])).alias("some"), F.inline("sids"))
     doubts = doubts.select(*_KEYS, "sid", "signal_pos", _doubted(F.col("con"), F.col("sid"), F.col("some"), T.mentions(F.col("con"), F.col("sid"))).alias("cut"))

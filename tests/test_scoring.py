@@ -101,6 +101,31 @@ def test_scores_read_no_more_than_they_need(spark):
     assert plan.count("jsonObjectKeys") == 1 and "Contains(raw" in plan
 
 
+def test_scores_meet_zeros_without_a_shuffle_and_answers_are_read_once(spark):
+    r = spark.createDataFrame([("d", "general", "{}")] * 2, "doc_id string, section_key string, raw string").groupBy("doc_id", "section_key").agg(F.max("raw").alias("raw"))
+    rb = spark.createDataFrame([(k, "g.1", s, i) for k, s, i in RUB3], "section_key string, sub_id string, sid string, signal_pos int")
+    plan_of = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    signals, _ = repair.normalize(r, rb, r.select("doc_id", F.array(F.lit("c1")).alias("chunk_ids")))
+    assert "Exchange" not in plan_of(signals).split("Union")[0]
+    # what is of the answer is computed under the step that makes rows of parts, not over it for each of them
+    over, under = plan_of(repair.sources(r, rb)).split("Generate explode(map_entries(parts")
+    assert "answer" in over and not any(x in over for x in ("jsonObjectKeys", "map_values(parts"))
+    assert under.count("parseJson(answer") == under.count("jsonObjectKeys") == 1
+
+
+def test_scores_belong_to_the_sub_criterion_of_their_part(spark):
+    rb = spark.createDataFrame([("k", s, "x", 0) for s in ("g.1", "g.1.x", "g")], "section_key string, sub_id string, sid string, signal_pos int")
+    x = lambda v: {"signals": {"x": v, "g.9": 5}}
+    for answer, want in [
+        ({"g.1": x(1), "g.1.x": x(2), "g.2": x(3), "g.1.x.y.z": x(4), "g.1.": x(0)}, {"g.1": 2, "g.1.x": 2, "g": 3}),
+        ({"g.1.x.y": x(4), ".g.1": x(5), "g,1": x(5), "g.1.x\n": x(3)}, {"g.1": 3, "g.1.x": 4, "g": 0}),
+        ({"g": x(5), "g.1.a": json.dumps(x(4)), "g.1.b": x("5"), "g.1.x": [x(5)]}, {"g.1": 4, "g.1.x": 0, "g": 5}),
+    ]:
+        r = spark.createDataFrame([("d", "k", json.dumps(answer)), ("d", "k", "{}")], "doc_id string, section_key string, raw string")
+        signals, _ = repair.normalize(r, rb, r.select("doc_id", F.array(F.lit("c1")).alias("chunk_ids")))
+        assert {s.sub_id: s.score for s in signals.collect()} == want
+
+
 def test_perfect_scores_are_capped(spark):
     five = {"g.1.a": 5, "g.1.b": 5, "g.1.c": 3}
     score = lambda text: repaired(spark, {"g.1": {"signals": five, "used_chunk_ids": ["c1"], "pros": "", "drawbacks": text}})[0]
