@@ -200,7 +200,8 @@ def strip_fence(c: Column | str) -> Column:
 
 def outer_text(c: Column | str) -> Column:
     """What may be the JSON object in a model's answer."""
-    return outer_object(let(strip_think(c), _bare))
+    bare = F.startswith(col(c), F.lit("{")) & F.endswith(col(c), F.lit("}")) & ~F.contains(col(c), F.lit("<think>"))
+    return F.when(bare, col(c)).otherwise(outer_object(let(strip_think(c), _bare)))  # most are it as they stand
 
 
 def json_object(c: Column | str) -> Column:

@@ -31,9 +31,11 @@ def _present(*names: str) -> Column:
     return F.nullif(strip(out), F.lit(""))
 
 
-def _parts(responses: DataFrame, fields: str) -> DataFrame:
+def _parts(responses: DataFrame, fields: str, lead: bool = False) -> DataFrame:
     """(doc_id, section_key, key, fields, answer, order): parts of answers by their keys, with fields of the type given.
 
+    lead: every answer has a row without a key too.
+
     An answer is parsed once, into a map, which forgets the order. Parts that are texts are taken from a second parsing,
     done only for answers that have any. What is of the answer is computed before parts become rows, not for each of
     them; a map is exploded by its entries, as else the planner parses twice, first to drop those without any.
@@ -42,9 +44,14 @@ def _parts(responses: DataFrame, fields: str) -> DataFrame:
     rows = rows.select("*", F.when(F.startswith("answer", F.lit("{")), F.try_variant_get(F.try_parse_json("answer"), "$", f"map<string,{fields}>")).alias("parts"))
     texts = F.when(F.exists(F.map_values("parts"), lambda p: p.isNull()), F.from_json("answer", "map<string,string>"))
     rows = rows.select("*", texts.alias("texts"), F.json_object_keys("answer").alias("order"))
-    rows = rows.select("doc_id", "section_key", "answer", "texts", "order", F.explode(F.map_entries("parts")).alias("e"))
+    entries = F.map_entries("parts")
+    if lead:
+        none = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast(fields).alias("value")))
+        entries = F.coalesce(F.concat(none, entries), none)
+    rows = rows.select("doc_id", "section_key", "answer", "texts", "order", F.explode(entries).alias("e"))
     text = F.try_element_at("texts", F.col("e.key"))
-    rows = rows.where(F.col("e.value").isNotNull() | F.startswith(F.btrim(text), F.lit("{")))
+    kept = F.col("e.value").isNotNull() | F.startswith(F.btrim(text), F.lit("{"))
+    rows = rows.where(F.col("e.key").isNull() | kept if lead else kept)
     return rows.select("doc_id", "section_key", "answer", "order", F.col("e.key").alias("key"), F.coalesce("e.value", F.try_variant_get(F.try_parse_json(text), "$", fields)).alias("fields"))
 
 
@@ -59,12 +66,42 @@ def sources(responses: DataFrame, subs: DataFrame, only: Column | None = None) -
     return rows.join(F.broadcast(subs.select("section_key", "sub_id")), ["section_key", "sub_id"], "left_semi")
 
 
-def _scores(responses: DataFrame, signal_rows: DataFrame) -> DataFrame:
-    """(doc_id, section_key, sub_id, sid, signal_pos, score): every score that a part tells of a signal of its sub-criterion."""
-    rows = _parts(responses, "struct<signals:map<string,variant>>").select("doc_id", "section_key", "key", F.explode("fields.signals").alias("sid", "value"))
+#: Signals of a block; of each, five bits of a long tell which scores from 1 to 5 were found.
+_BLOCK = 12
+
+
+def _cells(rubric: DataFrame) -> DataFrame:
+    """(section_key, block, unit, sub_id, sid, signal_pos): the signals of the rubric, each once. unit: the lowest of the signal's bits in its block."""
+    rows = rubric.groupBy("section_key").agg(F.sort_array(F.collect_set(F.struct("sub_id", "sid", "signal_pos"))).alias("signals"))
+    rows = rows.select("section_key", F.posexplode("signals").alias("n", "s"))
+    unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("n") % _BLOCK * 5)
+    return rows.select("section_key", F.floor(F.col("n") / _BLOCK).cast("int").alias("block"), unit.alias("unit"), "s.*")
+
+
+def _bit(score: Column) -> Column:
+    """The bit of a score from 0 to 5 in its signal's five; 0 has none."""
+    return F.get(F.array(*[F.lit(n).cast("bigint") for n in (0, 1, 2, 4, 8, 16)]), score)
+
+
+def _top(bits: Column, unit: Column) -> Column:
+    """The largest score of a signal that bits of its block tell."""
+    own = lambda n: bits.bitwiseAND(unit * (1 << n)) != 0
+    return F.when(own(4), 5).when(own(3), 4).when(own(2), 3).when(own(1), 2).when(own(0), 1).otherwise(0)
+
+
+def _scores(responses: DataFrame, cells: DataFrame) -> DataFrame:
+    """(doc_id, section_key, block, bits): for every answer no bits by block of its section, and every score that a part tells of a signal of its sub-criterion."""
+    rows = _parts(responses, "struct<signals:map<string,variant>>", lead=True).select("doc_id", "section_key", "key", F.explode_outer("fields.signals").alias("sid", "value"))
+    rows = rows.where(F.col("key").isNull() | F.col("sid").isNotNull())
+    # a row without a key meets all blocks, those of parts meet signals of their name
+    to = cells.where(F.col("sid").isNotNull()).select("section_key", "block", "unit", "sub_id", F.col("sid").alias("at"))
+    none = F.lit(None).cast("string")
+    to = to.unionByName(cells.select("section_key", "block", F.lit(0).cast("bigint").alias("unit"), none.alias("sub_id"), none.alias("at")).distinct())
+    to = to.withColumnRenamed("section_key", "of")
     below = F.concat("sub_id", F.lit("."), F.substring_index("key", ".", -1))
-    rows = rows.join(F.broadcast(signal_rows), ["section_key", "sid"]).where((F.col("key") == F.col("sub_id")) | (F.col("key") == below))
-    return rows.select(*_KEYS, "sid", "signal_pos", coerce_score(F.col("value")).alias("score"))
+    mine = F.col("key").isNull() | (F.col("key") == F.col("sub_id")) | (F.col("key") == below)
+    rows = rows.join(F.broadcast(to), (F.col("section_key") == F.col("of")) & F.col("sid").eqNullSafe(F.col("at")) & mine)
+    return rows.select("doc_id", "section_key", "block", (F.col("unit") * _bit(coerce_score(F.col("value")))).alias("bits"))
 
 
 def _merged(parts: DataFrame) -> DataFrame:
@@ -82,21 +119,22 @@ def normalize(responses: DataFrame, rubric: DataFrame, valid_ids: DataFrame) ->
     signals: doc_id, section_key, sub_id, sid, score; subs: used_chunk_ids, evidence_status,
     pros, drawbacks, missing_evidence. valid_ids: (doc_id, chunk_ids).
 
-    One pass of small rows by signal: a zero for every signal of the rubric, the scores found, and the caveats. Texts
-    meet by sub-criterion only where parts tell any.
+    One pass of small rows by blocks of signals: scores found and caveats are bits that are put together, so a block of
+    the rubric is one group, however many of its signals were told. Texts meet by sub-criterion only where parts tell any.
     """
-    signal_rows = rubric.select("section_key", "sub_id", "sid", "signal_pos")  # a rubric's few hundred rows
-    sub_rows = signal_rows.groupBy("section_key", "sub_id").agg(F.collect_list(F.struct("sid", "signal_pos")).alias("sids"))
+    cells = _cells(rubric)  # a rubric's few hundred rows
+    sub_rows = cells.groupBy("section_key", "sub_id").agg(F.collect_list(F.struct("sid", "block", "unit")).alias("sids"))
     told = lambda n: F.array_join(F.array_distinct(F.filter(F.transform("all", lambda x: x[n]), lambda x: x.isNotNull())), " ").alias(n)
     # a key that is written without a backslash stands in the answer as it is
     with_con = reduce(or_, [F.contains("raw", F.lit(n)) for n in (*_CON, "\\")])
-    zeros = responses.select("doc_id", "section_key").join(F.broadcast(signal_rows), "section_key").withColumn("score", F.lit(0))
-    found = _scores(responses, signal_rows)
     doubts = _merged(sources(responses, sub_rows, with_con).where(_present(*_CON).isNotNull())).select(*_KEYS, told("con")).join(F.broadcast(sub_rows), ["section_key", "sub_id"])
     doubts = doubts.select(*_KEYS, "con", F.exists("sids", lambda s: T.mentions(F.col("con"), s["sid"])).alias("some"), F.inline("sids"))
-    doubts = doubts.select(*_KEYS, "sid", "signal_pos", _doubted(F.col("con"), F.col("sid"), F.col("some"), T.mentions(F.col("con"), F.col("sid"))).alias("cut"))
-    rows = zeros.unionByName(found).withColumn("cut", F.lit(False)).unionByName(doubts.withColumn("score", F.lit(0)))
-    rows = rows.groupBy(*_KEYS, "sid", "signal_pos").agg(F.max("score").alias("score"), F.bool_or("cut").alias("cut"))
+    doubted = _doubted(F.col("con"), F.col("sid"), F.col("some"), T.mentions(F.col("con"), F.col("sid")))
+    no = F.lit(0).cast("bigint")
+    doubts = doubts.select("doc_id", "section_key", "block", no.alias("bits"), F.when(doubted, F.col("unit")).otherwise(no).alias("cuts"))
+    rows = _scores(responses, cells).withColumn("cuts", no).unionByName(doubts)
+    rows = rows.groupBy("doc_id", "section_key", "block").agg(F.bit_or("bits").alias("bits"), F.bit_or("cuts").alias("cuts")).join(F.broadcast(cells), ["section_key", "block"])
+    rows = rows.select(*_KEYS, "sid", "signal_pos", _top(F.col("bits"), F.col("unit")).alias("score"), (F.col("cuts").bitwiseAND(F.col("unit")) != 0).alias("cut"))
     signals = rows.select(*_KEYS, "sid", "signal_pos", F.when((F.col("score") == 5) & F.col("cut"), 4).otherwise(F.col("score")).alias("score"))
     every = rows.groupBy(*_KEYS).agg(F.max("score").alias("top")).join(_merged(sources(responses, sub_rows)), _KEYS, "left").join(valid_ids, "doc_id", "left")
     valid = F.coalesce("chunk_ids", F.array().cast("array<string>"))

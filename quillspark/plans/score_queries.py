@@ -90,7 +90,8 @@ def scores_of_answers(t: Tables) -> DataFrame:
     sid = F.concat(F.lit("g.1."), F.char(97 + F.col("l_partkey") % 6))
     name = F.concat(F.lit("g.1.x"), F.concat_ws("_", *[F.col(c).cast("int").cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]))
     part = F.concat(F.lit('"'), name, F.lit('":{"signals":{"'), sid, F.lit('":'), (F.col("l_quantity").cast("int") % 6).cast("string"), F.lit('},"used_chunk_ids":["c1"]}'))
-    raw = t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(part), ","), F.lit("}")).alias("raw")).withColumn("section_key", F.lit("general"))
+    parts = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), part.alias("part"))  # in a step of its own they are built by generated code
+    raw = parts.groupBy("doc_id").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("part"), ","), F.lit("}")).alias("raw")).withColumn("section_key", F.lit("general"))
     rub = t.spark.createDataFrame([("general", "g.1", f"g.1.{chr(97 + i)}", i) for i in range(6)], "section_key string, sub_id string, sid string, signal_pos int")
     signals, _ = repair.normalize(raw, rub, raw.select("doc_id", F.array(F.lit("c1")).alias("chunk_ids")))
     return signals.select("doc_id", "sid", F.col("score").cast("int").alias("score"))

@@ -126,6 +126,22 @@ def test_scores_belong_to_the_sub_criterion_of_their_part(spark):
         assert {s.sub_id: s.score for s in signals.collect()} == want
 
 
+def test_scores_and_zeros_come_from_one_reading_by_blocks_of_signals(spark):
+    sids = [f"g.1.s{n:02d}" for n in range(30)]
+    rb = spark.createDataFrame([("k", "g.1", s, n) for n, s in enumerate(sids)] * 2 + [("l", "g.1", "g.1.s00", 0), ("l", "g.2", None, 1)], "section_key string, sub_id string, sid string, signal_pos int")
+    told = {"g.1": {"signals": {s: n % 8 for n, s in enumerate(sids)}, "drawbacks": "G.1.S13 is weak. g.1.s29 is superb."}, "g.1.s00": {"signals": {s: 2 for s in sids[20:]}}}
+    rows = [("d", "k", json.dumps(told)), ("e", "k", None), ("e", "l", "no"), ("f", "l", f"<think>{{}}</think>```json\n{json.dumps(told)}\n```"), ("f", "l", "{}<think>}"), ("g", "m", json.dumps(told)), ("h", None, "{}")]
+    r = spark.createDataFrame(rows, "doc_id string, section_key string, raw string")
+    signals, subs = repair.normalize(r, rb, r.select("doc_id", F.array(F.lit("c1")).alias("chunk_ids")).distinct())
+    got = {(s.doc_id, s.section_key, s.sub_id, s.sid): s.score for s in signals.collect()}
+    want = {("d", "k", "g.1", s): max(n % 8 if n % 8 < 6 else 0, 2 if n >= 20 else 0) - (n == 13) for n, s in enumerate(sids)} | {("e", "k", "g.1", s): 0 for s in sids}
+    assert got == want | {("e", "l", "g.1", "g.1.s00"): 0, ("e", "l", "g.2", None): 0, ("f", "l", "g.1", "g.1.s00"): 0, ("f", "l", "g.2", None): 0}
+    assert signals.count() == 64 and dict(signals.dtypes)["score"] == "int"
+    assert {(s.doc_id, s.section_key, s.sub_id): s.missing_evidence for s in subs.collect()} == {("d", "k", "g.1"): True} | {k[:3]: False for k in got if k[0] != "d"}
+    # one reading for zeros and scores, one for answers that may have drawbacks
+    assert signals._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [doc_id#") == 2
+
+
 def test_perfect_scores_are_capped(spark):
     five = {"g.1.a": 5, "g.1.b": 5, "g.1.c": 3}
     score = lambda text: repaired(spark, {"g.1": {"signals": five, "used_chunk_ids": ["c1"], "pros": "", "drawbacks": text}})[0]
